@@ -7,17 +7,19 @@ from pyspark.sql import Column, functions as F
 from runtime_insights import schema as S
 
 
+def lookup(entries: dict[str, str], key: Column) -> Column:
+    """Value of a constant map, null if absent; far less generated code than a CASE."""
+    literals = [F.lit(x) for pair in entries.items() for x in pair]
+    return F.try_element_at(F.create_map(*literals), key)
+
+
 def _category(rule: Column, evt_type: Column, network_syscalls) -> Column:
-    rule = F.lower(F.coalesce(rule, F.lit("")))
-    evt_type = F.lower(F.coalesce(evt_type, F.lit("")))
-    return (
-        F.when(rule.isin(*S.PROCESS_RULES), "process")
-        .when(rule.isin(*S.NETWORK_RULES), "network")
-        .when(rule.isin(*S.FILE_RULES), "file")
-        .when(evt_type.isin(*S.PROCESS_SYSCALLS), "process")
-        .when(evt_type.isin(*network_syscalls), "network")
-        .when(evt_type.isin(*S.FILE_SYSCALLS), "file")
-        .otherwise("unknown")
+    by_rule = {w: c for c, words in zip(S.CATEGORIES, (S.PROCESS_RULES, S.NETWORK_RULES, S.FILE_RULES))
+               for w in words}
+    by_call = {w: c for c, words in zip(
+        S.CATEGORIES, (S.PROCESS_SYSCALLS, network_syscalls, S.FILE_SYSCALLS)) for w in words}
+    return F.coalesce(
+        lookup(by_rule, F.lower(rule)), lookup(by_call, F.lower(evt_type)), F.lit("unknown")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from runtime_insights.functions.classify import profile_category
+from runtime_insights.functions.classify import lookup, profile_category
 from runtime_insights.session import apply_settings
 
 
@@ -18,21 +18,23 @@ def runtime_events(spark: SparkSession, folder: str) -> DataFrame:
     kind, k = F.col("event_type"), F.col("k")
     user = F.col("user_id")
     is_read = (kind == "error") & (k % 4 == 2)
-    error_calls = F.element_at(F.array(*map(F.lit, ("fork", "bind", "read", "mmap"))), k % 4 + 1)
 
     def text(*parts: Column | str) -> Column:
         return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
-    evt_type = (
-        F.when(kind == "click", F.when(k % 2 == 0, "execve").otherwise("clone"))
-        .when(kind == "signup", "prctl")
-        .when(kind == "purchase", F.when(k % 2 == 0, "connect").otherwise("shutdown"))
-        .when(kind == "view", F.when(k % 2 == 0, "openat").otherwise("close"))
-        .otherwise(error_calls)
-    )
-    rule = (
-        F.when(kind == "click", "process").when(kind == "signup", "PROC")
-        .when(kind == "purchase", "net").when(kind == "view", "file").otherwise("custom")
+    # The call depends on the kind and on k modulo 4.
+    calls = {
+        "click": ("execve", "clone", "execve", "clone"),
+        "signup": ("prctl",) * 4,
+        "purchase": ("connect", "shutdown", "connect", "shutdown"),
+        "view": ("openat", "close", "openat", "close"),
+        "error": ("fork", "bind", "read", "mmap"),
+    }
+    by_case = {f"{name}{i}": call for name, four in calls.items() for i, call in enumerate(four)}
+    evt_type = lookup(by_case, text(kind, k % 4))
+    rule = lookup(
+        {"click": "process", "signup": "PROC", "purchase": "net", "view": "file",
+         "error": "custom"}, kind,
     )
     peer = (
         F.when(k % 17 == 0, "").when(k % 13 == 0, "0.0.0.0:80")
@@ -63,3 +65,55 @@ def runtime_events(spark: SparkSession, folder: str) -> DataFrame:
         )
         .withColumn("category", profile_category(F.col("rule"), F.col("evt_type")))
     )
+
+
+def field_map() -> Column:
+    """The events' ``output_fields``; some keys are missing or null, depending on k."""
+    k = F.col("k")
+    every = F.create_map(*[x for name, value in {
+        "evt.num": F.col("seq"),
+        "evt.type": F.col("evt_type"),
+        "container.name": F.col("container_name"),
+        "container.image.repository": F.concat(F.lit("img"), k % 3),
+        "proc.name": F.col("proc_name"),
+        "proc.cmdline": F.when(k != 95, F.col("cmdline")),
+        "fd.type": F.when(k != 96, F.col("fd_type")),
+        "fd.name": F.when(
+            (k == 97) & (F.col("fd_name") != ""), F.concat("fd_name", F.lit("->x->y"))
+        ).otherwise(F.col("fd_name")),
+        "fd.directory": F.col("fd_directory"),
+        "k8s.ns.name": F.when(k % 5 == 1, "").when(k % 5 > 1, F.concat(F.lit("ns"), k % 3)),
+        "k8s.pod.name": F.lit(None),
+    }.items() for x in (F.lit(name), value.cast("string"))])
+    missing = F.when(k % 7 == 0, F.array(F.lit("container.image.repository"))).otherwise(
+        F.array(F.lit("k8s.pod.name"))
+    )
+    return F.map_filter(every, lambda key, _: ~F.array_contains(missing, key))
+
+
+def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as JSON log lines, every kind of malformed line among them."""
+    k = F.col("k")
+    keep_nulls = {"ignoreNullFields": "false"}
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    envelope = F.struct(
+        F.lit("h1").alias("hostname"),
+        F.when(k != 98, F.col("fields")).alias("output_fields"),
+        "priority",
+        F.when(k != 94, F.col("rule")).alias("rule"),
+        "source",
+        F.array(F.lit("t1"), F.concat(F.lit("t"), (k % 3).cast("string"))).alias("tags"),
+        iso.alias("time"),
+    )
+    flat = F.map_concat(F.col("fields"), F.create_map(F.lit("rule"), F.col("rule")))
+    raw = (
+        F.when(k == 90, "  \t")
+        .when(k == 91, F.concat(F.lit('{"rule": "cut at '), F.col("seq")))
+        .when(k == 92, "[1,2]")
+        .when(k == 93, "{}")
+        .when(k == 99, F.to_json(flat, keep_nulls))
+        .otherwise(F.to_json(envelope, keep_nulls))
+    )
+    return runtime_events(spark, folder).withColumn("fields", field_map()).select(
+        "seq", "ts", raw.alias("raw")
+    )
