@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runtime_insights import schema as S
@@ -69,7 +71,8 @@ def detect_alerts(
 ) -> DataFrame:
     """Learn each container's profile, then alert on what falls outside it."""
     rollup = materialize(path_rollup(events, learning.quiet_gap_ms), "path-rollup")
-    cuts = learning_cut(events, learning, rollup)
+    # Both lookups below need the cuts; as a table they are found once.
+    cuts = materialize(learning_cut(events, learning, rollup), "cut")
     return alerts_on(events, unlearned_paths(rollup, cuts), branch)
 
 
@@ -147,6 +150,20 @@ def profile_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("change", change).filter(F.col("change").isNotNull())
 
 
+def phase_metrics(phased: DataFrame, alerts: DataFrame, period: timedelta) -> DataFrame:
+    """Current phase, events per phase, event rate and anomalies of each container."""
+    learning = phased.groupBy("container_name").agg(
+        F.min("phase").alias("phase"),
+        F.count_if(F.col("phase") == "learn").alias("learn_events"),
+        F.count_if(F.col("phase") == "detect").alias("detect_events"),
+        (F.count(F.lit(1)) / F.lit(period.total_seconds())).alias("event_rate"),
+    )
+    anomalies = alerts.groupBy("container_name").agg(F.count(F.lit(1)).alias("anomalies"))
+    return learning.join(anomalies, "container_name", "left").withColumn(
+        "anomalies", F.coalesce("anomalies", F.lit(0))
+    )
+
+
 def detector_quality(judged: DataFrame, predicted: Column, actual: Column) -> DataFrame:
     """Confusion counts and the rates that follow from them."""
     cells_ = judged.select(predicted.alias("p"), actual.alias("a")).agg(

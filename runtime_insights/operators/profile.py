@@ -249,6 +249,7 @@ def profile_nodes(events: DataFrame) -> DataFrame:
         .cast("bigint").alias("events_count"),
         F.col("subtree_events").cast("bigint").alias("subtree_events"),
         TS.order_seq(F.col("first_ord")).alias("first_seq"),
+        TS.order_pos(F.col("first_ord")).alias("first_pos"),
         TS.from_micros(TS.order_micros(F.col("first_ord"))).alias("first_seen"),
         TS.from_micros(F.col("last_us")).alias("last_updated"),
         F.lit(None).cast("map<string,string>").alias("metadata"),

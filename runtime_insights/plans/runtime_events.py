@@ -115,5 +115,5 @@ def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.to_json(envelope, keep_nulls))
     )
     return runtime_events(spark, folder).withColumn("fields", field_map()).select(
-        "seq", "ts", raw.alias("raw")
+        "seq", "ts", F.explode(F.array(raw)).alias("raw")
     )

@@ -93,3 +93,63 @@ def with_tables(*parts: str, select: str, **values: object) -> str:
     for name, value in values.items():
         text = text.replace("{" + name + "}", str(value))
     return text + "\n" + select.strip()
+
+
+LEARNED = r"""
+learned AS (SELECT l.* FROM listed l JOIN cut USING (container_name)
+  WHERE c IS NULL OR (l.ts, l.seq) <= c),
+learned_leaves AS (SELECT r.* FROM leaf_rows r JOIN cut USING (container_name)
+  WHERE c IS NULL OR (r.ts, r.seq) <= c)"""
+
+NODES = r"""
+leaf_nodes AS (
+  SELECT container_name, branch, evt_type, proc_name, attr, count(*) AS events_count,
+    CASE branch WHEN 'process' THEN 'cmd_argument' WHEN 'network' THEN 'network_attribute'
+      ELSE CASE arg_min(pos, (ts, seq, pos)) WHEN 0 THEN 'directory_path' ELSE 'file_name' END END
+      AS node_type,
+    min((ts, seq, pos)) AS fp, min((ts, seq)) AS f, max(ts) AS last_updated
+  FROM learned_leaves GROUP BY container_name, branch, evt_type, proc_name, attr),
+proc_nodes AS (
+  SELECT container_name, category AS branch, evt_type, proc_name, sum(len(attrs)) AS subtree_events,
+    min((ts, seq)) AS f, max(ts) AS last_updated
+  FROM learned GROUP BY ALL),
+nodes AS (
+  SELECT container_name, 4 AS level, branch, evt_type, proc_name, attr, node_type, events_count,
+    events_count AS subtree_events, f, last_updated FROM leaf_nodes
+  UNION ALL
+  SELECT container_name, 3, branch, evt_type, proc_name, NULL, 'process_name', 0,
+    subtree_events, f, last_updated FROM proc_nodes
+  UNION ALL
+  SELECT container_name, 2, branch, evt_type, NULL, NULL, branch || '_operation', 0,
+    sum(subtree_events), min(f), max(last_updated) FROM proc_nodes
+  GROUP BY container_name, branch, evt_type
+  UNION ALL
+  SELECT d.container_name, 1, b, NULL, NULL, NULL, 'branch', 0, coalesce(sum(subtree_events), 0),
+    min(f), max(last_updated)
+  FROM (SELECT DISTINCT container_name FROM proc_nodes) d
+  CROSS JOIN (VALUES ('process'), ('network'), ('file')) v(b)
+  LEFT JOIN proc_nodes p ON p.container_name = d.container_name AND p.branch = b
+  GROUP BY d.container_name, b
+  UNION ALL
+  SELECT container_name, 0, NULL, NULL, NULL, NULL, 'root', 0, sum(subtree_events), min(f),
+    max(last_updated) FROM proc_nodes GROUP BY container_name)"""
+
+ALERTS = r"""
+late_leaf AS (SELECT fl.* FROM first_leaf fl JOIN cut USING (container_name) WHERE fl.f > c),
+leaf_hit AS (
+  SELECT r.container_name, r.seq, min((r.pos, r.attr)) AS h
+  FROM leaf_rows r JOIN late_leaf USING (container_name, branch, evt_type, proc_name, attr)
+  GROUP BY ALL),
+alerts AS (
+  SELECT l.container_name, l.seq, l.ts, l.category AS branch, l.evt_type, l.proc_name, l.rule,
+    l.priority, l.source,
+    CAST(CASE WHEN o.f > c THEN 1 WHEN p.f > c THEN 2 ELSE 3 END AS INTEGER) AS level,
+    CASE WHEN o.f > c THEN l.evt_type WHEN p.f > c THEN l.proc_name ELSE h[2] END AS missing_key,
+    'detect' AS phase
+  FROM listed l JOIN cut ON cut.container_name = l.container_name
+  JOIN first_op o ON o.container_name = l.container_name AND o.branch = l.category
+    AND o.evt_type = l.evt_type
+  JOIN first_proc p ON p.container_name = l.container_name AND p.branch = l.category
+    AND p.evt_type = l.evt_type AND p.proc_name = l.proc_name
+  LEFT JOIN leaf_hit h ON h.container_name = l.container_name AND h.seq = l.seq
+  WHERE o.f > c OR p.f > c OR h.h IS NOT NULL)"""
