@@ -76,21 +76,24 @@ def detect_alerts(
     return alerts_on(events, unlearned_paths(rollup, cuts), branch)
 
 
-def detect_against(events: DataFrame, profile: DataFrame, branch: str | None = None) -> DataFrame:
-    """Alert on events outside a stored profile (node table of level 2 to 4).
+def profile_paths(nodes: DataFrame) -> DataFrame:
+    """Path table (empty ``attr`` for processes) of a node table."""
+    processes = nodes.filter(F.col("level") == 3).select(*S.PATH[:4], F.lit("").alias("attr"))
+    return nodes.filter(F.col("level") == 4).select(*S.PATH).unionByName(processes)
 
-    ``profile`` has the columns of ``profile_nodes``. Distinct paths of the events are
-    compared with it, so the anti joins see each path once.
+
+def detect_against(events: DataFrame, learned: DataFrame, branch: str | None = None) -> DataFrame:
+    """Alert on events outside a stored profile, given as its path table.
+
+    Distinct paths of the events are compared with it, so a hot path is looked up once.
     """
     if branch is not None:
         events = events.filter(F.col("category") == branch)
     seen = path_rows(events).select(*S.PATH).distinct()
-    leaves = profile.filter(F.col("level") == 4).select(*S.PATH)
-    processes = profile.filter(F.col("level") == 3).select(*S.PATH[:4], F.lit("").alias("attr"))
-    new = seen.join(leaves.unionByName(processes), list(S.PATH), "left_anti")
-    operations = profile.filter(F.col("level") == 2).select(
+    new = seen.join(learned.select(*S.PATH), list(S.PATH), "left_anti")
+    operations = learned.filter(F.col("attr") == "").select(
         *S.PATH[:3], F.lit(True).alias("known_operation")
-    )
+    ).distinct()
     level = (
         F.when(F.col("attr") != "", 3).when(F.col("known_operation"), 2).otherwise(1)
     )

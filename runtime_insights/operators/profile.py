@@ -59,7 +59,7 @@ def novel_operations(novel: DataFrame) -> DataFrame:
     )
 
 
-def learning_grid(rollup: DataFrame, learning: Learning) -> DataFrame:
+def learning_grid(rollup: DataFrame, novel: DataFrame, learning: Learning) -> DataFrame:
     """Per container and time cell: where learning may end.
 
     Two novelties in one cell are less than a gap apart, so a cell needs only its first
@@ -70,7 +70,7 @@ def learning_grid(rollup: DataFrame, learning: Learning) -> DataFrame:
     """
     gap = learning.quiet_gap_ms
     novelty = (
-        novel_paths(rollup).withColumn("first_ord", TS.order_event(F.col("first_ord")))
+        novel.withColumn("first_ord", TS.order_event(F.col("first_ord")))
         .groupBy("container_name", _cell_of("first_ord", gap).alias("cell"))
         .agg(F.min("first_ord").alias("novel_first"), F.max("first_ord").alias("novel_last"))
     )
@@ -120,12 +120,21 @@ def _cell_of(key: str, gap: int) -> Column:
 
 
 def learning_cut(
-    events: DataFrame, learning: Learning = Learning(), rollup: DataFrame | None = None
+    events: DataFrame,
+    learning: Learning = Learning(),
+    rollup: DataFrame | None = None,
+    novel: DataFrame | None = None,
 ) -> DataFrame:
-    """Per container: order key of the last learned event, null while still learning."""
+    """Per container: order key of the last learned event, null while still learning.
+
+    ``novel`` (container_name, first_ord) are the moments of novelty, by default those of
+    the rollup; a continued profile passes its own.
+    """
     if rollup is None:
         rollup = materialize(path_rollup(events, learning.quiet_gap_ms), "path-rollup")
-    grid = materialize(learning_grid(rollup, learning), "learning-grid")
+    if novel is None:
+        novel = novel_paths(rollup)
+    grid = materialize(learning_grid(rollup, novel, learning), "learning-grid")
     open_cells = grid.filter(F.col("settled").isNull())
     probes = open_cells.filter("probe").select("container_name", "cell", "after_ms", "novel_first")
     clock = known(events).filter(closes_learning()).select(

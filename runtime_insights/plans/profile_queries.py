@@ -278,7 +278,7 @@ def detect_stored_profile(spark, folder):
     events = runtime_events(spark, folder)
     start = F.lit(datetime(2024, 1, 3)).cast("timestamp_ntz")
     nodes = materialize(P.profile_nodes(events.filter(F.col("ts") < start)), "profile")
-    alerts = D.detect_against(events.filter(F.col("ts") >= start), nodes)
+    alerts = D.detect_against(events.filter(F.col("ts") >= start), D.profile_paths(nodes))
     return alerts.select("container_name", "seq", "level", "missing_key")
 
 
