@@ -202,7 +202,7 @@ def read_events_file(
     valid = F.count_if(~X.is_blank(F.col("raw")) & is_json(F.col("raw")))
     hopeless = lines.groupBy("file").agg(valid.alias("n")).filter("n = 0").select("file")
     try:
-        documents = spark.read.option("wholetext", "true").text(path)
+        documents = spark.read.text(path, wholetext=True)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
