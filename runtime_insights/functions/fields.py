@@ -35,7 +35,7 @@ def optional_label(fields: Column, key: str) -> Column:
 
 def is_blank(text: Column) -> Column:
     """True for null and for text of white space only (any Unicode white space)."""
-    return F.coalesce(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", "") == "", F.lit(True))
+    return ~F.coalesce(text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
 
 
 def command_tokens(cmdline: Column) -> Column:

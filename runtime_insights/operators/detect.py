@@ -73,7 +73,9 @@ def detect_alerts(
     rollup = materialize(path_rollup(events, learning.quiet_gap_ms), "path-rollup")
     # Both lookups below need the cuts; as a table they are found once.
     cuts = materialize(learning_cut(events, learning, rollup), "cut")
-    return alerts_on(events, unlearned_paths(rollup, cuts), branch)
+    # Its size as a table decides the join: broadcast while small, so that the exploded
+    # events are not shuffled; sort-merge with skew splitting beyond that.
+    return alerts_on(events, materialize(unlearned_paths(rollup, cuts), "unlearned"), branch)
 
 
 def profile_paths(nodes: DataFrame) -> DataFrame:

@@ -111,8 +111,18 @@ def learning_grid(rollup: DataFrame, novel: DataFrame, learning: Learning) -> Da
         & (F.col("after_ms") < TS.order_millis(F.col("last_closing")))
         & (unbroken | (F.col("after_ms") <= TS.order_millis(F.col("novel_first"))))
     )
-    found = grid.select("*", full.alias("full"), F.coalesce(probe, F.lit(False)).alias("probe"))
-    return found.select("*", F.min("full").over(before).alias("settled"))
+    found = grid.select(
+        "container_name", "cell", "novel_first", "after_ms", full.alias("full"),
+        F.coalesce(probe, F.lit(False)).alias("probe"), F.row_number().over(order).alias("row"),
+    )
+    # Kept are a container's first cell (its start), its first full cell, and the probes
+    # before that: a handful of rows, whose size as a table lets Spark broadcast them.
+    return (
+        found.withColumn("settled", F.min("full").over(before))
+        .filter(F.col("settled").isNull()
+                & ((F.col("row") == 1) | F.col("full").isNotNull() | F.col("probe")))
+        .drop("settled")
+    )
 
 
 def _cell_of(key: str, gap: int) -> Column:
@@ -135,8 +145,7 @@ def learning_cut(
     if novel is None:
         novel = novel_paths(rollup)
     grid = materialize(learning_grid(rollup, novel, learning), "learning-grid")
-    open_cells = grid.filter(F.col("settled").isNull())
-    probes = open_cells.filter("probe").select("container_name", "cell", "after_ms", "novel_first")
+    probes = grid.filter("probe").select("container_name", "cell", "after_ms", "novel_first")
     clock = known(events).filter(closes_learning()).select(
         "container_name", "seq", TS.micros(F.col("ts")).alias("ts_us")
     ).withColumn("cell", TS.bucket(TS.millis(F.col("ts_us")), learning.quiet_gap_ms))
@@ -147,9 +156,10 @@ def learning_cut(
         .filter(F.col("novel_first").isNull() | (ord_ < F.col("novel_first")))
         .groupBy("container_name").agg(F.min(ord_).alias("cut_ord"))
     )
-    ends = hits.unionByName(open_cells.groupBy("container_name").agg(F.min("full").alias("cut_ord")))
-    starts = grid.groupBy("container_name").agg(F.min("novel_first").alias("start_ord"))
-    cuts = ends.unionByName(starts, allowMissingColumns=True).groupBy("container_name").agg(
+    settled = grid.select(
+        "container_name", F.col("full").alias("cut_ord"), F.col("novel_first").alias("start_ord")
+    )
+    cuts = settled.unionByName(hits, allowMissingColumns=True).groupBy("container_name").agg(
         F.min("start_ord").alias("start_ord"), F.min("cut_ord").alias("cut_ord")
     )
     if learning.scope == "global":

@@ -171,13 +171,16 @@ def leaders(keys: DataFrame, threshold: float, front: int = FRONT) -> DataFrame:
         "block", "key", "turn", F.col("key").alias("leader")
     )
     pending = keys.filter(F.col("vector").isNotNull()).select("block", "key", "turn", "vector")
+    fold = lambda group: _greedy(group, threshold)
+    largest = pending.groupBy("block").count().agg(F.max("count")).first()[0]
+    if (largest or 0) <= front:
+        return settled.unionByName(pending.groupBy("block").applyInPandas(fold, schema))
     order = W.partitionBy("block").orderBy("turn", "key")
     while True:
         # The rank filter is applied in every task before the shuffle.
         first = pending.withColumn("rank", F.row_number().over(order)).filter(
             F.col("rank") <= front).drop("rank")
-        found = materialize(first.groupBy("block").applyInPandas(
-            lambda group: _greedy(group, threshold), schema), "leaders")
+        found = materialize(first.groupBy("block").applyInPandas(fold, schema), "leaders")
         settled = settled.unionByName(found)
         later = materialize(
             pending.join(found.select("block", "key"), ["block", "key"], "left_anti"), "open-keys"
@@ -304,7 +307,6 @@ class SemanticProfile:
                 F.col("turn") <= F.col("cut_ord")).withColumnRenamed(key, "key")
             old = keys.drop("turn").join(
                 known.select(*parent, "key", F.col(name).alias("match")), [*parent, "key"], "left")
-            old = materialize(old, f"known-{name}")
             new = self._keyed(old.filter(F.col("match").isNull()).drop("match"), parent)
             learned = self._keyed(
                 known.filter(F.col("key") == F.col(name)).select(*parent, "key", "turn"), parent
@@ -326,7 +328,7 @@ class SemanticProfile:
                 *S.PATH, F.lit(len(parent) - 1).alias("level"))
             lost = missing if lost is None else lost.unionByName(missing)
             if key != "attr":
-                paths = materialize(paths.join(matched, [*parent, key]), f"paths-{name}")
+                paths = paths.join(matched, [*parent, key])
         return lost
 
 
@@ -336,4 +338,4 @@ def detect_semantic(
 ) -> DataFrame:
     """Alerts where neither an equal nor a similar key was learned."""
     profile = SemanticProfile(events, embedder, learning, threshold)
-    return alerts_on(events, profile.unlearned_paths())
+    return alerts_on(events, materialize(profile.unlearned_paths(), "unlearned"))

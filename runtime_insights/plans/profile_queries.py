@@ -12,7 +12,7 @@ from runtime_insights.operators import (
 )
 from runtime_insights.plans.base import register
 from runtime_insights.plans.ingest_queries import METRIC_CATEGORY
-from runtime_insights.plans.runtime_events import runtime_events, table
+from runtime_insights.plans.runtime_events import runtime_events, stored, table
 from runtime_insights.plans.twins import ALERTS, CUT, LEARNED, NODES, PATHS, RT_EVENTS, with_tables
 from runtime_insights.session import materialize
 
@@ -30,23 +30,38 @@ def _rollup(events):
     return materialize(P.path_rollup(events, GAP_MS), "path-rollup")
 
 
+def _cuts(spark, folder):
+    return P.learning_cut(runtime_events(spark, folder), LEARNING)
+
+
 def _learned(spark, folder):
-    events = runtime_events(spark, folder)
-    return P.learned_events(events, P.learning_cut(events, LEARNING))
+    """Events up to the stored end of learning."""
+    cuts = stored(spark, folder, "cuts", _cuts)
+    return P.learned_events(runtime_events(spark, folder), cuts)
 
 
-def _nodes(spark, folder):
+def _find_nodes(spark, folder):
     return P.profile_nodes(_learned(spark, folder))
 
 
-def _alerts(spark, folder):
+def _nodes(spark, folder):
+    """The stored node table, as snapshot readers use it."""
+    return stored(spark, folder, "nodes", _find_nodes)
+
+
+def _find_alerts(spark, folder):
     return D.detect_alerts(runtime_events(spark, folder), LEARNING)
 
 
+def _alerts(spark, folder):
+    """The stored alert table, as searches and statistics use it."""
+    return stored(spark, folder, "alerts", _find_alerts)
+
+
 @register("learning_cut", _twin(select="""
 SELECT container_name, start_ts, c[1] AS cut_ts, c[2] AS cut_seq FROM cut"""))
 def learning_cut(spark, folder):
-    return P.describe_cut(P.learning_cut(runtime_events(spark, folder), LEARNING))
+    return P.describe_cut(_cuts(spark, folder))
 
 
 @register("learning_cut_warmup", with_tables(RT_EVENTS, PATHS, CUT, select="""
@@ -62,7 +77,7 @@ SELECT l.container_name, seq, CASE WHEN (l.ts, l.seq) > c THEN 'detect' ELSE 'le
 FROM listed l JOIN cut USING (container_name)"""))
 def phase_events(spark, folder):
     events = runtime_events(spark, folder)
-    phased = P.with_phase(events, P.learning_cut(events, LEARNING))
+    phased = P.with_phase(events, stored(spark, folder, "cuts", _cuts))
     return phased.select("container_name", "seq", "phase")
 
 
@@ -109,7 +124,7 @@ SELECT container_name, CAST(level AS INTEGER) AS level, branch, evt_type, proc_n
   f[2] AS first_seq, f[1] AS first_seen, last_updated
 FROM nodes"""))
 def hbt_nodes(spark, folder):
-    return _nodes(spark, folder).drop("metadata", "first_pos")
+    return _find_nodes(spark, folder).drop("metadata", "first_pos")
 
 
 @register("hbt_lookup", _twin(LEARNED, NODES, select="""
@@ -239,7 +254,7 @@ def profile_diff(spark, folder):
 
 @register("detect_alerts", _twin(ALERTS, select="SELECT * FROM alerts"))
 def detect_alerts(spark, folder):
-    return _alerts(spark, folder)
+    return _find_alerts(spark, folder)
 
 
 def _register_branch(branch: str) -> None:
@@ -291,10 +306,8 @@ SELECT l.container_name, CASE WHEN max(c) IS NULL THEN 'learn' ELSE 'detect' END
 FROM listed l JOIN cut USING (container_name) GROUP BY l.container_name"""))
 def phase_metrics(spark, folder):
     events = runtime_events(spark, folder)
-    rollup = _rollup(events)
-    cuts = materialize(P.learning_cut(events, LEARNING, rollup), "cut")
-    alerts = D.alerts_on(events, D.unlearned_paths(rollup, cuts))
-    return D.phase_metrics(P.with_phase(events, cuts), alerts, timedelta(days=30))
+    phased = P.with_phase(events, stored(spark, folder, "cuts", _cuts))
+    return D.phase_metrics(phased, _alerts(spark, folder), timedelta(days=30))
 
 
 @register("alert_counters", _twin(ALERTS, select="""
@@ -339,8 +352,7 @@ SELECT a.container_name, a.seq AS alert_seq, r.seq, r.ts, r.rule, r.priority, r.
 FROM alerts a JOIN rt r ON r.container_name = a.container_name
   AND epoch_us(r.ts) BETWEEN epoch_us(a.ts) - 600000000 AND epoch_us(a.ts) + 600000000"""))
 def alert_context(spark, folder):
-    alerts = materialize(_alerts(spark, folder), "alerts")
-    return D.alert_context(alerts, runtime_events(spark, folder), 600_000)
+    return D.alert_context(_alerts(spark, folder), runtime_events(spark, folder), 600_000)
 
 
 @register("overview", _twin(ALERTS, f"""

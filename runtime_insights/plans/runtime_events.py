@@ -2,71 +2,73 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runtime_insights.functions.classify import lookup, profile_category
-from runtime_insights.session import apply_settings
+from runtime_insights.session import apply_settings, materialize
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# The system call depends on the kind of event and on k modulo 4.
+_CALLS = {
+    "click": ("execve", "clone", "execve", "clone"),
+    "signup": ("prctl",) * 4,
+    "purchase": ("connect", "shutdown", "connect", "shutdown"),
+    "view": ("openat", "close", "openat", "close"),
+    "error": ("fork", "bind", "read", "mmap"),
+}
+_RULES = {"click": "process", "signup": "PROC", "purchase": "net", "view": "file", "error": "custom"}
+_FILE_EVENT = "(event_type = 'view' OR (event_type = 'error' AND k % 4 = 2))"
+
+
 def runtime_events(spark: SparkSession, folder: str) -> DataFrame:
     """Flat events; only the columns a query uses are read and computed."""
     events = table(apply_settings(spark), folder, "events")
-    kind, k = F.col("event_type"), F.col("k")
-    user = F.col("user_id")
-    is_read = (kind == "error") & (k % 4 == 2)
-
-    def text(*parts: Column | str) -> Column:
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-    # The call depends on the kind and on k modulo 4.
-    calls = {
-        "click": ("execve", "clone", "execve", "clone"),
-        "signup": ("prctl",) * 4,
-        "purchase": ("connect", "shutdown", "connect", "shutdown"),
-        "view": ("openat", "close", "openat", "close"),
-        "error": ("fork", "bind", "read", "mmap"),
-    }
-    by_case = {f"{name}{i}": call for name, four in calls.items() for i, call in enumerate(four)}
-    evt_type = lookup(by_case, text(kind, k % 4))
-    rule = lookup(
-        {"click": "process", "signup": "PROC", "purchase": "net", "view": "file",
-         "error": "custom"}, kind,
-    )
-    peer = (
-        F.when(k % 17 == 0, "").when(k % 13 == 0, "0.0.0.0:80")
-        .otherwise(text("10.0.0.1:5000->10.0.0.", k % 10, ":443"))
-    )
-    fd_type = (
-        F.when(kind == "view", "file").when(kind == "purchase", "ipv4")
-        .when(kind == "error", F.when(k % 4 == 2, "file").otherwise("ipv4")).otherwise("")
-    )
-    fd_name = (
-        F.when(kind == "purchase", peer)
-        .when((kind == "view") | is_read, text("/d", k % 4, "/f", k % 25)).otherwise("")
-    )
+    by_case = {f"{kind}{i}": call for kind, four in _CALLS.items() for i, call in enumerate(four)}
     return (
-        events.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
-        .select(
-            F.col("event_id").alias("seq"), "ts", "k", "value",
-            text("c", user % 10).alias("container_name"),
-            text("p", F.call_function("div", user, F.lit(10)) % 5).alias("proc_name"),
-            rule.alias("rule"), evt_type.alias("evt_type"),
-            F.when(F.col("value") >= 100, "Critical").when(F.col("value") >= 35, "Warning")
-            .otherwise("Debug").alias("priority"),
-            F.lit("syscall").alias("source"),
-            text("run --a", k % 20, " -b", k % 3).alias("cmdline"),
-            fd_type.alias("fd_type"), fd_name.alias("fd_name"),
-            F.when((kind == "view") | is_read, text("/d", k % 4)).otherwise("")
-            .alias("fd_directory"),
+        events.withColumn("k", F.expr("CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"))
+        .withColumn("rule", lookup(_RULES, F.col("event_type")))
+        .withColumn("evt_type", lookup(by_case, F.expr("concat(event_type, k % 4)")))
+        .selectExpr(
+            "event_id AS seq", "ts", "k", "value",
+            "concat('c', user_id % 10) AS container_name",
+            "concat('p', user_id div 10 % 5) AS proc_name",
+            "rule", "evt_type",
+            "CASE WHEN value >= 100 THEN 'Critical' WHEN value >= 35 THEN 'Warning' "
+            "ELSE 'Debug' END AS priority",
+            "'syscall' AS source",
+            "concat('run --a', k % 20, ' -b', k % 3) AS cmdline",
+            "CASE event_type WHEN 'view' THEN 'file' WHEN 'purchase' THEN 'ipv4' "
+            "WHEN 'error' THEN if(k % 4 = 2, 'file', 'ipv4') ELSE '' END AS fd_type",
+            "CASE WHEN event_type = 'purchase' THEN CASE WHEN k % 17 = 0 THEN '' "
+            "WHEN k % 13 = 0 THEN '0.0.0.0:80' "
+            "ELSE concat('10.0.0.1:5000->10.0.0.', k % 10, ':443') END "
+            f"WHEN {_FILE_EVENT} THEN concat('/d', k % 4, '/f', k % 25) ELSE '' END AS fd_name",
+            f"if({_FILE_EVENT}, concat('/d', k % 4), '') AS fd_directory",
         )
         .withColumn("category", profile_category(F.col("rule"), F.col("evt_type")))
     )
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(
+    spark: SparkSession, folder: str, name: str, build: Callable[[SparkSession, str], DataFrame]
+) -> DataFrame:
+    """A result table that other queries read, such as the alerts; written once per session."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(folder), name)
+    if key not in _STORED:
+        _STORED[key] = materialize(build(spark, folder), name)
+    return _STORED[key]
+
+
 def field_map() -> Column:
     """The events' ``output_fields``; some keys are missing or null, depending on k."""
     k = F.col("k")
