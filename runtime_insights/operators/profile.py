@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from runtime_insights import schema as S
 from runtime_insights.functions import timestamps as TS
-from runtime_insights.operators.paths import closes_learning, known, path_rows
+from runtime_insights.operators.paths import closes_learning, known, path_and_clock_rows, path_rows
 from runtime_insights.operators.skew import salted_lookup
 from runtime_insights.session import materialize
 
@@ -28,27 +28,30 @@ class Learning:
 
 
 def path_rollup(events: DataFrame, quiet_gap_ms: int) -> DataFrame:
-    """Path rows reduced to one row per path and time cell of ``quiet_gap_ms``.
+    """All that learning needs from the events, in one pass and one shuffle.
 
-    The only pass over all events that learning needs; hash aggregation combines on the
-    map side, so hot containers and hot paths shrink before the shuffle.
+    Two kinds of rows share it. Path rows (null ``cell``) hold the first occurrence of
+    a process path (empty attr) or leaf path. Clock rows (null path) hold the first and
+    last event that may end learning, per container and time cell of ``quiet_gap_ms``.
+    Hash aggregation combines both on the map side: what is shuffled grows with paths
+    and time, not with events, and hot containers or paths shrink before they move.
     """
+    path = F.col("attr").isNotNull()
     cell = TS.bucket(TS.millis(F.col("ts_us")), quiet_gap_ms)
-    eligible = (F.col("attr") == "") & F.col("closes")
     return (
-        path_rows(events)
-        .groupBy(*S.PATH, cell.alias("cell"))
-        .agg(
-            F.min("ord").alias("first_ord"),
-            F.min(F.when(eligible, F.col("ord"))).alias("first_closing"),
-            F.max(F.when(eligible, F.col("ord"))).alias("last_closing"),
+        path_and_clock_rows(events)
+        .groupBy(
+            "container_name",
+            *[F.when(path, F.col(c)).alias(c) for c in S.PATH[1:]],
+            F.when(~path, cell).alias("cell"),
         )
+        .agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"))
     )
 
 
 def novel_paths(rollup: DataFrame) -> DataFrame:
     """First occurrence of each process path (empty attr) and leaf path."""
-    return rollup.groupBy(*S.PATH).agg(F.min("first_ord").alias("first_ord"))
+    return rollup.filter(F.col("cell").isNull()).select(*S.PATH, "first_ord")
 
 
 def novel_operations(novel: DataFrame) -> DataFrame:
@@ -74,13 +77,9 @@ def learning_grid(rollup: DataFrame, novel: DataFrame, learning: Learning) -> Da
         .groupBy("container_name", _cell_of("first_ord", gap).alias("cell"))
         .agg(F.min("first_ord").alias("novel_first"), F.max("first_ord").alias("novel_last"))
     )
-    closing = (
-        rollup.filter(F.col("attr") == "")
-        .groupBy("container_name", "cell")
-        .agg(
-            F.min("first_closing").alias("first_closing"),
-            F.max("last_closing").alias("last_closing"),
-        )
+    closing = rollup.filter(F.col("cell").isNotNull()).select(
+        "container_name", "cell", F.col("first_ord").alias("first_closing"),
+        F.col("last_ord").alias("last_closing"),
     )
     cells = (
         novelty.unionByName(closing, allowMissingColumns=True)

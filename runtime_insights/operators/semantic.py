@@ -272,14 +272,12 @@ class SemanticProfile:
         return rows.withColumn("leaf", F.coalesce("leaf", F.lit("")))
 
     def _mapped_rollup(self) -> DataFrame:
-        rows = self._representative_rows(self.rollup)
-        return rows.groupBy(
+        paths = self._representative_rows(self.novel).groupBy(
             "container_name", "branch", F.col("operation").alias("evt_type"),
-            F.col("process").alias("proc_name"), F.col("leaf").alias("attr"), "cell",
-        ).agg(
-            F.min("first_ord").alias("first_ord"), F.min("first_closing").alias("first_closing"),
-            F.max("last_closing").alias("last_closing"),
-        )
+            F.col("process").alias("proc_name"), F.col("leaf").alias("attr"),
+        ).agg(F.min("first_ord").alias("first_ord"))
+        clock = self.rollup.filter(F.col("cell").isNotNull())
+        return clock.unionByName(paths, allowMissingColumns=True)
 
     def leaf_counts(self) -> DataFrame:
         """Learned counts at the representative leaves."""

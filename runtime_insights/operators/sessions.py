@@ -66,31 +66,32 @@ def drop_alerts(
 ) -> DataFrame:
     """Windows over the threshold that a token bucket lets through.
 
-    The bucket is full after ``burst / rate`` quiet seconds, so a pause of that length
-    splits a host's windows into runs that do not depend on each other. Only inside a
-    run is the order followed, as a fold over its ticks: one tick per window.
+    Credit is counted in ticks of waiting; a message costs ``1 / rate`` of them. After
+    ``burst / rate`` quiet ticks the bucket is full, so a pause of that length splits a
+    host's windows into runs that do not depend on each other. Only inside a run is the
+    order followed, as a fold over its ticks: one per window, however many events.
     """
     over = ratios.filter(F.col("ratio") > threshold)
-    per_tick = rate_per_second * width_us / 1e6
+    cost = round(1e6 / (rate_per_second * width_us), 9)
     order = W.partitionBy("host").orderBy("tick")
-    pause = (F.col("tick") - F.lag("tick").over(order)) * F.lit(per_tick) >= burst
+    pause = F.col("tick") - F.lag("tick").over(order) >= F.lit(burst * cost)
     runs = over.withColumn("opens", F.coalesce(pause, F.lit(True)).cast("int")).withColumn(
         "run", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0))
     )
     ticks = F.sort_array(F.collect_list(F.struct("tick", "dropped", "total", "ratio")))
-    state = "struct<tokens:double,last:bigint,sent:array<struct<tick:bigint,dropped:bigint,total:bigint,ratio:double>>>"
+    state = "struct<credit:double,last:bigint,sent:array<struct<tick:bigint,dropped:bigint,total:bigint,ratio:double>>>"
     start = F.struct(
-        F.lit(float(burst)).alias("tokens"), F.lit(None).cast("bigint").alias("last"),
+        F.lit(float(burst * cost)).alias("credit"), F.lit(None).cast("bigint").alias("last"),
         F.array().cast("array<struct<tick:bigint,dropped:bigint,total:bigint,ratio:double>>")
         .alias("sent"),
     ).cast(state)
 
     def step(acc, t):
         waited = F.coalesce(t["tick"] - acc["last"], F.lit(0))
-        tokens = F.least(F.lit(float(burst)), acc["tokens"] + waited * F.lit(per_tick))
-        pays = tokens >= 1.0
+        credit = F.least(F.lit(float(burst * cost)), acc["credit"] + waited)
+        pays = credit >= F.lit(cost)
         return F.struct(
-            F.when(pays, tokens - 1.0).otherwise(tokens).alias("tokens"),
+            F.when(pays, credit - F.lit(cost)).otherwise(credit).alias("credit"),
             t["tick"].alias("last"),
             F.when(pays, F.concat(acc["sent"], F.array(t))).otherwise(acc["sent"]).alias("sent"),
         ).cast(state)

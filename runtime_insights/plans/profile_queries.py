@@ -433,7 +433,20 @@ def captured_events(spark, folder):
     return found.select("container_name", "seq", "start_us")
 
 
-@register("drop_alerts")
+@register("drop_alerts", with_tables("RECURSIVE " + RT_EVENTS.strip(), """
+ratios AS (
+  SELECT container_name AS host, epoch_us(ts) // 60000000 AS tick,
+    count(*) FILTER (rule = 'custom') AS dropped, count(*) AS total
+  FROM rt GROUP BY ALL),
+over_limit AS (SELECT *, dropped / total AS ratio FROM ratios WHERE dropped / total > 0.1),
+-- A message empties the bucket; the next needs 120 minutes of credit.
+sent AS (
+  SELECT host, min(tick) AS tick FROM over_limit GROUP BY host
+  UNION ALL
+  SELECT s.host, min(o.tick) FROM sent s JOIN over_limit o ON o.host = s.host
+    AND o.tick >= s.tick + 120 GROUP BY s.host, s.tick)""", select="""
+SELECT host, make_timestamp(tick * 60000000) AS window_start, dropped, total, ratio
+FROM sent JOIN over_limit USING (host, tick)"""))
 def drop_alerts(spark, folder):
     """Error events stand for drops, minutes for seconds."""
     ratios = sessions.drop_ratios(

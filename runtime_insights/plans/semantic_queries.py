@@ -55,7 +55,27 @@ def semantic_semi(spark, folder):
     return found.select(F.col("key").cast("bigint").alias("vec_id"))
 
 
-@register("semantic_leaders")
+@register("semantic_leaders", f"""
+WITH RECURSIVE near AS (
+  SELECT a.vec_id AS q, list(b.vec_id) AS cs FROM embeddings a JOIN embeddings b
+    ON a.label = b.label AND a.vec_id > b.vec_id
+  WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {THRESHOLD}
+  GROUP BY a.vec_id),
+ranked AS (
+  SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r,
+    coalesce(cs, []) AS cs
+  FROM embeddings LEFT JOIN near ON q = vec_id),
+walk AS (
+  SELECT label, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS ls,
+    CAST(NULL AS BIGINT) AS vec_id, CAST(NULL AS BIGINT) AS leader
+  FROM (SELECT DISTINCT label FROM embeddings)
+  UNION ALL
+  SELECT label, r, CASE WHEN hit IS NULL THEN list_append(ls, vec_id) ELSE ls END, vec_id,
+    coalesce(hit, vec_id)
+  FROM (SELECT w.label, k.r, w.ls, k.vec_id,
+          list_filter(w.ls, lambda x: list_contains(k.cs, x))[1] AS hit
+        FROM walk w JOIN ranked k ON k.label = w.label AND k.r = w.r + 1))
+SELECT vec_id, leader FROM walk WHERE r > 0""")
 def semantic_leaders(spark, folder):
     """Greedy clusters of the vectors of each label in order of their id."""
     rows = _vectors(spark, folder)

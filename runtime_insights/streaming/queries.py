@@ -139,26 +139,30 @@ def write_envelopes(
 # --------------------------------------------------------------------- drop alerts
 
 class TokenBucket(StatefulProcessor):
-    """Lets a host's windows through at a bounded rate; the state is two numbers."""
+    """Lets a host's windows through at a bounded rate; the state is two numbers.
+
+    Credit is in seconds of waiting, a message costs ``1 / rate`` of them.
+    """
 
     def __init__(self, per_second: float, burst: int):
         self.per_second, self.burst = per_second, burst
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "tokens double, last double")
+        self.state = handle.getValueState("bucket", "credit double, last double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tokens, last = self.state.get() if self.state.exists() else (float(self.burst), None)
+        cost = round(1 / self.per_second, 9)
+        full = self.burst * cost
+        credit, last = self.state.get() if self.state.exists() else (full, None)
         batch = pd.concat(list(rows)).sort_values("window_start")
         sent = []
         for row in batch.itertuples(index=False):
             now = row.window_start.timestamp()
-            waited = 0.0 if last is None else now - last
-            tokens = min(float(self.burst), tokens + waited * self.per_second)
+            credit = min(full, credit + (0.0 if last is None else now - last))
             last = now
-            sent.append(tokens >= 1.0)
-            tokens -= sent[-1]
-        self.state.update((tokens, last))
+            sent.append(credit >= cost)
+            credit -= cost if sent[-1] else 0.0
+        self.state.update((credit, last))
         yield batch[sent]
 
     def close(self) -> None:
