@@ -136,7 +136,7 @@ def learning_cut(
 ) -> DataFrame:
     """Per container: order key of the last learned event, null while still learning.
 
-    ``novel`` (container_name, first_ord) are the moments of novelty, by default those of
+    The result is a stored table, one row per container. ``novel`` (container_name, first_ord) are the moments of novelty, by default those of
     the rollup; a continued profile passes its own.
     """
     if rollup is None:
@@ -166,7 +166,7 @@ def learning_cut(
         cuts = cuts.withColumn("cut_ord", F.lit(first).cast("decimal(38,0)"))
     # The last slot of the event: all of its path rows are learned.
     last_slot = (F.col("cut_ord") + F.lit(TS.MAX_POS).cast("decimal(6,0)")).cast("decimal(38,0)")
-    return cuts.withColumn("cut_ord", last_slot)
+    return materialize(cuts.withColumn("cut_ord", last_slot), "cut")
 
 
 def describe_cut(cuts: DataFrame) -> DataFrame:

@@ -108,3 +108,27 @@ def append_fields(
         kept = F.map_filter(added, lambda k, _: ~k.isin(*values))
         added = F.when(holds, F.map_concat(kept, new)).otherwise(added)
     return added
+
+
+def record(
+    rules: Sequence[Rule], include_output: bool = False, include_message: bool = False,
+    include_fields: bool = True, include_tags: bool = True,
+) -> Column:
+    """JSON record of a matched event (``matched_rule``, ``fields``, envelope columns).
+
+    ``message`` is the rule's formatted output, ``output`` the same after time and
+    priority. A switched-off property is left out.
+    """
+    message = rule_output(F.col("fields"), F.col("matched_rule"), rules)
+    parts = [F.col("hostname"), F.col("priority"), F.col("matched_rule").alias("rule"), F.col("source")]
+    if include_output:
+        head = F.concat(F.date_format("ts", "HH:mm:ss.SSSSSS"), F.lit(": "), F.initcap("priority"))
+        parts.append(F.concat(head, F.lit(" "), message).alias("output"))
+    if include_message:
+        parts.append(message.alias("message"))
+    if include_fields:
+        kept = rule_fields(F.col("fields"), F.col("matched_rule"), rules)
+        parts.append(kept.alias("output_fields"))
+    if include_tags:
+        parts.append(F.col("tags"))
+    return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})

@@ -70,7 +70,11 @@ def block_match(
     sizes = materialize(
         _sized(queries, "q_tiles").join(_sized(candidates, "c_tiles"), "block"), "tile-sizes"
     )
-    total = sizes.agg(F.sum(F.col("q_tiles") + F.col("c_tiles"))).first()[0] or 1
+    total = sizes.agg(F.sum(F.col("q_tiles") + F.col("c_tiles"))).first()[0]
+    turn = dict(candidates.dtypes)["turn"]
+    if total is None:
+        return queries.sparkSession.createDataFrame(
+            [], "block string, key string, best double, first_key string")
     bins = max(1, int(total) // 64)
     bin_ = F.pmod(F.xxhash64("block"), F.lit(bins)).alias("bin")
 
@@ -92,7 +96,6 @@ def block_match(
         bin_, every("q_tiles").alias("qt"), tile("c_tiles").alias("ct"),
         *fresh("block", "key", "turn", "vector"),
     )
-    turn = dict(candidates.dtypes)["turn"]
     schema = f"block string, key string, best double, first_turn {turn}, first_key string"
     tiled = left.groupBy("bin", "qt", "ct").cogroup(right.groupBy("bin", "qt", "ct")).applyInPandas(
         lambda q, c: _tile_scores(q, c, threshold, skip_same), schema
@@ -247,9 +250,8 @@ class SemanticProfile:
                 self.maps[-1].drop("turn"), [*parent, key], "left" if key == "attr" else "inner"
             )
         self.paths = paths
-        self.cuts = materialize(
-            P.learning_cut(events, learning, materialize(self._mapped_rollup(), "mapped-rollup")),
-            "cut",
+        self.cuts = P.learning_cut(
+            events, learning, materialize(self._mapped_rollup(), "mapped-rollup")
         )
 
     def _keyed(self, keys: DataFrame, parent: Sequence[str]) -> DataFrame:

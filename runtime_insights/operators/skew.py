@@ -9,6 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from runtime_insights.functions.timestamps import bucket
 
 SALTS = 16
+BROADCAST_ROWS = 100_000
+
+
+def is_small(dim: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``dim`` has at most ``rows`` rows; reads no more of it than that."""
+    return dim.limit(rows + 1).count() <= rows
 
 
 def salted_lookup(
@@ -19,12 +25,14 @@ def salted_lookup(
     how: str = "left",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join ``facts`` to ``dim``, which is unique on ``keys``.
+    """Join ``facts`` to ``dim``, a stored table that is unique on ``keys``.
 
-    The rows of one key are spread over ``salts`` tasks by a hash of the ``spread``
-    columns, and the few ``dim`` rows are repeated once per salt. Spark still
-    broadcasts ``dim`` by itself where its size is under the threshold.
+    A ``dim`` counted to be small is broadcast, and the facts stay where they are.
+    Beyond that the rows of one key are spread over ``salts`` tasks by a hash of the
+    ``spread`` columns, and each ``dim`` row is repeated once per salt.
     """
+    if is_small(dim):
+        return facts.join(F.broadcast(dim), list(keys), how)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -219,6 +219,26 @@ def rule_fields(spark, folder):
     )
 
 
+@register("record_properties", with_tables(RT_EVENTS, select=f"""
+SELECT seq, 'hostname,priority,rule,source,message,tags' AS properties,
+  CASE category WHEN 'process' THEN {_output_sql(R.S.PROCESS_RULE_FIELDS)}
+  WHEN 'network' THEN {_output_sql(R.S.NETWORK_RULE_FIELDS)}
+  ELSE {_output_sql(R.S.FILE_RULE_FIELDS)} END AS message
+FROM rt WHERE category <> 'unknown'"""))
+def record_properties(spark, folder):
+    """Records with the message switched on and the fields switched off."""
+    events = runtime_events(spark, folder).withColumn("fields", field_map()).withColumn(
+        "hostname", F.lit("h1")).withColumn("tags", F.array(F.lit("t1")))
+    rules = R.default_rules(F.col("category"), F.col("proc_name"))
+    records = R.match(events, rules).select(
+        "seq", F.explode(F.array(
+            R.record(rules, include_message=True, include_fields=False))).alias("record"))
+    return records.select(
+        "seq", F.array_join(F.json_object_keys("record"), ",").alias("properties"),
+        F.get_json_object("record", "$.message").alias("message"),
+    )
+
+
 @register("append_fields", with_tables(RT_EVENTS, select="""
 SELECT seq, 'all' AS site,
   CASE WHEN rule = 'net' THEN container_name || '/net' END AS link,

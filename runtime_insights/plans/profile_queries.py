@@ -317,6 +317,27 @@ def alert_counters(spark, folder):
     return K.alert_counters(_alerts(spark, folder))
 
 
+@register("alert_rate", _twin(ALERTS, """
+moment AS (SELECT max(ts) AS t FROM rt)""", select="""
+SELECT rule, priority, CAST(count(*) AS DOUBLE) / 604800.0 AS value FROM alerts, moment
+WHERE container_name = 'c3' AND ts > t - INTERVAL 7 DAY AND ts <= t GROUP BY ALL"""))
+def alert_rate(spark, folder):
+    """Alert rate of one container by rule and priority."""
+    alerts = search.alert_search(_alerts(spark, folder), "c3")
+    at = Q.latest(runtime_events(spark, folder))
+    return Q.rate(alerts, ["rule", "priority"], at, timedelta(days=7))
+
+
+@register("container_rate", with_tables(RT_EVENTS, """
+moment AS (SELECT max(ts) AS t FROM rt)""", select="""
+SELECT CAST(count(*) AS DOUBLE) / 86400.0 AS value FROM rt, moment
+WHERE container_name = 'c3' AND ts > t - INTERVAL 1 DAY AND ts <= t"""))
+def container_rate(spark, folder):
+    events = runtime_events(spark, folder)
+    one = events.filter(F.col("container_name") == "c3")
+    return Q.rate(one, [], Q.latest(events), timedelta(days=1))
+
+
 @register("alert_search", _twin(ALERTS, select="""
 SELECT container_name, seq, ts, branch, level, missing_key FROM alerts
 WHERE container_name = 'c3' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25'

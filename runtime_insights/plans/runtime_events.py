@@ -12,7 +12,7 @@ from runtime_insights.session import apply_settings, materialize
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return apply_settings(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 # The system call depends on the kind of event and on k modulo 4.
@@ -29,7 +29,7 @@ _FILE_EVENT = "(event_type = 'view' OR (event_type = 'error' AND k % 4 = 2))"
 
 def runtime_events(spark: SparkSession, folder: str) -> DataFrame:
     """Flat events; only the columns a query uses are read and computed."""
-    events = table(apply_settings(spark), folder, "events")
+    events = table(spark, folder, "events")
     by_case = {f"{kind}{i}": call for kind, four in _CALLS.items() for i, call in enumerate(four)}
     return (
         events.withColumn("k", F.expr("CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"))

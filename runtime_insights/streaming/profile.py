@@ -100,7 +100,7 @@ class ProfileStream:
             "container_name", F.explode(F.array("start_ord", "novel_ord")).alias("first_ord")
         ).filter(F.col("first_ord").isNotNull())
         novel = materialize(first_here.unionByName(before), "novel")
-        cuts = materialize(P.learning_cut(learning, self.learning, rollup, novel), "cut").select(
+        cuts = P.learning_cut(learning, self.learning, rollup, novel).select(
             "container_name", "cut_ord"
         )
 

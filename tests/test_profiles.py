@@ -203,3 +203,34 @@ def test_block_match_scores_every_pair_of_a_block(spark, monkeypatch):
         hit = next((f"k{j}" for j in others if scores[i, j] >= 0.5), None)
         best, first = found[f"k{i}"]
         assert first == hit and abs(best - max(scores[i, j] for j in others)) < 1e-9
+
+
+def test_large_lookup_tables_are_salted_with_the_same_result(spark, monkeypatch):
+    from runtime_insights.operators import skew
+
+    rows = random_events(12, 60, seed=9)
+    events, learning = events_of(spark, rows), P.Learning(GAP, WARMUP)
+    monkeypatch.setattr(skew.is_small, "__defaults__", (2,))
+    check_alerts(D.detect_alerts(events, learning), models(rows))
+
+
+def test_child_lookup(spark):
+    nodes = P.profile_nodes(events_of(spark, random_events(3, 30, seed=2)))
+    some = nodes.filter("level = 3").first()
+    parent = {"container_name": some.container_name, "branch": some.branch,
+              "evt_type": some.evt_type}
+    found = D.children_named(nodes, parent, some.proc_name).collect()
+    assert [(r.proc_name, r.level, r.first_seq) for r in found] == [
+        (some.proc_name, 3, some.first_seq)]
+    assert D.children_named(nodes, parent, "absent").isEmpty()
+
+
+def test_mean_pooling_skips_masked_tokens(spark):
+    from runtime_insights.functions.embed import mean_pooled, normalized
+
+    df = spark.createDataFrame(
+        [([[1.0, 2.0], [3.0, 6.0], [9.0, 9.0]], [1, 1, 0])], "v array<array<float>>, m array<int>")
+    pooled = mean_pooled(F.col("v"), F.col("m"))
+    row = df.select(pooled.alias("p"), normalized(pooled).alias("u")).first()
+    assert row.p == [2.0, 4.0]
+    assert row.u == pytest.approx([2 / 20 ** 0.5, 4 / 20 ** 0.5])
