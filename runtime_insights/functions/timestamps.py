@@ -9,8 +9,8 @@ from runtime_insights.functions.fields import field
 # The order key packs (ts, seq, pos) into one decimal(38,0): a fixed-width value, so
 # "first" and "last" are plain min and max inside a hash aggregate. A struct or a
 # min_by would turn each of those aggregates into a sort of all its input rows.
-_SEQ_DIGITS = 16
-_POS_DIGITS = 6
+_SEQ_DIGITS = 15
+_POS_DIGITS = 7
 MAX_SEQ = 10**_SEQ_DIGITS - 1
 MAX_POS = 10**_POS_DIGITS - 1
 
@@ -37,6 +37,11 @@ def millis(us: Column) -> Column:
     return bucket(us, 1000)
 
 
+def orderable(ts: Column) -> Column:
+    """Whether the order key can hold the time (1970 to 2286)."""
+    return micros(ts).between(0, 10**16 - 1)
+
+
 def order_key(ts_us: Column, seq: Column, pos: Column | None = None) -> Column:
     """One decimal that sorts like (ts, seq, pos); parts out of range fail the job."""
     pos = F.lit(0) if pos is None else pos
@@ -46,8 +51,8 @@ def order_key(ts_us: Column, seq: Column, pos: Column | None = None) -> Column:
     wide = "decimal(38,0)"
     key = (
         (ts_us.cast("decimal(16,0)") * _power(_SEQ_DIGITS + _POS_DIGITS)).cast(wide)
-        + (seq.cast("decimal(16,0)") * _power(_POS_DIGITS)).cast(wide)
-        + pos.cast("decimal(6,0)")
+        + (seq.cast("decimal(15,0)") * _power(_POS_DIGITS)).cast(wide)
+        + pos.cast("decimal(7,0)")
     )
     return F.when(legal, key.cast(wide)).otherwise(
         F.raise_error(F.lit("event time, sequence number or position is out of range")).cast(wide)

@@ -165,7 +165,7 @@ def learning_cut(
         first = cuts.agg(F.min("cut_ord")).first()[0]
         cuts = cuts.withColumn("cut_ord", F.lit(first).cast("decimal(38,0)"))
     # The last slot of the event: all of its path rows are learned.
-    last_slot = (F.col("cut_ord") + F.lit(TS.MAX_POS).cast("decimal(6,0)")).cast("decimal(38,0)")
+    last_slot = (F.col("cut_ord") + F.lit(TS.MAX_POS).cast("decimal(7,0)")).cast("decimal(38,0)")
     return materialize(cuts.withColumn("cut_ord", last_slot), "cut")
 
 

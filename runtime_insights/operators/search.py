@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from runtime_insights.functions import timestamps as TS
+from runtime_insights.functions.classify import severity
+from runtime_insights.operators.skew import is_small
 
 LOG_COLUMNS = (
     "seq", "ts", "rule", "priority", "evt_type", "proc_name",
@@ -68,7 +72,10 @@ def alert_page(
 
 def scoped(rows: DataFrame, grants: DataFrame, column: str = "container_name") -> DataFrame:
     """Only rows of granted containers; the grants are reduced to distinct names."""
-    return rows.join(grants.select(column).distinct(), column, "left_semi")
+    names = grants.select(column).distinct()
+    # A hot container is no problem for a broadcast; beyond that, adaptive execution
+    # splits its partition.
+    return rows.join(F.broadcast(names) if is_small(names) else names, column, "left_semi")
 
 
 def dedupe(events: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -80,8 +87,6 @@ def dedupe(events: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def envelope(rows: DataFrame, kind: str, payload: Sequence[str]) -> DataFrame:
     """Stream records: type, ts, container and a JSON payload with the severity tag."""
-    from runtime_insights.functions.classify import severity
-
     body = F.to_json(F.struct(*payload, severity(F.col("priority")).alias("severity")))
     return rows.select(
         F.lit(kind).alias("type"), "ts", F.col("container_name").alias("container"),
@@ -97,13 +102,11 @@ def merged_stream(
     )
 
 
-def alerts_first(records: DataFrame, width_us: int, position: Column | None = None) -> DataFrame:
+def alerts_first(records: DataFrame, width_us: int) -> DataFrame:
     """Order of delivery: by merge window, alerts before events in each, then by time.
 
     The result is globally sorted; ``batch`` is the start of the merge window.
     """
-    from runtime_insights.functions import timestamps as TS
-
     batch = TS.from_micros(TS.bucket(TS.micros(F.col("ts")), width_us) * width_us)
     turn = F.when(F.col("type") == "alert", 0).otherwise(1)
     return records.withColumn("batch", batch).withColumn("turn", turn).orderBy(

@@ -246,9 +246,7 @@ class SemanticProfile:
             # ``turn`` of a leader is its own first occurrence under this parent.
             mapped = self._unblocked(chosen, parent, key, name)
             self.maps.append(materialize(mapped, f"representatives-{name}"))
-            paths = paths.join(
-                self.maps[-1].drop("turn"), [*parent, key], "left" if key == "attr" else "inner"
-            )
+            paths = self._mapped(paths, self.maps[-1], key, parent)
         self.paths = paths
         self.cuts = P.learning_cut(
             events, learning, materialize(self._mapped_rollup(), "mapped-rollup")
@@ -266,11 +264,18 @@ class SemanticProfile:
             "turn", F.col("leader").alias(name),
         )
 
+    @staticmethod
+    def _mapped(rows: DataFrame, mapping: DataFrame, key: str, parent: Sequence[str]) -> DataFrame:
+        mapping = mapping.drop("turn")
+        if key == "attr":
+            return rows.join(mapping, [*parent, key], "left")
+        # One operation or process may have a third of all paths below it.
+        return salted_lookup(rows, mapping, [*parent, key], ["proc_name", "attr"], "inner")
+
     def _representative_rows(self, rows: DataFrame) -> DataFrame:
         """Path rows with their keys replaced by representatives."""
         for (key, _, parent), mapping in zip(_LEVELS, self.maps):
-            how = "left" if key == "attr" else "inner"
-            rows = rows.join(mapping.drop("turn"), [*parent, key], how)
+            rows = self._mapped(rows, mapping, key, parent)
         return rows.withColumn("leaf", F.coalesce("leaf", F.lit("")))
 
     def _mapped_rollup(self) -> DataFrame:
@@ -298,7 +303,7 @@ class SemanticProfile:
         level, so levels go top down over distinct keys only.
         """
         cut = self.cuts.select("container_name", "cut_ord").filter(F.col("cut_ord").isNotNull())
-        paths = self.novel.join(cut, "container_name")
+        paths = salted_lookup(self.novel, cut, ["container_name"], list(S.PATH[1:]), "inner")
         lost = None
         for (key, name, parent), mapping in zip(_LEVELS, self.maps):
             rows = paths.filter(F.col("attr") != "") if key == "attr" else paths
@@ -328,7 +333,8 @@ class SemanticProfile:
                 *S.PATH, F.lit(len(parent) - 1).alias("level"))
             lost = missing if lost is None else lost.unionByName(missing)
             if key != "attr":
-                paths = paths.join(matched, [*parent, key])
+                paths = salted_lookup(
+                    paths, matched, [*parent, key], ["proc_name", "attr"], "inner")
         return lost
 
 

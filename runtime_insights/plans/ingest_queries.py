@@ -38,7 +38,7 @@ def ingest_stats(spark, folder):
 
 
 _TYPED = with_tables(RT_EVENTS, _JUDGED, select="""
-SELECT seq, CASE WHEN k = 99 THEN NULL ELSE ts END AS ts, container_name, rule,
+SELECT seq, ts, container_name, rule,
   CASE WHEN k = 99 THEN NULL ELSE priority END AS priority,
   CASE WHEN rule IN ('process', 'PROC') THEN 'process' WHEN rule = 'net' THEN 'network'
        WHEN rule = 'file' THEN 'file' WHEN k = 99 THEN category ELSE 'unknown' END AS category,
@@ -51,17 +51,18 @@ FROM judged WHERE reason IS NULL""")
 
 @register("typed_events", _TYPED)
 def typed_events(spark, folder):
-    events = L.typed_events(L.parse_lines(raw_lines(spark, folder)), F.lit(None))
+    events = L.typed_events(L.parse_lines(raw_lines(spark, folder)))
     return events.drop("source", "hostname", "tags", "fields")
 
 
-@register("read_events_jsonl", _TYPED)
+@register("read_events_jsonl", _TYPED.replace("SELECT seq, ts,", "SELECT seq,"))
 def read_events_jsonl(spark, folder):
     """The same lines written as text files and read back."""
     path = f"{work_dir(spark)}/lines-{uuid.uuid4().hex}"
     raw_lines(spark, folder).select("raw").write.text(path)
-    events = L.typed_events(L.read_events_file(spark, path, whole_files=False), F.lit(None))
-    return events.drop("source", "hostname", "tags", "fields")
+    events = L.typed_events(L.read_events_file(spark, path, whole_files=False))
+    # Lines without a time get that of the file, which SQL cannot know.
+    return events.drop("ts", "source", "hostname", "tags", "fields")
 
 
 @register("parse_event_data", with_tables(RT_EVENTS, select="""

@@ -117,5 +117,6 @@ def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.to_json(envelope, keep_nulls))
     )
     return runtime_events(spark, folder).withColumn("fields", field_map()).select(
-        "seq", "ts", F.explode(F.array(raw)).alias("raw")
+        "seq", "ts", F.col("ts").cast("timestamp").alias("ingest_ts"),
+        F.explode(F.array(raw)).alias("raw"),
     )

@@ -15,6 +15,12 @@ from runtime_insights.functions.classify import profile_category
 _STRICT = {"allowSingleQuotes": "false"}
 
 
+# Files have no arrival time of their own; when one was last written stands for it.
+_FILE_COLUMNS = (
+    "value AS raw", "_metadata.file_path AS file", "_metadata.file_modification_time AS ingest_ts",
+)
+
+
 # --------------------------------------------------------------------- sources
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -25,9 +31,11 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         lines = spark.createDataFrame([], "value string").withColumn(
-            "_metadata", F.struct(F.lit("").alias("file_path"))
+            "_metadata", F.struct(
+                F.lit("").alias("file_path"),
+                F.lit(None).cast("timestamp").alias("file_modification_time"))
         )
-    return lines.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"))
+    return lines.selectExpr(*_FILE_COLUMNS)
 
 
 def stream_lines(
@@ -108,10 +116,11 @@ def inner_fields(whole: Column) -> Column:
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Add ``whole``, ``fields``, ``category`` and ``reason`` to non-blank lines.
+    """Add ``whole``, ``fields``, ``category``, ``event_ts`` and ``reason`` to the lines.
 
     ``reason`` is null for a usable event, else it says why the line goes to rejects.
-    Empty objects are dropped, as are blank lines.
+    Empty objects are dropped, as are blank lines. Events without a time of their own
+    get that of the optional column ``ingest_ts``.
     """
     whole, fields = F.col("whole"), F.col("fields")
     objects = _once(lines.filter(~X.is_blank(F.col("raw"))), "whole", _single_object(F.col("raw")))
@@ -121,6 +130,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     ).withColumn(
         "category", profile_category(X.field(whole, "rule"), X.field(whole, "evt.type"))
     )
+    ingest = F.col("ingest_ts") if "ingest_ts" in lines.columns else F.lit(None)
+    parsed = _once(parsed, "event_ts", F.array(
+        TS.event_time(X.field(whole, "time"), fields, ingest.cast("timestamp"))))
     category = F.col("category")
 
     def null_value(key: str) -> Column:
@@ -131,6 +143,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         F.when(whole.isNull(), F.when(is_json(F.col("raw")), "not an object").otherwise("not JSON"))
         .when(X.has_field(whole, "rule") & X.field(whole, "rule").isNull(), "null rule")
         .when(fields.isNull(), "null output_fields")
+        .when(F.col("event_ts").isNull() | ~TS.orderable(F.col("event_ts")), "no event time")
+        .when(~_sequence(fields).between(0, TS.MAX_SEQ), "sequence number out of range")
         .when(category == "unknown", None)
         .when(null_value("evt.type") | null_value("proc.name"), "null operation or process")
         .when((category == "process") & null_value("proc.cmdline"), "null command line")
@@ -141,22 +155,24 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return parsed.withColumn("reason", reason)
 
 
+def _sequence(fields: Column) -> Column:
+    return F.coalesce(X.field(fields, "evt.num").try_cast("bigint"), F.lit(0))
+
+
 def rejects(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("reason").isNotNull()).select("raw", "reason")
 
 
-def typed_events(parsed: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
+def typed_events(parsed: DataFrame) -> DataFrame:
     """Usable events in the flat schema; ``evt.num`` breaks ties of time."""
     whole, fields = F.col("whole"), F.col("fields")
-    if ingest_ts is None:
-        ingest_ts = F.col("ingest_ts") if "ingest_ts" in parsed.columns else F.lit(None)
 
     def text(key: str, default: str = "") -> Column:
         return X.field_if_present(fields, key, default)
 
     return parsed.filter(F.col("reason").isNull()).select(
-        F.coalesce(X.field(fields, "evt.num").try_cast("bigint"), F.lit(0)).alias("seq"),
-        TS.event_time(X.field(whole, "time"), fields, ingest_ts.cast("timestamp")).alias("ts"),
+        _sequence(fields).alias("seq"),
+        F.col("event_ts").alias("ts"),
         F.coalesce(text("container.name"), F.lit("")).alias("container_name"),
         X.field_if_present(whole, "rule", "").alias("rule"),
         X.field(whole, "priority").alias("priority"),
@@ -207,13 +223,13 @@ def read_events_file(
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return parsed
-    documents = documents.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"))
+    documents = documents.selectExpr(*_FILE_COLUMNS)
     values = F.coalesce(
         F.from_json("raw", "array<string>", _STRICT), F.array(F.col("raw"))
     )
     strict = F.when(is_json(F.col("raw")), values)
     whole = documents.join(hopeless, "file", "left_semi").select(
-        F.explode(strict).alias("raw"), "file"
+        F.explode(strict).alias("raw"), "file", "ingest_ts"
     )
     read_whole = whole.select("file").distinct()
     return parsed.join(read_whole, "file", "left_anti").unionByName(parse_lines(whole))

@@ -40,7 +40,7 @@ def lines(spark, *raws):
 
 
 def test_golden_events_give_their_paths(spark):
-    events = L.typed_events(L.parse_lines(lines(spark, FILE, PROCESS, NET)), F.lit(None))
+    events = L.typed_events(L.parse_lines(lines(spark, FILE, PROCESS, NET)))
     assert {r.category for r in events.collect()} == {"file", "process", "network"}
     assert events.first().ts == datetime(2025, 3, 4, 5, 6, 7, 123456)
     found = sorted((r.branch, r.evt_type, r.proc_name, r.pos, r.attr, r.attr_type)
@@ -64,11 +64,14 @@ def test_golden_events_give_their_paths(spark):
     (json.dumps(record("process", {"proc.name": None})), "null operation or process"),
     (json.dumps(record("net", {"fd.name": "a->b", "fd.type": None})), "null descriptor type"),
     (json.dumps(record("net", {"fd.name": "a->b->c", "fd.type": "ipv4"})), "two arrows"),
+    (json.dumps(record("file", {}, time=None)), "no event time"),
+    (json.dumps(record("file", {}, time="soon")), "no event time"),
+    (json.dumps(record("file", {"evt.num": -4})), "sequence number out of range"),
 ])
 def test_malformed_lines_are_rejected_with_a_reason(spark, line, reason):
     parsed = L.parse_lines(lines(spark, line, FILE, "", " \t ", "{}"))
     assert [tuple(r) for r in L.rejects(parsed).collect()] == [(line, reason)]
-    assert L.typed_events(parsed, F.lit(None)).count() == 1
+    assert L.typed_events(parsed).count() == 1
 
 
 def test_ingest_statistics(spark):
@@ -85,7 +88,7 @@ def test_event_files(spark, tmp_path):
 
     def rules(name):
         parsed = L.read_events_file(spark, f"{tmp_path}/{name}")
-        events = L.typed_events(parsed, F.lit(None))
+        events = L.typed_events(parsed)
         return sorted(r.rule for r in events.collect()), L.rejects(parsed).count()
 
     assert rules("lines.json") == (["file", "net"], 1)
@@ -152,7 +155,7 @@ def test_order_key_round_trip_and_limits(spark):
 
 
 def test_snapshot_files_round_trip(spark, tmp_path):
-    events = L.typed_events(L.parse_lines(lines(spark, FILE, PROCESS, PROCESS, NET)), F.lit(None))
+    events = L.typed_events(L.parse_lines(lines(spark, FILE, PROCESS, PROCESS, NET)))
     sinks.write_snapshots(snapshot.documents(events), f"{tmp_path}/snap")
     stored = spark.read.text(f"{tmp_path}/snap").withColumnRenamed("value", "document")
     columns = ["container_name", "level", "branch", "evt_type", "proc_name", "attr", "node_type",
