@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import sys
 import zlib
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runtime_insights import schema as S
 from runtime_insights.functions.fields import is_blank
 
-# Python tasks travel with their code, so workers need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules["runtime_insights"])
-
-
 class Embedder(Protocol):
     """Makes unit-length vectors, one row per text. Texts are never blank."""
 

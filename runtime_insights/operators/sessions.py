@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from runtime_insights import schema as S
@@ -78,27 +81,34 @@ def drop_alerts(
     runs = over.withColumn("opens", F.coalesce(pause, F.lit(True)).cast("int")).withColumn(
         "run", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0))
     )
-    ticks = F.sort_array(F.collect_list(F.struct("tick", "dropped", "total", "ratio")))
-    state = "struct<credit:double,last:bigint,sent:array<struct<tick:bigint,dropped:bigint,total:bigint,ratio:double>>>"
-    start = F.struct(
-        F.lit(float(burst * cost)).alias("credit"), F.lit(None).cast("bigint").alias("last"),
-        F.array().cast("array<struct<tick:bigint,dropped:bigint,total:bigint,ratio:double>>")
-        .alias("sent"),
-    ).cast(state)
-
-    def step(acc, t):
-        waited = F.coalesce(t["tick"] - acc["last"], F.lit(0))
-        credit = F.least(F.lit(float(burst * cost)), acc["credit"] + waited)
-        pays = credit >= F.lit(cost)
-        return F.struct(
-            F.when(pays, credit - F.lit(cost)).otherwise(credit).alias("credit"),
-            t["tick"].alias("last"),
-            F.when(pays, F.concat(acc["sent"], F.array(t))).otherwise(acc["sent"]).alias("sent"),
-        ).cast(state)
+    full = burst * cost
 
-    return (
-        runs.groupBy("host", "run").agg(F.aggregate(ticks, start, step).alias("acc"))
-        .select("host", F.inline("acc.sent"))
-        .select("host", TS.from_micros(F.col("tick") * width_us).alias("window_start"),
-                "dropped", "total", "ratio")
+    def fold(run: pd.DataFrame) -> pd.DataFrame:
+        run = run.sort_values("tick")
+        sent, _, _ = admit(run["tick"].tolist(), cost, full, full, None)
+        return run[["host", "tick"]][sent]
+
+    # The fold sees ticks alone; the counts join the few it lets through.
+    sent = runs.select("host", "run", "tick").groupBy("host", "run").applyInPandas(
+        fold, f"host {dict(ratios.dtypes)['host']}, tick bigint"
+    )
+    return over.join(sent, ["host", "tick"], "left_semi").select(
+        "host", TS.from_micros(F.col("tick") * width_us).alias("window_start"),
+        "dropped", "total", "ratio",
     )
+
+
+def admit(
+    times: Sequence[float], cost: float, full: float, credit: float, last: float | None
+) -> tuple[list[bool], float, float | None]:
+    """Which of the ordered ``times`` a token bucket lets through, and its state after.
+
+    Credit is waiting time, at most ``full``; a message costs ``cost`` of it.
+    """
+    sent = []
+    for now in times:
+        credit = min(full, credit + (0.0 if last is None else now - last))
+        last = now
+        sent.append(credit >= cost)
+        credit -= cost if sent[-1] else 0.0
+    return sent, credit, last

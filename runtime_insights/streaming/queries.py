@@ -11,8 +11,8 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from runtime_insights import schema as S
 from runtime_insights.functions import fields as X
-from runtime_insights.functions import embed as _embed  # noqa: F401  ships tasks by value
 from runtime_insights.operators.search import alerts_first, envelope
+from runtime_insights.operators.sessions import admit
 from runtime_insights.sources.lines import is_json
 
 WATERMARK = "2 minutes"
@@ -155,13 +155,8 @@ class TokenBucket(StatefulProcessor):
         full = self.burst * cost
         credit, last = self.state.get() if self.state.exists() else (full, None)
         batch = pd.concat(list(rows)).sort_values("window_start")
-        sent = []
-        for row in batch.itertuples(index=False):
-            now = row.window_start.timestamp()
-            credit = min(full, credit + (0.0 if last is None else now - last))
-            last = now
-            sent.append(credit >= cost)
-            credit -= cost if sent[-1] else 0.0
+        times = [t.timestamp() for t in batch["window_start"]]
+        sent, credit, last = admit(times, cost, full, credit, last)
         self.state.update((credit, last))
         yield batch[sent]
 
