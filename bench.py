@@ -41,9 +41,11 @@ def main() -> None:
 
     seconds = {}
     for name in names:
-        first = run(name)
-        # The better of two: the first run of a plan also compiles it.
-        seconds[name] = round(min(first, run(name)), 3)
+        # The best of up to three: the first runs of a plan also compile it.
+        times = [run(name), run(name)]
+        if sum(times) < 8:
+            times.append(run(name))
+        seconds[name] = round(min(times), 3)
     print(json.dumps({
         "metric": "total_query_time", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),

@@ -11,12 +11,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from runtime_insights import schema as S
 from runtime_insights.functions import timestamps as TS
 from runtime_insights.operators import detect as D, profile as P
-from runtime_insights.operators.paths import known
-from runtime_insights.operators.skew import salted_lookup
+from runtime_insights.operators.paths import known, path_rows
+from runtime_insights.operators.skew import is_small, salted_lookup
 from runtime_insights.session import materialize
 
 _PATHS = (
@@ -54,14 +55,13 @@ class ProfileStream:
         """Number of the last batch that wrote a compacted path table."""
         return batch_id // self.compact_every * self.compact_every
 
+    def _path_rows(self, spark: SparkSession, end: int) -> DataFrame:
+        first = 0 if end == 0 else self._base(min(end, self._last(spark) + 1) - 1)
+        return self._read(spark, "paths", _PATHS, first, end)
+
     def paths(self, spark: SparkSession, end: int = 2**62) -> DataFrame:
         """Learned paths of all batches before ``end``; counts are added up."""
-        first = 0 if end == 0 else self._base(min(end, self._last(spark) + 1) - 1)
-        rows = self._read(spark, "paths", _PATHS, first, end)
-        return rows.groupBy(*S.PATH).agg(
-            F.sum("n").alias("n"), F.min("first_ord").alias("first_ord"),
-            F.max("last_us").alias("last_us"),
-        )
+        return _summed(self._path_rows(spark, end))
 
     def containers(self, spark: SparkSession, end: int = 2**62) -> DataFrame:
         last = min(end, self._last(spark) + 1)
@@ -80,7 +80,7 @@ class ProfileStream:
     def process(self, events: DataFrame, batch_id: int) -> None:
         spark = events.sparkSession
         state = self.containers(spark, batch_id) if batch_id else spark.createDataFrame([], _CONTAINERS)
-        learned = self.paths(spark, batch_id) if batch_id else spark.createDataFrame([], _PATHS)
+        learned = self._path_rows(spark, batch_id) if batch_id else spark.createDataFrame([], _PATHS)
 
         ord_ = TS.order_key(TS.micros(F.col("ts")), F.col("seq"))
         marked = salted_lookup(
@@ -92,10 +92,10 @@ class ProfileStream:
         fresh = marked.filter(~F.col("late")).drop("late")
         learning = fresh.filter(F.col("old_cut").isNull()).drop("old_cut")
 
+        old = self._touched(learned, fresh)
         rollup = materialize(P.path_rollup(learning, self.learning.quiet_gap_ms), "path-rollup")
-        first_here = P.novel_paths(rollup).join(
-            learned.select(*S.PATH), list(S.PATH), "left_anti"
-        ).select("container_name", "first_ord")
+        first_here = P.novel_paths(rollup).join(old, list(S.PATH), "left_anti").select(
+            "container_name", "first_ord")
         before = state.filter(F.col("cut_ord").isNull()).select(
             "container_name", F.explode(F.array("start_ord", "novel_ord")).alias("first_ord")
         ).filter(F.col("first_ord").isNotNull())
@@ -107,17 +107,14 @@ class ProfileStream:
         taught = materialize(P.path_counts(P.learned_events(learning, cuts)), "batch-paths")
         if batch_id and batch_id % self.compact_every == 0:
             # This batch's folder holds everything; readers start from it.
-            total = learned.unionByName(taught).groupBy(*S.PATH).agg(
-                F.sum("n").alias("n"), F.min("first_ord").alias("first_ord"),
-                F.max("last_us").alias("last_us"))
-            self._write(total, "paths", batch_id)
+            self._write(_summed(learned.unionByName(taught)), "paths", batch_id)
         else:
             self._write(taught, "paths", batch_id)
 
         detecting = fresh.filter(F.col("old_cut").isNotNull()).drop("old_cut").unionByName(
             P.with_phase(learning, cuts).filter(F.col("phase") == "detect").drop("phase")
         )
-        profile = learned.select(*S.PATH).unionByName(taught.select(*S.PATH)).distinct()
+        profile = old.unionByName(taught.select(*S.PATH))
         self._write(D.detect_against(detecting, profile), "alerts", batch_id)
 
         seen = marked.groupBy("container_name").agg(
@@ -141,6 +138,25 @@ class ProfileStream:
             "containers", batch_id,
         )
 
+    @staticmethod
+    def _touched(learned: DataFrame, events: DataFrame) -> DataFrame:
+        """Learned paths that the batch is on, and all processes of its operations.
+
+        The batch's few distinct paths go to the stored profile, which is read but not
+        shuffled while the batch is small.
+        """
+        seen = materialize(path_rows(events).select(*S.PATH).distinct(), "batch-seen")
+        operations = seen.select(*S.PATH[:3]).distinct()
+        small = is_small(seen)
+
+        def on(rows: DataFrame, keys: DataFrame) -> DataFrame:
+            keys = F.broadcast(keys) if small else keys
+            return rows.join(keys, keys.columns, "left_semi")
+
+        stored = learned.select(*S.PATH)
+        hits = on(stored, seen).unionByName(on(stored.filter(F.col("attr") == ""), operations))
+        return materialize(hits.distinct(), "batch-profile")
+
     def start(
         self, events: DataFrame, checkpoint: str, every: str = "1 second", once: bool = False
     ) -> StreamingQuery:
@@ -152,9 +168,14 @@ class ProfileStream:
         return writer.trigger(processingTime=every).start()
 
 
-def _existing(spark: SparkSession, path: str, schema: str | None) -> DataFrame:
-    from pyspark.sql.utils import AnalysisException
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*S.PATH).agg(
+        F.sum("n").alias("n"), F.min("first_ord").alias("first_ord"),
+        F.max("last_us").alias("last_us"),
+    )
 
+
+def _existing(spark: SparkSession, path: str, schema: str | None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     try:
         return reader.parquet(path)
