@@ -20,7 +20,8 @@ def has_field(fields: Column, key: str) -> Column:
 
 def field_if_present(fields: Column, key: str, default: str) -> Column:
     """``default`` only where the key is missing; a null value stays null."""
-    return F.when(has_field(fields, key), field(fields, key)).otherwise(F.lit(default))
+    # The key is looked for a second time only where the value is null.
+    return F.coalesce(field(fields, key), F.when(~has_field(fields, key), F.lit(default)))
 
 
 def label(fields: Column, key: str) -> Column:

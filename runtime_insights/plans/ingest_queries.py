@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from runtime_insights.functions import classify as C, fields as X, timestamps as TS
 from runtime_insights.operators import paths, rules as R
 from runtime_insights.plans.base import register
-from runtime_insights.plans.runtime_events import field_map, raw_lines, runtime_events
+from runtime_insights.plans.runtime_events import field_map, log_lines, runtime_events
 from runtime_insights.plans.twins import PATHS, RT_EVENTS, with_tables
 from runtime_insights.session import work_dir
 from runtime_insights.sources import lines as L
@@ -26,7 +26,7 @@ _JUDGED = f"judged AS (SELECT *, {_REASON} AS reason FROM rt WHERE k NOT IN (90,
 @register("ingest_rejects", with_tables(RT_EVENTS, _JUDGED, select="""
 SELECT seq, reason FROM judged WHERE reason IS NOT NULL"""))
 def ingest_rejects(spark, folder):
-    parsed = L.parse_lines(raw_lines(spark, folder))
+    parsed = L.parse_lines(log_lines(spark, folder))
     return parsed.filter(F.col("reason").isNotNull()).select("seq", "reason")
 
 
@@ -34,7 +34,7 @@ def ingest_rejects(spark, folder):
 SELECT count(*) FILTER (k <> 90) AS lines_processed, count(*) FILTER (k = 91) AS json_errors
 FROM rt"""))
 def ingest_stats(spark, folder):
-    return L.ingest_stats(raw_lines(spark, folder))
+    return L.ingest_stats(log_lines(spark, folder))
 
 
 _TYPED = with_tables(RT_EVENTS, _JUDGED, select="""
@@ -51,7 +51,7 @@ FROM judged WHERE reason IS NULL""")
 
 @register("typed_events", _TYPED)
 def typed_events(spark, folder):
-    events = L.typed_events(L.parse_lines(raw_lines(spark, folder)))
+    events = L.typed_events(L.parse_lines(log_lines(spark, folder)))
     return events.drop("source", "hostname", "tags", "fields")
 
 
@@ -59,7 +59,7 @@ def typed_events(spark, folder):
 def read_events_jsonl(spark, folder):
     """The same lines written as text files and read back."""
     path = f"{work_dir(spark)}/lines-{uuid.uuid4().hex}"
-    raw_lines(spark, folder).select("raw").write.text(path)
+    log_lines(spark, folder).select("raw").write.text(path)
     events = L.typed_events(L.read_events_file(spark, path, whole_files=False))
     # Lines without a time get that of the file, which SQL cannot know.
     return events.drop("ts", "source", "hostname", "tags", "fields")
@@ -73,7 +73,7 @@ SELECT seq, CASE WHEN k IN (90, 91, 92, 93) THEN NULL WHEN k = 94 THEN NULL ELSE
 FROM rt"""))
 def parse_event_data(spark, folder):
     parsed = F.col("parsed")
-    rows = raw_lines(spark, folder).select(
+    rows = log_lines(spark, folder).select(
         "seq", F.explode(F.array(L.parse_event_data(F.col("raw")))).alias("parsed")
     )
     return rows.select(
@@ -89,7 +89,7 @@ FROM rt WHERE k NOT BETWEEN 90 AND 93"""))
 def output_fields(spark, folder):
     inner = F.col("inner")
     return (
-        L.parse_lines(raw_lines(spark, folder)).filter(F.col("whole").isNotNull())
+        L.parse_lines(log_lines(spark, folder)).filter(F.col("whole").isNotNull())
         .withColumnRenamed("fields", "inner").select(
             "seq", X.field(inner, "container.name").alias("container"),
             X.has_field(inner, "container.image.repository").alias("has_image"),

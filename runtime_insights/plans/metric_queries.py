@@ -11,7 +11,7 @@ from runtime_insights.functions.classify import metrics_category
 from runtime_insights.operators import counters as K, rates as Q
 from runtime_insights.plans.base import register
 from runtime_insights.plans.ingest_queries import METRIC_CATEGORY
-from runtime_insights.plans.runtime_events import raw_lines, runtime_events
+from runtime_insights.plans.runtime_events import log_lines, runtime_events
 from runtime_insights.plans.twins import RT_EVENTS, with_tables
 from runtime_insights.sources import lines as L
 
@@ -20,7 +20,7 @@ HOUR, DAY = 3_600_000_000, 86_400_000_000
 
 def counted(spark, folder):
     """Log lines with the eight counter labels."""
-    parsed = L.parse_lines(raw_lines(spark, folder))
+    parsed = L.parse_lines(log_lines(spark, folder))
     return K.labelled(parsed.drop("category", "fields", "reason"), F.col("ts").cast("timestamp"))
 
 

@@ -120,3 +120,8 @@ def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
         "seq", "ts", F.col("ts").cast("timestamp").alias("ingest_ts"),
         F.explode(F.array(raw)).alias("raw"),
     )
+
+
+def log_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The log lines as a stored table, as a log would be."""
+    return stored(spark, folder, "lines", raw_lines)

@@ -136,12 +136,12 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     category = F.col("category")
 
     def null_value(key: str) -> Column:
-        return X.has_field(fields, key) & X.field(fields, key).isNull()
+        return X.field(fields, key).isNull() & X.has_field(fields, key)
 
     fd_name = F.coalesce(X.field(fields, "fd.name"), F.lit(""))
     reason = (
         F.when(whole.isNull(), F.when(is_json(F.col("raw")), "not an object").otherwise("not JSON"))
-        .when(X.has_field(whole, "rule") & X.field(whole, "rule").isNull(), "null rule")
+        .when(X.field(whole, "rule").isNull() & X.has_field(whole, "rule"), "null rule")
         .when(fields.isNull(), "null output_fields")
         .when(F.col("event_ts").isNull() | ~TS.orderable(F.col("event_ts")), "no event time")
         .when(~_sequence(fields).between(0, TS.MAX_SEQ), "sequence number out of range")
