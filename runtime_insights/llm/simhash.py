@@ -29,8 +29,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from runtime_insights.llm.arrays import chunks, id_array, id_column, runs, text_bytes
-from runtime_insights.llm.tables import columns_or_null, components, discard, parts, store
+from runtime_insights.llm.arrays import chunks, runs, text_bytes
+from runtime_insights.llm.tables import columns_or_null, components, discard, parts, row_key, store
 
 SEED, SHINGLE = 42, 3
 DENSE = 4_096
@@ -67,15 +67,17 @@ def _fingerprints(batches):
         out = np.zeros(chunk.num_rows, np.uint64)
         if rows:
             out[rows] = fingerprint(np.array(hashes, np.uint64), np.array(begin))
+        others = [c for c in chunk.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays(
-            [id_column(id_array(chunk.column("doc_id"))), pa.array(out.view(np.int64))], ["doc_id", "f"]
+            [*[chunk.column(c) for c in others], pa.array(out.view(np.int64))], [*others, "f"]
         )
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``f``: the fingerprint as a signed 64-bit number."""
-    return columns_or_null(docs, {"doc_id": "long", "text": "string"}).mapInArrow(
-        _fingerprints, "doc_id long, f long"
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """``doc_id``, the columns ``keep`` (long), ``f``: the fingerprint as a signed 64-bit number."""
+    kinds = {"doc_id": "long", **dict.fromkeys(keep, "long")}
+    return columns_or_null(docs, {**kinds, "text": "string"}).mapInArrow(
+        _fingerprints, ", ".join(f"{c} {kind}" for c, kind in kinds.items()) + ", f long"
     )
 
 
@@ -207,24 +209,43 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     return found
 
 
+def _labels(prints: DataFrame, distance: int) -> DataFrame:
+    """``f``, ``component`` (its smallest fingerprint), ``component_id`` for every fingerprint."""
+    per_print = store(prints.groupBy("f").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    member = components(links(per_print.select("f").repartition(parts(prints.sparkSession), "f"), distance))
+    member = store(member.withColumnRenamed("node", "f"), "simhash-members")
+    grouped = per_print.join(member, "f", "left").withColumn("component", F.coalesce("component", "f"))
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    label = store(grouped.join(least, "component").select("f", "component", "component_id"), "simhash-labels")
+    discard(per_print, member)
+    return label
+
+
 def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     """Per input row: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``."""
     prints = store(fingerprints(docs), "simhash-prints")
-    return near_duplicate_prints(prints, distance).select(
+    return prints.join(_labels(prints, distance), "f").select(
         "doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def near_duplicate_prints(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """``prints`` (doc_id, f) with the ``component_id`` of each row."""
-    per_print = store(prints.groupBy("f").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    member = components(links(per_print.select("f").repartition(parts(prints.sparkSession), "f"), distance))
-    member = store(member.withColumnRenamed("node", "f"), "simhash-members")
-    grouped = per_print.join(member, "f", "left").withColumn("component", F.coalesce("component", "f"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = store(grouped.join(least, "component").select("f", "component_id"), "simhash-labels")
-    discard(per_print, member)
-    return prints.join(label, "f")
+def keep_one_of_each(docs: DataFrame, distance: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: smallest doc_id, then smallest content hash.
+
+    Rows without doc_id come after all others. All columns as they are.
+    """
+    keyed = docs.withColumn("_row", row_key("doc_id", "text"))
+    prints = store(fingerprints(keyed, "_row"), "simhash-prints")
+    labelled = prints.join(_labels(prints, distance), "f")
+    best = labelled.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_row").alias("row"))).alias("best")
+    ).select(F.col("best.row").alias("_row"))
+    stay = store(prints.join(best, "_row").groupBy("_row").agg(F.count("*").alias("_times")), "simhash-stay")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # Equal rows share the key; only they have to be thinned out.
+    single = keyed.join(stay.filter("_times = 1").select("_row"), "_row", "left_semi")
+    repeated = keyed.join(stay.filter("_times > 1").select("_row"), "_row", "left_semi").dropDuplicates(["_row"])
+    return single.select(*columns).union(repeated.select(*columns))
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
