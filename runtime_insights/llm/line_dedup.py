@@ -1,8 +1,8 @@
 """Fuzzy line de-duplication by MinHash, in DataFrame operations only.
 
-Lines are the parts of a text between newlines. A line's character shingles are the ``WIDTH``
-characters from the begin of each of its words on. Two lines are linked if the Jaccard
-similarity of their shingles is at least ``least``. Of each connected group of lines the first
+Lines are the parts of a text between newlines. A line's character shingles are, from the begin
+of each of its words on, the first ``WIDTH`` characters of ``SPAN`` words with one blank
+between. Two lines are linked if the Jaccard similarity of their shingles is at least ``least``. Of each connected group of lines the first
 occurrence (smallest doc_id, then position) stays, all others go. Lines without a word stay.
 
 Plan. Words are exploded and reduced on the map side to one row per distinct line and task:
@@ -12,7 +12,7 @@ Minima are banded in ``HASHES / 2`` pairs: lines of similarity 0.8 share none wi
 3 in 10,000. All pairs of a small bucket are candidates. A bucket of more than
 ``SMALL`` lines is dealt again by each further band; what still is larger (lines that agree in
 four minima, that is near copies of each other) takes its two ends as partners of all, so
-its pairs are never all made. Candidates are verified on their shingles as strings, linked
+its pairs are never all made. Candidates are verified on all their shingles (as 64-bit hashes), linked
 ones are joined by a distributed union-find.
 
 Nothing is gathered per line or bucket; hot lines and buckets meet small tables in joins
@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runtime_insights.llm.tables import components, discard, row_key, store
 
-WIDTH, HASHES, SMALL, SIMILAR = 16, 16, 16, 0.8
+WIDTH, SPAN, HASHES, SMALL, SIMILAR = 16, 4, 16, 16, 0.8
+_MARKS = ("\t", "\x0b", "\x0c", "\r")  # white space beside the blank
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -42,45 +43,46 @@ def _point(k: int) -> int:
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, "[ \t\x0b\x0c\r]+"), lambda w: w != "")
+    """Words between white space; lines with single blanks only, the usual ones, without a regular expression."""
+    odd = line.startswith(" ") | line.endswith(" ")
+    for mark in ("  ", *_MARKS):
+        odd = odd | line.contains(mark)
+    every = F.filter(F.split(line, f"[ {''.join(_MARKS)}]+"), lambda w: w != "")
+    return F.when(odd, every).otherwise(F.split(line, " "))
 
 
 def _shingle(words: str, i: str) -> str:
-    """SQL for the shingle from word ``i`` on (from 0); three words mostly are long enough."""
-    def joined(n):
-        return f"concat_ws(' ', {words}[{i}], " + ", ".join(f"get({words}, {i} + {j})" for j in range(1, n)) + ")"
-
-    return (
-        f"CASE WHEN char_length({joined(3)}) >= {WIDTH} THEN substring({joined(3)}, 1, {WIDTH}) "
-        f"ELSE substring({joined(WIDTH // 2 + 1)}, 1, {WIDTH}) END"
-    )
+    """SQL for the shingle from word ``i`` on (from 0)."""
+    more = ", ".join(f"get({words}, {i} + {j})" for j in range(1, SPAN))
+    return f"substring(concat_ws(' ', {words}[{i}], {more}), 1, {WIDTH})"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``row``, ``pos``, ``line``, ``lid`` of all lines that hold a word."""
+    """``doc`` (the smallest number for none), ``row``, ``pos``, ``line``, ``lid`` of all lines that hold a word."""
     return (
-        docs.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-        .filter(F.col("line").rlike("[^ \t\x0b\x0c\r]"))
+        docs.select(
+            F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "row",
+            F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"),
+        )
+        .filter(F.col("line").rlike(f"[^ {''.join(_MARKS)}]"))
         .withColumn("lid", F.xxhash64("line"))
     )
 
 
-def _order() -> Column:
-    """Documents by id, then lines by position, as one fixed-width number."""
-    return F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col(
-        "pos"
-    ).cast("decimal(10,0)")
+def _place() -> Column:
+    """A number for the place of a line, to pick one of its copies."""
+    return F.xxhash64("doc", "pos")
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: ``lid``, ``copies``, ``first``, and the minima m0, m1, ..."""
+    """One row per distinct line: ``lid``, ``copies``, ``doc`` (first), ``place`` (of one copy), m0, m1, ..."""
     exploded = (
-        lines.select("lid", _order().cast("decimal(38,0)").alias("ord"), _words(F.col("line")).alias("w"))
-        .select("lid", "ord", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
-        .select("lid", "ord", "i", F.expr(f"xxhash64({_shingle('w', 'i')})").alias("h"))
+        lines.select("lid", "doc", _place().alias("place"), _words(F.col("line")).alias("w"))
+        .select("lid", "doc", "place", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
+        .select("lid", "doc", "place", "i", F.expr(f"xxhash64({_shingle('w', 'i')})").alias("h"))
     )
     return exploded.groupBy("lid").agg(
-        F.sum((F.col("i") == 0).cast("long")).alias("copies"), F.min("ord").alias("first"),
+        F.sum((F.col("i") == 0).cast("long")).alias("copies"), F.min("doc").alias("doc"), F.min("place").alias("place"),
         *[F.min(F.col("h").bitwiseXOR(F.lit(_point(k)))).alias(f"m{k}") for k in range(HASHES)],
     )
 
@@ -118,46 +120,48 @@ def _candidates(signatures: DataFrame) -> DataFrame:
     return pairs
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, signatures: DataFrame, lines: DataFrame, least: float) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("lid")).union(pairs.select(F.col("b").alias("lid"))).distinct()
-    found = lines.select("lid", "line").join(wanted, "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line"))
+    wanted = store(wanted.join(signatures.select("lid", "place"), "lid"), "lines-wanted")
+    # One copy of each wanted line.
+    found = lines.select("lid", _place().alias("place"), "line").join(wanted.hint("shuffle_hash"), ["lid", "place"])
     shingles = store(
         found.select("lid", _words(F.col("line")).alias("w")).select(
-            "lid", F.expr(f"array_distinct(transform(sequence(0, size(w) - 1), i -> {_shingle('w', 'i')}))").alias("s")
+            "lid", F.expr(f"array_distinct(transform(sequence(0, size(w) - 1), i -> xxhash64({_shingle('w', 'i')})))").alias("s")
         ), "lines-shingles",
     )
     common = F.size(F.array_intersect("sa", "sb"))
     links = (
         pairs.join(shingles.select(F.col("lid").alias("a"), F.col("s").alias("sa")), "a")
         .join(shingles.select(F.col("lid").alias("b"), F.col("s").alias("sb")), "b")
-        .filter(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+        .filter(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
     )
     links = store(links, "lines-links")
-    discard(shingles)
+    discard(wanted, shingles)
     return links
 
 
 def _lines_that_go(docs: DataFrame, least: float) -> DataFrame:
-    """``doc_id``, ``row``, ``gone`` (positions). ``docs``: ``doc_id``, ``row``, ``text``."""
+    """``doc``, ``row``, ``gone`` (positions). ``docs``: ``doc_id``, ``row``, ``text``."""
     lines = _lines(docs)
     signatures = store(_signatures(lines), "lines-signatures")
     pairs = _candidates(signatures)
-    links = _verified(pairs, lines, least)
-    member = store(components(links, "lines-components"), "lines-members")
-    first = signatures.select("lid", "copies", "first")
-    groups = first.join(member.withColumnRenamed("node", "lid"), "lid")
-    stays = groups.groupBy("component").agg(F.min("first").alias("stays"))
-    repeated = groups.join(stays, "component").select("lid", "stays").union(
-        first.filter("copies > 1").join(member.select(F.col("node").alias("lid")), "lid", "left_anti").select(
-            "lid", F.col("first").alias("stays")
+    links = _verified(pairs, signatures, lines, least)
+    member = store(components(links, "lines-components"), "lines-members").withColumnRenamed("node", "lid")
+    first = signatures.select("lid", "copies", "doc")
+    groups = first.join(member, "lid")
+    stays = groups.groupBy("component").agg(F.min("doc").alias("stays"))
+    repeated = groups.join(stays, "component").select("lid", "component", "stays").union(
+        first.filter("copies > 1").join(member, "lid", "left_anti").select(
+            "lid", F.col("lid").alias("component"), F.col("doc").alias("stays")
         )
     )
     repeated = store(repeated, "lines-repeated")
-    gone = lines.select("doc_id", "row", "pos", "lid").join(repeated, "lid").filter(
-        _order().cast("decimal(38,0)") > F.col("stays")
-    )
-    gone = store(gone.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone")), "lines-gone")
-    discard(signatures, pairs, links, member, repeated)
+    found = store(lines.select("doc", "row", "pos", "lid").join(repeated, "lid").drop("lid"), "lines-found")
+    at = found.filter("doc = stays").groupBy("component").agg(F.min("pos").alias("at"))
+    gone = found.join(at, "component").filter("doc <> stays OR pos <> at")
+    gone = store(gone.groupBy("doc", "row").agg(F.collect_set("pos").alias("gone")), "lines-gone")
+    discard(signatures, pairs, links, repeated, found)
     return gone
 
 
@@ -167,10 +171,9 @@ def dedup_lines(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     key, id_name = "_line_row", "_line_doc"
     keyed = docs.withColumn(id_name, F.col("doc_id").cast("long")).withColumn(key, row_key("doc_id", "text"))
     gone = _lines_that_go(keyed.select(F.col(id_name).alias("doc_id"), F.col(key).alias("row"), F.col("text")), least)
-    gone = gone.select(F.col("doc_id").alias("_gone_doc"), F.col("row").alias("_gone_row"), F.col("gone").alias("_gone"))
-    joined = keyed.join(
-        gone, (F.col(key) == F.col("_gone_row")) & F.col(id_name).eqNullSafe(F.col("_gone_doc")), "left"
-    )
+    gone = gone.select(F.col("doc").alias("_gone_doc"), F.col("row").alias("_gone_row"), F.col("gone").alias("_gone"))
+    same_doc = F.coalesce(F.col(id_name), F.lit(-(2**63))) == F.col("_gone_doc")
+    joined = keyed.join(gone, (F.col(key) == F.col("_gone_row")) & same_doc, "left")
     kept = F.array_join(
         F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n"
     )

@@ -184,7 +184,7 @@ def test_quality_of_awkward_rows(spark, odd_docs, no_docs):
 
 def shingles(line):
     w = [x for x in __import__("re").split("[ \t\x0b\x0c\r]+", line) if x]
-    return {" ".join(w[i : i + 9])[:16] for i in range(len(w))}
+    return {" ".join(w[i : i + 4])[:16] for i in range(len(w))}
 
 
 def brute_lines(docs, least=0.8):
