@@ -114,24 +114,31 @@ def _fit(value, add, size: int, y: np.ndarray, steps: int = 80, rate: float = 0.
 
 
 class _Rows:
-    """Features of training rows: trigram counts as (row, bucket, share), and metadata."""
+    """Features of training rows: shares of trigrams, row after row, and metadata."""
 
     def __init__(self, rows: list[dict]):
         self.meta = np.array([r["meta"] for r in rows], np.float64).reshape(len(rows), 9)
-        buckets = [np.frombuffer(r["buckets"], np.uint32).astype(np.int64) for r in rows]
-        self.share = np.concatenate([np.frombuffer(r["shares"], np.float32) for r in rows] or [np.zeros(0, np.float32)])
-        self.bucket = np.concatenate(buckets or [np.zeros(0, np.int64)])
-        self.row = np.repeat(np.arange(len(rows)), [len(b) for b in buckets])
-        self.n = len(rows)
+        self.size = np.array([len(r["buckets"]) // 4 for r in rows], np.int64)
+        self.bucket = np.frombuffer(b"".join(r["buckets"] for r in rows), np.uint32).astype(np.int64)
+        self.share = np.frombuffer(b"".join(r["shares"] for r in rows), np.float32)
+        self.full = np.flatnonzero(self.size)
+        self.begin = (np.cumsum(self.size) - self.size)[self.full]
+
+    def _sums(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.size))
+        if len(self.full):
+            out[self.full] = np.add.reduceat(self.share * w[self.bucket], self.begin)
+        return out
 
     def fit_text(self, y):
-        used, column = np.unique(self.bucket, return_inverse=True)
-        value = lambda w: np.bincount(self.row, self.share * w[column], self.n) + w[-1]
-        add = lambda e: np.append(np.bincount(column, self.share * e[self.row], len(used)), e.sum())
-        w = _fit(value, add, len(used) + 1, y, rate=3.0, decay=1e-8)
-        out = np.zeros(1 << TEXT_BITS)
-        out[used] = w[:-1]
-        return out, w[-1]
+        n = 1 << TEXT_BITS
+
+        def add(e):
+            spread = np.repeat(e.astype(np.float32), self.size) * self.share
+            return np.append(np.bincount(self.bucket, spread, n), e.sum())
+
+        w = _fit(lambda w: self._sums(w[:n]) + w[n], add, n + 1, y, rate=3.0, decay=1e-8)
+        return w[:n], w[n]
 
     def fit_meta(self, y):
         dense, hashed = self.meta[:, :7], self.meta[:, 7:].astype(np.int64)
@@ -143,7 +150,7 @@ class _Rows:
         return w[:7], w[7:].reshape(2, size)
 
     def text_scores(self, model):
-        return np.bincount(self.row, self.share * model.text[self.bucket], self.n) + model.text_bias
+        return self._sums(model.text) + model.text_bias
 
 
 def _row_features(batches):
