@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from runtime_insights import schema as S
+from runtime_insights.functions.branches import branches
 
 
 def lookup(entries: dict[str, str], key: Column) -> Column:
@@ -16,11 +17,9 @@ def lookup(entries: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.expr(f"map({quoted})"), key)
 
 
-def _category(rule: Column, evt_type: Column, network_syscalls) -> Column:
-    by_rule = {w: c for c, words in zip(S.CATEGORIES, (S.PROCESS_RULES, S.NETWORK_RULES, S.FILE_RULES))
-               for w in words}
-    by_call = {w: c for c, words in zip(
-        S.CATEGORIES, (S.PROCESS_SYSCALLS, network_syscalls, S.FILE_SYSCALLS)) for w in words}
+def _category(rule: Column, evt_type: Column, metric: bool) -> Column:
+    by_rule = {w: b.name for b in branches() for w in b.rules}
+    by_call = {w: b.name for b in branches() for w in b.calls + (b.metric_calls if metric else ())}
     return F.coalesce(
         lookup(by_rule, F.lower(rule)), lookup(by_call, F.lower(evt_type)), F.lit("unknown")
     )
@@ -32,12 +31,12 @@ def profile_category(rule: Column, evt_type: Column) -> Column:
     ``evt_type`` is the event's top-level one; a null rule is malformed and is
     rejected at ingest, not here.
     """
-    return _category(rule, evt_type, S.NETWORK_SYSCALLS)
+    return _category(rule, evt_type, False)
 
 
 def metrics_category(rule: Column, evt_type: Column) -> Column:
     """Category used as a counter label; also knows ``listen`` and ``bind``."""
-    return _category(rule, evt_type, S.NETWORK_SYSCALLS_METRICS)
+    return _category(rule, evt_type, True)
 
 
 def priority_rank(priority: Column) -> Column:

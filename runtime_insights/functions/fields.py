@@ -52,7 +52,7 @@ def network_attribute(fd_name: Column, fd_type: Column) -> Column:
     return F.when(F.coalesce(fd_name, F.lit("")) != "", text)
 
 
-def _attribute(pos: Column, attr: Column, kind: str) -> Column:
+def attribute(pos: Column, attr: Column, kind: str) -> Column:
     return F.struct(
         pos.cast("int").alias("pos"), attr.alias("attr"), F.lit(kind).alias("attr_type")
     )
@@ -61,30 +61,12 @@ def _attribute(pos: Column, attr: Column, kind: str) -> Column:
 def file_attributes(fd_directory: Column, fd_name: Column) -> Column:
     """Directory, then name, each if not empty; the position tells which is which."""
     both = F.array(
-        _attribute(F.lit(0), fd_directory, S.DIRECTORY_TYPE),
-        _attribute(F.lit(1), fd_name, S.FILE_TYPE),
+        attribute(F.lit(0), fd_directory, S.DIRECTORY_TYPE),
+        attribute(F.lit(1), fd_name, S.FILE_TYPE),
     )
     return F.filter(both, lambda a: F.coalesce(a["attr"], F.lit("")) != "")
 
 
-def attributes() -> Column:
-    """Attributes of a flat event: array of (pos, attr, attr_type), maybe empty."""
-    remote = network_attribute(F.col("fd_name"), F.col("fd_type"))
-    tokens = F.transform(
-        command_tokens(F.col("cmdline")), lambda t, i: _attribute(i, t, S.ARGUMENT_TYPE)
-    )
-    peers = F.filter(
-        F.array(_attribute(F.lit(0), remote, S.NETWORK_TYPE)), lambda a: a["attr"].isNotNull()
-    )
-    files = file_attributes(F.col("fd_directory"), F.col("fd_name"))
-    found = (
-        F.when(F.col("category") == "process", tokens)
-        .when(F.col("category") == "network", peers)
-        .when(F.col("category") == "file", files)
-    )
-    return F.coalesce(found, F.array().cast("array<struct<pos:int,attr:string,attr_type:string>>"))
-
-
 def output_line(fields: Column, names: Sequence[str]) -> Column:
     """``key=value`` text of a rule's output template."""
     parts = []

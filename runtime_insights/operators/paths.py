@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runtime_insights import schema as S
-from runtime_insights.functions import fields as X, timestamps as TS
+from runtime_insights.functions import timestamps as TS
+from runtime_insights.functions.branches import attributes, closes_learning
 
 
 def known(events: DataFrame) -> DataFrame:
@@ -17,21 +18,16 @@ def event_paths(events: DataFrame) -> DataFrame:
     """One row per attribute of each event, or one with null attribute if it has none."""
     return known(events).select(
         "container_name", "seq", "ts", F.col("category").alias("branch"),
-        "evt_type", "proc_name", F.inline_outer(X.attributes()),
+        "evt_type", "proc_name", F.inline_outer(attributes()),
     )
 
 
-def closes_learning() -> Column:
-    """False for network events without a descriptor name: they never end learning."""
-    return ~((F.col("category") == "network") & (F.coalesce(F.col("fd_name"), F.lit("")) == ""))
-
-
 def _slots(*extra: Column) -> Column:
     process = F.struct(
         F.lit(-1).alias("pos"), F.lit("").alias("attr"),
         F.lit(S.PROCESS_NODE_TYPE).alias("attr_type"),
     )
-    return F.concat(F.array(process), X.attributes(), *extra)
+    return F.concat(F.array(process), attributes(), *extra)
 
 
 def path_rows(events: DataFrame, *carry: str) -> DataFrame:
