@@ -9,10 +9,13 @@ from runtime_insights.functions.fields import field
 # The order key packs (ts, seq, pos) into one decimal(38,0): a fixed-width value, so
 # "first" and "last" are plain min and max inside a hash aggregate. A struct or a
 # min_by would turn each of those aggregates into a sort of all its input rows.
-_SEQ_DIGITS = 15
-_POS_DIGITS = 7
+# Any timestamp fits (years 1 to 9999). Sequence numbers and positions beyond the key's
+# digits sort like the largest it holds: they are ties, not errors.
+_SEQ_DIGITS = 14
+_POS_DIGITS = 6
 MAX_SEQ = 10**_SEQ_DIGITS - 1
 MAX_POS = 10**_POS_DIGITS - 1
+_YEAR_ONE_US = 62_135_596_800_000_000  # microseconds from year 1 to the epoch
 
 
 def _power(digits: int) -> Column:
@@ -37,30 +40,25 @@ def millis(us: Column) -> Column:
     return bucket(us, 1000)
 
 
-def orderable(ts: Column) -> Column:
-    """Whether the order key can hold the time (1970 to 2286)."""
-    return micros(ts).between(0, 10**16 - 1)
-
-
 def order_key(ts_us: Column, seq: Column, pos: Column | None = None) -> Column:
-    """One decimal that sorts like (ts, seq, pos); parts out of range fail the job."""
-    pos = F.lit(0) if pos is None else pos
-    legal = (
-        ts_us.between(0, 10**16 - 1) & seq.between(0, MAX_SEQ) & pos.between(0, MAX_POS)
-    )
+    """One decimal that sorts like (ts, seq, pos); a null sequence number sorts as 0."""
+    def held(value: Column, most: int) -> Column:
+        return F.greatest(F.lit(0).cast("bigint"), F.least(value.cast("bigint"), F.lit(most).cast("bigint")))
+
     wide = "decimal(38,0)"
+    time = held(ts_us + F.lit(_YEAR_ONE_US), 10**18 - 1).cast("decimal(18,0)")
+    number = held(F.coalesce(seq, F.lit(0)), MAX_SEQ).cast("decimal(14,0)")
     key = (
-        (ts_us.cast("decimal(16,0)") * _power(_SEQ_DIGITS + _POS_DIGITS)).cast(wide)
-        + (seq.cast("decimal(15,0)") * _power(_POS_DIGITS)).cast(wide)
-        + pos.cast("decimal(7,0)")
-    )
-    return F.when(legal, key.cast(wide)).otherwise(
-        F.raise_error(F.lit("event time, sequence number or position is out of range")).cast(wide)
+        (time * _power(_SEQ_DIGITS + _POS_DIGITS)).cast(wide)
+        + (number * _power(_POS_DIGITS)).cast(wide)
     )
+    if pos is not None:
+        key = key + held(pos, MAX_POS).cast("decimal(6,0)")
+    return key.cast(wide)
 
 
 def order_micros(key: Column) -> Column:
-    return F.call_function("div", key, _power(_SEQ_DIGITS + _POS_DIGITS))
+    return F.call_function("div", key, _power(_SEQ_DIGITS + _POS_DIGITS)) - F.lit(_YEAR_ONE_US)
 
 
 def order_millis(key: Column) -> Column:

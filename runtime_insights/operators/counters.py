@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from runtime_insights import schema as S
 from runtime_insights.functions import fields as X, timestamps as TS
@@ -18,10 +18,11 @@ def labelled(parsed: DataFrame, ingest_ts: Column) -> DataFrame:
     would do. All columns of ``parsed`` stay.
     """
     whole = F.col("whole")
-    inner = F.when(
-        X.has_field(whole, "output_fields"),
-        F.from_json(X.field(whole, "output_fields"), S.FIELDS),
-    ).otherwise(F.create_map().cast(S.FIELDS))
+    # ``parse_lines`` has read the inner object already.
+    parsed_inner = F.col("fields") if "fields" in parsed.columns else F.from_json(
+        X.field(whole, "output_fields"), S.FIELDS)
+    inner = F.when(X.has_field(whole, "output_fields"), parsed_inner).otherwise(
+        F.create_map().cast(S.FIELDS))
     fields = F.col("_fields")
     return (
         parsed.filter(whole.isNotNull()).select("*", F.explode(F.array(inner)).alias("_fields"))
@@ -50,12 +51,20 @@ def event_counters(events: DataFrame, labels: Sequence[str] = S.EVENT_LABELS) ->
 
 
 def last_event(events: DataFrame) -> DataFrame:
-    """Seconds of the last *written* event per container, not the largest."""
-    written = TS.order_key(TS.micros(F.col("ts")), F.col("seq"))
-    return (
-        events.groupBy("container_name")
-        .agg(F.max(F.struct(written.alias("o"), F.col("ts_sec").alias("s"))).alias("last"))
-        .select("container_name", F.col("last.s").cast("double").alias("value"))
+    """Seconds of the last *written* event per container, not the largest.
+
+    Both values that the aggregate holds have a fixed width, so it is a hash aggregate.
+    Of events with equal time and number the one with the larger last digits counts.
+    """
+    return events.groupBy("container_name").agg(
+        F.max_by("ts_sec", written_order()).cast("double").alias("value")
+    )
+
+
+def written_order() -> Column:
+    """Order of writing, (ts, seq), with the gauge's last digits for ties."""
+    return TS.order_key(
+        TS.micros(F.col("ts")), F.col("seq"), F.pmod(F.col("ts_sec"), F.lit(TS.MAX_POS + 1))
     )
 
 
@@ -92,8 +101,14 @@ def label_cardinality(counters: DataFrame, limit: int, exact: bool = True) -> Da
     return sizes.withColumn("high", F.col("cardinality") > limit)
 
 
+def exposition_head(spark: SparkSession, name: str, help_text: str, kind: str) -> DataFrame:
+    """The HELP and TYPE lines of a metric."""
+    lines = [(f"# HELP {name} {help_text}",), (f"# TYPE {name} {kind}",)]
+    return spark.createDataFrame(lines, "line string")
+
+
 def exposition(metrics: DataFrame, name: str, labels: Sequence[str]) -> DataFrame:
-    """``name{label="value",...} number`` lines."""
+    """``name{label="value",...} number`` lines; ``exposition_head`` has those before them."""
     def quoted(text: Column) -> Column:
         # The text format's escapes of backslash, line feed and quote.
         text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
@@ -121,11 +136,13 @@ def counter_samples(
     step_us: int,
     restart_us: int | None = None,
 ) -> DataFrame:
-    """Cumulative counter of each series at the end of each step in which it grew.
+    """Cumulative counter of each series at the end of every step, as a scrape takes them.
 
-    Events are counted per series and step before the running sum, whose partitions
-    hold one row per step. ``restart_us`` sets counters back to zero at each multiple,
-    as a restarted exporter does.
+    A series begins with the step of its first event and goes on to the last step of
+    all, also through steps in which it did not grow. Events are counted per series and
+    step before the running sum, whose partitions hold one row per step. ``restart_us``
+    sets counters back to zero at each multiple, as a restarted exporter does; a
+    series is then missing until its next event.
     """
     us = TS.micros(F.col("ts"))
     # A step's sample is taken at its end, so an event exactly there still counts.
@@ -134,6 +151,15 @@ def counter_samples(
     epoch = F.lit(0) if restart_us is None else TS.bucket(
         F.col("step") * step_us - 1, restart_us)
     counts = counts.withColumn("epoch", epoch)
+    last = F.lit(counts.agg(F.max("step")).first()[0] or 0).cast("bigint")
+    if restart_us is not None:
+        # The last step whose end is not after the restart.
+        last = F.least(last, TS.bucket((F.col("epoch") + 1) * restart_us, step_us))
+    steps = counts.groupBy(*labels, "epoch").agg(F.min("step").alias("from")).select(
+        *labels, "epoch", F.explode(F.sequence(F.col("from"), last)).alias("step"),
+        F.lit(0).cast("bigint").alias("n"),
+    )
+    counts = counts.unionByName(steps).groupBy(*labels, "epoch", "step").agg(F.sum("n").alias("n"))
     running = W.partitionBy(*labels, "epoch").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
     return counts.select(
         *labels, TS.from_micros(F.col("step") * step_us).alias("ts"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runtime_insights import schema as S
 from runtime_insights.functions import timestamps as TS
-from runtime_insights.operators.paths import path_rows
+from runtime_insights.operators.paths import known, path_rows
 from runtime_insights.operators.profile import (
     Learning, learning_cut, novel_operations, novel_paths, path_rollup,
 )
@@ -16,6 +16,25 @@ from runtime_insights.operators.skew import cells, salted_lookup
 from runtime_insights.session import materialize
 
 _EVENT = ("ts", "rule", "priority", "source")
+EVENT_ID = "event_id"
+_READ = (
+    "container_name", "seq", *_EVENT, "category", "evt_type", "proc_name", "cmdline",
+    "fd_type", "fd_name", "fd_directory",
+)
+
+
+def identified(events: DataFrame) -> DataFrame:
+    """Events of known category as a stored table in which each row has an id of its own.
+
+    Neither (container, time, sequence) nor content is one: sequence numbers count per
+    host and may be missing, and lines may come twice. The id is given once, when the
+    table is written, and read from there, so it never changes. Events that bring an
+    ``event_id`` from their source keep it.
+    """
+    if EVENT_ID in events.columns:
+        return events
+    rows = known(events).select(*_READ).withColumn(EVENT_ID, F.monotonically_increasing_id())
+    return materialize(rows, "identified")
 
 
 def unlearned_paths(rollup: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -43,26 +62,26 @@ def unlearned_paths(rollup: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def alerts_on(events: DataFrame, unlearned: DataFrame, branch: str | None = None) -> DataFrame:
-    """One alert per event that touches an unlearned path, at its first unknown level."""
+    """One alert per event that touches an unlearned path, at its first unknown level.
+
+    The hits are grouped by the event's id alone, as a hash minimum of (level, position)
+    in one number; no other column passes the aggregate, so nothing is sorted.
+    """
     if branch is not None:
         events = events.filter(F.col("category") == branch)
         unlearned = unlearned.filter(F.col("branch") == branch)
-    hits = path_rows(events, *_EVENT).join(unlearned, list(S.PATH), "inner")
+    turn = F.shiftleft(F.col("level").cast("bigint"), 40) + F.col("pos") + 1
+    hits = path_rows(identified(events), EVENT_ID, *_EVENT).join(unlearned, list(S.PATH), "inner")
+    hits = materialize(hits.drop("ord", "ts_us").withColumn("turn", turn), "hits")
+    first = hits.groupBy(EVENT_ID).agg(F.min("turn").alias("turn"))
     missing = (
         F.when(F.col("level") == 1, F.col("evt_type"))
         .when(F.col("level") == 2, F.col("proc_name"))
         .otherwise(F.col("attr"))
     )
-    first = F.min(F.struct(
-        "level", "pos", missing.alias("missing_key"), "branch", "evt_type", "proc_name", *_EVENT
-    ))
-    return (
-        hits.groupBy("container_name", "seq", "ts_us").agg(first.alias("a"))
-        .select(
-            "container_name", "seq", "a.ts", "a.branch", "a.evt_type", "a.proc_name",
-            "a.rule", "a.priority", "a.source", "a.level", "a.missing_key",
-            F.lit("detect").alias("phase"),
-        )
+    return hits.join(first, [EVENT_ID, "turn"]).select(
+        "container_name", "seq", "ts", "branch", "evt_type", "proc_name", "rule", "priority",
+        "source", "level", missing.alias("missing_key"), F.lit("detect").alias("phase"),
     )
 
 
@@ -70,6 +89,7 @@ def detect_alerts(
     events: DataFrame, learning: Learning = Learning(), branch: str | None = None
 ) -> DataFrame:
     """Learn each container's profile, then alert on what falls outside it."""
+    events = identified(events)
     rollup = materialize(path_rollup(events, learning.quiet_gap_ms), "path-rollup")
     cuts = learning_cut(events, learning, rollup)
     # Its size as a table decides the join: broadcast while small, so that the exploded
@@ -88,6 +108,7 @@ def detect_against(events: DataFrame, learned: DataFrame, branch: str | None = N
 
     Distinct paths of the events are compared with it, so a hot path is looked up once.
     """
+    events = identified(events)
     if branch is not None:
         events = events.filter(F.col("category") == branch)
     seen = path_rows(events).select(*S.PATH).distinct()

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from runtime_insights import schema as S
-from runtime_insights.functions import timestamps as TS
+from runtime_insights.functions import branches as B, timestamps as TS
 from runtime_insights.operators.paths import closes_learning, known, path_and_clock_rows, path_rows
 from runtime_insights.operators.skew import salted_lookup
 from runtime_insights.session import materialize
@@ -165,7 +165,7 @@ def learning_cut(
         first = cuts.agg(F.min("cut_ord")).first()[0]
         cuts = cuts.withColumn("cut_ord", F.lit(first).cast("decimal(38,0)"))
     # The last slot of the event: all of its path rows are learned.
-    last_slot = (F.col("cut_ord") + F.lit(TS.MAX_POS).cast("decimal(7,0)")).cast("decimal(38,0)")
+    last_slot = (F.col("cut_ord") + F.lit(TS.MAX_POS).cast("decimal(6,0)")).cast("decimal(38,0)")
     return materialize(cuts.withColumn("cut_ord", last_slot), "cut")
 
 
@@ -212,18 +212,11 @@ def leaf_counts(events: DataFrame) -> DataFrame:
 
 
 def _leaf_type() -> Column:
-    # A directory and a name may be the same text; the first one to come gives the type.
-    return (
-        F.when(F.col("branch") == "process", S.ARGUMENT_TYPE)
-        .when(F.col("branch") == "network", S.NETWORK_TYPE)
-        .when(TS.order_pos(F.col("first_ord")) == 1, S.DIRECTORY_TYPE)
-        .otherwise(S.FILE_TYPE)
-    )
+    return B.leaf_type(F.col("branch"), TS.order_pos(F.col("first_ord")))
 
 
 def _operation_type() -> Column:
-    kinds = F.create_map(*[F.lit(x) for pair in S.OPERATION_TYPES.items() for x in pair])
-    return F.element_at(kinds, F.col("branch"))
+    return B.operation_type(F.col("branch"))
 
 
 def profile_nodes(events: DataFrame) -> DataFrame:
@@ -231,11 +224,11 @@ def profile_nodes(events: DataFrame) -> DataFrame:
 
     Levels: 0 root, 1 branch, 2 operation, 3 process, 4 attribute. ``events_count`` is
     kept at the leaves only, as a tree walk would find it; ``subtree_events`` is its
-    roll-up. All three branches exist even if nothing was seen in one.
+    roll-up. All branches exist even if nothing was seen in one.
     """
     counts = path_counts(events)
     branches = counts.select("container_name").distinct().select(
-        "container_name", F.explode(F.array(*map(F.lit, S.CATEGORIES))).alias("branch")
+        "container_name", F.explode(F.array(*map(F.lit, B.names()))).alias("branch")
     )
     level = F.lit(len(S.PATH) - 1) - F.bit_count(F.grouping_id())
     nodes = (
@@ -296,7 +289,7 @@ def statistics(events: DataFrame) -> DataFrame:
     """Handled events per container and branch."""
     return known(events).groupBy(F.col("container_name").alias("container_id")).agg(
         F.count(F.lit(1)).alias("total_events"),
-        *[F.count_if(F.col("category") == c).alias(f"{c}_events") for c in S.CATEGORIES],
+        *[F.count_if(F.col("category") == c).alias(f"{c}_events") for c in B.names()],
     )
 
 
@@ -340,14 +333,22 @@ def learning_notices(rollup: DataFrame, cuts: DataFrame) -> DataFrame:
     )
 
 
-def novelty_rate(rollup: DataFrame, window_ms: int = S.QUIET_GAP_MS) -> DataFrame:
+def novelty_rate(
+    rollup: DataFrame, cuts: DataFrame, window_ms: int = S.QUIET_GAP_MS
+) -> DataFrame:
     """Nodes that were new in the ``window_ms`` up to each moment with a new node.
 
+    After the end of learning nothing is new: unknown nodes are alerts and stay unknown.
+
     Novelties are counted per millisecond first. Each row then also serves the next
     time cell, so the window splits by (container, cell) and no task holds more than
     two cells of one container.
     """
-    per_ms = _keys_of(novel_paths(rollup)).groupBy(
+    met = salted_lookup(
+        _keys_of(novel_paths(rollup)), cuts.select("container_name", "cut_ord"),
+        ["container_name"], ["branch", "evt_type", "proc_name", "attr"],
+    ).filter(F.col("cut_ord").isNull() | (F.col("first_ord") <= F.col("cut_ord")))
+    per_ms = met.groupBy(
         "container_name", TS.order_millis(F.col("first_ord")).alias("ts_ms")
     ).agg(F.count(F.lit(1)).alias("new_nodes"))
     cell = TS.bucket(F.col("ts_ms"), window_ms)

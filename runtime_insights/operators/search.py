@@ -79,10 +79,24 @@ def scoped(rows: DataFrame, grants: DataFrame, column: str = "container_name") -
 
 
 def dedupe(events: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """First row by (ts, seq) of each key; copies are combined before the shuffle."""
-    rest = [c for c in events.columns if c not in keys and c not in ("ts", "seq")]
-    first = F.min(F.struct("ts", "seq", *rest)).alias("first")
-    return events.groupBy(*keys).agg(first).select(*keys, "first.*")
+    """First row by (ts, seq) of each key; of equal ones the one with the smallest content hash.
+
+    The aggregate only holds the order, one fixed-width number, so it is a hash aggregate
+    that combines copies before the shuffle; rows then meet the order of their key. Columns
+    of any type may come along. Rows that are equal in everything are one.
+    """
+    content = F.to_json(F.struct(*events.columns))
+    order = TS.order_key(
+        TS.micros(F.col("ts")), F.col("seq"), F.pmod(F.xxhash64(content), F.lit(TS.MAX_POS + 1))
+    )
+    marked = events.withColumn("_order", order)
+    first = marked.groupBy(*keys).agg(F.min("_order").alias("_first")).select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], "_first"
+    )
+    same = F.col("_order") == F.col("_first")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return marked.join(first, same).dropDuplicates(list(keys)).select(*events.columns)
 
 
 def envelope(rows: DataFrame, kind: str, payload: Sequence[str]) -> DataFrame:

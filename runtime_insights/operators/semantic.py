@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from runtime_insights import schema as S
 from runtime_insights.functions.embed import Embedder, text_vectors
 from runtime_insights.operators import profile as P
-from runtime_insights.operators.detect import alerts_on
+from runtime_insights.operators.detect import alerts_on, identified
 from runtime_insights.operators.skew import salted_lookup
 from runtime_insights.session import materialize
 
@@ -343,5 +343,6 @@ def detect_semantic(
     threshold: float = S.SIMILARITY_THRESHOLD,
 ) -> DataFrame:
     """Alerts where neither an equal nor a similar key was learned."""
+    events = identified(events)
     profile = SemanticProfile(events, embedder, learning, threshold)
     return alerts_on(events, materialize(profile.unlearned_paths(), "unlearned"))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runtime_insights import schema as S
 from runtime_insights.functions import timestamps as TS
+from runtime_insights.functions.branches import names
 from runtime_insights.operators.profile import _leaf_type, _operation_type, path_counts
-
-MAX_NODES = 100_000
+from runtime_insights.session import materialize
 
 _LEAF = "struct<name:string,type:string,events_count:bigint,metadata:map<string,string>,children:map<string,string>>"
 
@@ -44,17 +44,15 @@ def _children(order: Column, name: Column, node: Column, keep: Column | None = N
     return F.map_from_entries(F.transform(ordered, lambda e: F.struct(e["name"], e["node"])))
 
 
-def documents(events: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
-    """One nested document per container: (container_name, part, document).
+def documents(events: DataFrame, parts: int = 1) -> DataFrame:
+    """``parts`` nested documents per container, at any size: (container_name, part, document).
 
-    A tree of more than ``max_nodes`` nodes becomes several documents, ``part`` 0, 1, ...
-    Each has the same shape and holds a hash slice of the leaves with their ancestors;
-    together they are the whole tree. So no row or task ever holds an unbounded tree.
+    By default that is one document with the whole tree. With more parts each has the
+    same shape and holds a hash slice of the leaves with their ancestors; together they are the
+    whole tree. Who has trees that a task cannot hold gives a larger number; parts
+    without a leaf or process of their own are left out.
     """
-    counts = path_counts(events)
-    sizes = counts.groupBy("container_name").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(max_nodes)).alias("parts")
-    )
+    counts = materialize(path_counts(events), "path-counts")
     processes = counts.filter(F.col("attr") == "").select(
         *S.PATH[:4], F.col("first_ord").alias("process_ord")
     )
@@ -62,10 +60,9 @@ def documents(events: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     # Plain equi-joins: adaptive execution broadcasts the small side by its measured size
     # or splits a hot container.
     rows = (
-        counts.join(sizes, "container_name")
-        .join(processes, list(S.PATH[:4]))
+        counts.join(processes, list(S.PATH[:4]))
         .join(operations, list(S.PATH[:3]))
-        .withColumn("part", F.pmod(F.xxhash64(*S.PATH[1:]), F.col("parts")).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64(*S.PATH[1:]), F.lit(parts)).cast("int"))
     )
     no_children = F.create_map().cast("map<string,string>")
     leaf = _node(F.col("attr"), _leaf_type(), F.col("n"), no_children)
@@ -82,13 +79,13 @@ def documents(events: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     level1 = level2.groupBy("container_name", "part").agg(*[
         _children(
             F.col("operation_ord"), F.col("evt_type"), operation, F.col("branch") == b
-        ).alias(b) for b in S.CATEGORIES
+        ).alias(b) for b in names()
     ])
     branches = F.map_from_arrays(
-        F.array(*[F.lit(f"{b}_branch") for b in S.CATEGORIES]),
+        F.array(*[F.lit(f"{b}_branch") for b in names()]),
         F.array(*[
             _node(F.lit(f"{b}_branch"), F.lit(S.BRANCH_TYPE), F.lit(0), F.col(b))
-            for b in S.CATEGORIES
+            for b in names()
         ]),
     )
     root = _node(F.lit("root"), F.lit(S.ROOT_TYPE), F.lit(0), branches)
@@ -104,15 +101,15 @@ def rebuild(docs: DataFrame) -> DataFrame:
         F.col("d.container_id").alias("container_name"), F.col("d.hbt_structure").alias("root")
     )
     levels = [parsed.select("container_name", F.col("root").alias("node"))]
-    names = ("branch", "evt_type", "proc_name", "attr")
-    for name in names:
+    keys = ("branch", "evt_type", "proc_name", "attr")
+    for name in keys:
         above = levels[-1]
         kept = [c for c in above.columns if c != "node"]
         levels.append(above.select(*kept, F.explode("node.children").alias(name, "node")))
     rows = None
     for level, nodes in enumerate(levels):
         path = [
-            (F.col(n) if n in nodes.columns else F.lit(None).cast("string")).alias(n) for n in names
+            (F.col(n) if n in nodes.columns else F.lit(None).cast("string")).alias(n) for n in keys
         ]
         part = nodes.select(
             "container_name", F.lit(level).alias("level"), *path,
@@ -121,7 +118,7 @@ def rebuild(docs: DataFrame) -> DataFrame:
         rows = part if rows is None else rows.unionByName(part)
     rows = rows.withColumn("branch", F.regexp_replace("branch", "_branch$", ""))
     # Ancestors are repeated in every part; a leaf is in exactly one.
-    return rows.groupBy("container_name", "level", *names).agg(
+    return rows.groupBy("container_name", "level", *keys).agg(
         F.first("node_type").alias("node_type"), F.max("events_count").alias("events_count")
     )
 
@@ -147,7 +144,7 @@ def listing(nodes: DataFrame) -> DataFrame:
     ordered = nodes.join(above(2, operation_key, "o2"), operation_key, "left").join(
         above(3, [*operation_key, "proc_name"], "o3"), [*operation_key, "proc_name"], "left"
     )
-    turn = F.array_position(F.array(*map(F.lit, S.CATEGORIES)), F.col("branch"))
+    turn = F.array_position(F.array(*map(F.lit, names())), F.col("branch"))
     # A child sorts after its parent because the parent's deeper columns are null.
     return ordered.withColumn("line", line).orderBy(
         "container_name", F.coalesce(turn, F.lit(0)), F.asc_nulls_first("o2"),

@@ -21,7 +21,7 @@ HOUR, DAY = 3_600_000_000, 86_400_000_000
 def counted(spark, folder):
     """Log lines with the eight counter labels."""
     parsed = L.parse_lines(log_lines(spark, folder))
-    return K.labelled(parsed.drop("category", "fields", "reason"), F.col("ts").cast("timestamp"))
+    return K.labelled(parsed.drop("category", "reason"), F.col("ts").cast("timestamp"))
 
 
 def categorized(spark, folder):
@@ -82,9 +82,12 @@ SELECT 'syscall_events_total{rule="' || rule || '",priority="' || priority ||
   '",container_name="' || container_name || '",image_repository="' || image_repository ||
   '",process_name="' || process_name || '",k8s_namespace="' || k8s_namespace ||
   '",k8s_pod="' || k8s_pod || '",rule_category="' || rule_category || '"} ' ||
-  CAST(CAST(value AS BIGINT) AS VARCHAR) || '.0' AS line FROM counters"""))
+  CAST(CAST(value AS BIGINT) AS VARCHAR) || '.0' AS line FROM counters
+UNION ALL SELECT unnest(['# HELP syscall_events_total Total number of syscall events observed.',
+  '# TYPE syscall_events_total counter'])"""))
 def metrics_exposition(spark, folder):
-    return K.exposition(_counters(spark, folder), S.EVENTS_TOTAL, S.EVENT_LABELS)
+    head = K.exposition_head(spark, S.EVENTS_TOTAL, S.EVENTS_TOTAL_HELP, "counter")
+    return head.union(K.exposition(_counters(spark, folder), S.EVENTS_TOTAL, S.EVENT_LABELS))
 
 
 @register("label_whitelist", with_tables(RT_EVENTS, _LABELLED, select="""
@@ -103,21 +106,24 @@ def label_cardinality(spark, folder):
     return K.label_cardinality(_counters(spark, folder), 6)
 
 
+# DuckDB's // rounds towards zero, so the step is taken from positive numbers.
 _SAMPLES = """
 stepped AS (
-  SELECT container_name, rule, -((-epoch_us(ts)) // 3600000000) AS step FROM rt0s),
+  SELECT container_name, rule, (epoch_us(ts) + 3599999999) // 3600000000 AS step FROM rt),
+grown AS (SELECT container_name, rule, {epoch} AS epoch, step, count(*) AS n FROM stepped GROUP BY ALL),
+grid AS (
+  SELECT container_name, rule, epoch,
+    unnest(range(min(step), least((SELECT max(step) FROM stepped), {end}) + 1)) AS step
+  FROM grown GROUP BY container_name, rule, epoch),
 samples AS (
-  SELECT container_name, rule, step, CAST(sum(count(*)) OVER (
-      PARTITION BY container_name, rule, {epoch} ORDER BY step) AS DOUBLE) AS value
-  FROM stepped GROUP BY container_name, rule, step)"""
-# DuckDB's // rounds towards zero, so the step is taken from positive numbers.
-_SAMPLES = _SAMPLES.replace("-((-epoch_us(ts)) // 3600000000)", "(epoch_us(ts) + 3599999999) // 3600000000") \
-    .replace("rt0s", "rt")
+  SELECT container_name, rule, step, CAST(sum(coalesce(n, 0)) OVER (
+      PARTITION BY container_name, rule, epoch ORDER BY step) AS DOUBLE) AS value
+  FROM grid LEFT JOIN grown USING (container_name, rule, epoch, step))"""
 
 
 @register("metric_samples", with_tables(RT_EVENTS, _SAMPLES, select="""
 SELECT container_name, rule, make_timestamp(step * 3600000000) AS ts, value FROM samples""",
-    epoch="0"))
+    epoch="0", end="(SELECT max(step) FROM stepped)"))
 def metric_samples(spark, folder):
     return K.counter_samples(runtime_events(spark, folder), ["container_name", "rule"], HOUR)
 
@@ -130,7 +136,8 @@ SELECT container_name, rule, make_timestamp(((step * 3600000000 + 86399999999) /
     * 86400000000) AS window_end,
   sum(CASE WHEN p IS NULL OR value < p THEN value ELSE value - p END) AS increase,
   sum(CASE WHEN p IS NULL OR value < p THEN value ELSE value - p END) / 86400 AS rate
-FROM deltas GROUP BY 1, 2, 3""", epoch="(step * 3600000000 - 1) // (5 * 86400000000)"))
+FROM deltas GROUP BY 1, 2, 3""", epoch="((step * 3600000000 - 1) // (5 * 86400000000))",
+    end="(epoch + 1) * (5 * 24)"))
 def counter_rate(spark, folder):
     """Counters that restart every five days."""
     labels = ["container_name", "rule"]

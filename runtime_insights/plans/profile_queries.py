@@ -10,6 +10,7 @@ from runtime_insights.functions.classify import metrics_category
 from runtime_insights.operators import (
     counters as K, detect as D, profile as P, rates as Q, search, sessions, snapshot,
 )
+from runtime_insights.operators.paths import known
 from runtime_insights.plans.base import register
 from runtime_insights.plans.ingest_queries import METRIC_CATEGORY
 from runtime_insights.plans.runtime_events import runtime_events, stored, table
@@ -94,12 +95,14 @@ def first_seen(spark, folder):
 keys AS (SELECT container_name, f FROM first_op UNION ALL SELECT container_name, f FROM first_proc
   UNION ALL SELECT container_name, f FROM first_leaf),
 per_ms AS (SELECT container_name, epoch_us(f[1]) // 1000 AS ts_ms, count(*) AS new_nodes
-  FROM keys GROUP BY ALL)""", select="""
+  FROM keys JOIN cut USING (container_name) WHERE c IS NULL OR f <= c GROUP BY ALL)""", select="""
 SELECT container_name, ts_ms, new_nodes, CAST(sum(new_nodes) OVER (PARTITION BY container_name
   ORDER BY ts_ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW) AS BIGINT) AS novelty_count
 FROM per_ms"""))
 def novelty_rate(spark, folder):
-    return P.novelty_rate(P.path_rollup(runtime_events(spark, folder), GAP_MS), 3_600_000)
+    events = runtime_events(spark, folder)
+    rollup = _rollup(events)
+    return P.novelty_rate(rollup, P.learning_cut(events, LEARNING, rollup), 3_600_000)
 
 
 @register("learning_notices", _twin("""
@@ -223,8 +226,8 @@ def hbt_snapshot(spark, folder):
 SELECT container_name, CAST(level AS INTEGER) AS level, branch, evt_type, proc_name, attr,
   node_type, events_count FROM nodes"""))
 def hbt_rebuild(spark, folder):
-    """Snapshot documents of small parts, written as JSON, read back as a node table."""
-    documents = materialize(snapshot.documents(_learned(spark, folder), 50), "snapshot")
+    """Snapshot documents in parts, written as JSON, read back as a node table."""
+    documents = materialize(snapshot.documents(_learned(spark, folder), 8), "snapshot")
     return snapshot.rebuild(documents)
 
 
@@ -508,13 +511,56 @@ def envelope_priority(spark, folder):
     return ordered.select("batch", "type", "container", "seq", "turn")
 
 
-@register("detector_quality", """
-WITH j AS (SELECT quality = 0 AS p, toxic = 1 AS a FROM labels),
+@register("detector_quality", _twin(ALERTS, """
+j AS (SELECT a.seq IS NOT NULL AS p, l.priority = 'Critical' AS a
+  FROM listed l LEFT JOIN alerts a ON a.container_name = l.container_name AND a.seq = l.seq),
 c AS (SELECT count(*) FILTER (p AND a) AS tp, count(*) FILTER (p AND NOT a) AS fp,
-  count(*) FILTER (NOT p AND a) AS fn, count(*) FILTER (NOT p AND NOT a) AS tn FROM j)
+  count(*) FILTER (NOT p AND a) AS fn, count(*) FILTER (NOT p AND NOT a) AS tn FROM j)""", select="""
 SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall,
   2 * tp / nullif(2 * tp + fp + fn, 0) AS f1, fp / nullif(fp + tn, 0) AS false_positive_rate
-FROM c""")
+FROM c"""))
 def detector_quality(spark, folder):
-    labels = table(spark, folder, "labels")
-    return D.detector_quality(labels, F.col("quality") == 0, F.col("toxic") == 1)
+    """Alerts judged against a label of the events: critical ones should alert."""
+    events = known(runtime_events(spark, folder)).select("container_name", "seq", "priority")
+    alerts = _alerts(spark, folder).select("container_name", "seq", F.lit(True).alias("alerted"))
+    judged = events.join(alerts, ["container_name", "seq"], "left")
+    return D.detector_quality(judged, F.col("alerted").isNotNull(), F.col("priority") == "Critical")
+
+
+@register("detect_ties", with_tables(RT_EVENTS, """
+tied AS (SELECT * REPLACE (date_trunc('minute', ts) AS ts) FROM rt)""", PATHS.replace("FROM rt WHERE", "FROM tied WHERE"), """
+first_op AS (SELECT container_name, category AS branch, evt_type, min(ts) AS f FROM listed GROUP BY ALL),
+first_proc AS (SELECT container_name, category AS branch, evt_type, proc_name, min(ts) AS f
+  FROM listed GROUP BY ALL),
+first_leaf AS (SELECT container_name, branch, evt_type, proc_name, attr, min(ts) AS f
+  FROM leaf_rows GROUP BY ALL),
+novel AS (SELECT DISTINCT container_name, f AS ts FROM
+  (SELECT container_name, f FROM first_op UNION ALL SELECT container_name, f FROM first_proc
+   UNION ALL SELECT container_name, f FROM first_leaf)),
+clocked AS (
+  SELECT l.container_name, l.ts, NOT (l.category = 'network' AND l.fd_name = '') AS closes,
+    epoch_us(l.ts) // 1000 AS ms, max(CASE WHEN n.ts IS NOT NULL THEN epoch_us(l.ts) // 1000 END)
+      OVER (PARTITION BY l.container_name ORDER BY l.ts RANGE UNBOUNDED PRECEDING) AS last_ms
+  FROM listed l LEFT JOIN novel n ON n.container_name = l.container_name AND n.ts = l.ts),
+cut AS (SELECT container_name, min(ts) FILTER (closes AND ms - last_ms > {gap}) AS c
+  FROM clocked GROUP BY 1),
+leaf_hit AS (
+  SELECT r.seq, min((r.pos, r.attr)) AS h FROM leaf_rows r
+  JOIN first_leaf fl USING (container_name, branch, evt_type, proc_name, attr)
+  JOIN cut USING (container_name) WHERE fl.f > c GROUP BY r.seq)""", select="""
+SELECT l.container_name, l.ts, l.category AS branch, l.evt_type, l.proc_name,
+  CAST(CASE WHEN o.f > c THEN 1 WHEN p.f > c THEN 2 ELSE 3 END AS INTEGER) AS level,
+  CASE WHEN o.f > c THEN l.evt_type WHEN p.f > c THEN l.proc_name ELSE h[2] END AS missing_key
+FROM listed l JOIN cut ON cut.container_name = l.container_name
+JOIN first_op o ON o.container_name = l.container_name AND o.branch = l.category
+  AND o.evt_type = l.evt_type
+JOIN first_proc p ON p.container_name = l.container_name AND p.branch = l.category
+  AND p.evt_type = l.evt_type AND p.proc_name = l.proc_name
+LEFT JOIN leaf_hit h ON h.seq = l.seq
+WHERE o.f > c OR p.f > c OR h.h IS NOT NULL""", gap=GAP_MS))
+def detect_ties(spark, folder):
+    """Events without numbers and with times cut to the minute: each is judged by itself."""
+    events = runtime_events(spark, folder).withColumn("seq", F.lit(0).cast("bigint")).withColumn(
+        "ts", F.date_trunc("minute", "ts").cast("timestamp_ntz"))
+    return D.detect_alerts(events, LEARNING).select(
+        "container_name", "ts", "branch", "evt_type", "proc_name", "level", "missing_key")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -62,13 +61,30 @@ _STORED: dict[tuple[str, str, str], DataFrame] = {}
 def stored(
     spark: SparkSession, folder: str, name: str, build: Callable[[SparkSession, str], DataFrame]
 ) -> DataFrame:
-    """A result table that other queries read, such as the alerts; written once per session."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(folder), name)
+    """A result table that other queries read, such as the alerts.
+
+    It is written once per session and state of the input: files that were added, removed
+    or changed give a new table. ``forget`` drops all.
+    """
+    key = (spark.sparkContext.applicationId, _state(spark, folder), name)
     if key not in _STORED:
         _STORED[key] = materialize(build(spark, folder), name)
     return _STORED[key]
 
 
+def forget() -> None:
+    _STORED.clear()
+
+
+def _state(spark: SparkSession, folder: str) -> str:
+    """The files of the events table with sizes and times of change."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/events.parquet")
+    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return ",".join(sorted(
+        f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}" for s in files.listStatus(place)
+    ))
+
+
 def field_map() -> Column:
     """The events' ``output_fields``; some keys are missing or null, depending on k."""
     k = F.col("k")

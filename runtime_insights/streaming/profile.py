@@ -18,7 +18,7 @@ from runtime_insights.functions import timestamps as TS
 from runtime_insights.operators import detect as D, profile as P
 from runtime_insights.operators.paths import known, path_rows
 from runtime_insights.operators.skew import is_small, salted_lookup
-from runtime_insights.session import materialize
+from runtime_insights.session import materialize, remove, scratch
 
 _PATHS = (
     "container_name string, branch string, evt_type string, proc_name string, attr string, "
@@ -35,7 +35,14 @@ class ProfileStream:
     """Profiles under ``path``: learned paths, container states and alerts by batch.
 
     Every batch writes folders of its own number and reads only earlier ones, so a
-    batch that runs again after a failure gives the same tables.
+    batch that runs again after a failure gives the same tables. Folders that no batch
+    can need any more are removed.
+
+    Events may come late, in any order, and none is lost. A container that still learns
+    also learns late events; they do not count for the end of learning, which is only
+    found among events later than all before. A container whose learning has ended
+    judges every event that comes. With the global scope the first end of
+    learning holds for all containers, also for those that come later.
     """
 
     path: str
@@ -56,7 +63,7 @@ class ProfileStream:
         return batch_id // self.compact_every * self.compact_every
 
     def _path_rows(self, spark: SparkSession, end: int) -> DataFrame:
-        first = 0 if end == 0 else self._base(min(end, self._last(spark) + 1) - 1)
+        first = self._base(max(0, min(end, self._last(spark) + 1) - 1))
         return self._read(spark, "paths", _PATHS, first, end)
 
     def paths(self, spark: SparkSession, end: int = 2**62) -> DataFrame:
@@ -73,26 +80,46 @@ class ProfileStream:
     def _last(self, spark: SparkSession) -> int:
         table = _existing(spark, f"{self.path}/containers", f"{_CONTAINERS}, batch bigint")
         # Folder names alone answer this.
-        return table.agg(F.max("batch")).first()[0] if table.columns else -1
+        last = table.agg(F.max("batch")).first()[0] if "batch" in table.columns else None
+        return -1 if last is None else last
 
     # -------------------------------------------------------------------- batch
 
     def process(self, events: DataFrame, batch_id: int) -> None:
+        with scratch(events.sparkSession):
+            self._process(events, batch_id)
+        self._prune(events.sparkSession, batch_id)
+
+    def _prune(self, spark: SparkSession, batch_id: int) -> None:
+        """Batch ``batch_id`` may run again, so what it read stays; older folders go."""
+        if batch_id > 1:
+            remove(spark, f"{self.path}/containers/batch={batch_id - 2}")
+        base = self._base(max(0, batch_id - 1))
+        if base and batch_id - 1 == base:
+            for old in range(max(0, base - self.compact_every), base):
+                remove(spark, f"{self.path}/paths/batch={old}")
+
+    def _process(self, events: DataFrame, batch_id: int) -> None:
         spark = events.sparkSession
         state = self.containers(spark, batch_id) if batch_id else spark.createDataFrame([], _CONTAINERS)
         learned = self._path_rows(spark, batch_id) if batch_id else spark.createDataFrame([], _PATHS)
 
         ord_ = TS.order_key(TS.micros(F.col("ts")), F.col("seq"))
+        ended = None
+        if self.learning.scope == "global":
+            ended = state.agg(F.min("cut_ord")).first()[0]
         marked = salted_lookup(
-            known(events),
+            known(events).withColumn(D.EVENT_ID, F.monotonically_increasing_id()),
             state.select("container_name", "last_ord", F.col("cut_ord").alias("old_cut")),
             ["container_name"], ["seq"],
-        ).withColumn("late", F.coalesce(ord_ <= F.col("last_ord"), F.lit(False)))
+        ).withColumn("late", F.coalesce(ord_ <= F.col("last_ord"), F.lit(False))).withColumn(
+            "old_cut", F.coalesce("old_cut", F.lit(ended).cast("decimal(38,0)"))
+        )
         marked = materialize(marked.drop("last_ord"), "batch-events")
-        fresh = marked.filter(~F.col("late")).drop("late")
-        learning = fresh.filter(F.col("old_cut").isNull()).drop("old_cut")
+        open_ = marked.filter(F.col("old_cut").isNull()).drop("old_cut")
+        learning, behind = (open_.filter(c).drop("late") for c in (~F.col("late"), F.col("late")))
 
-        old = self._touched(learned, fresh)
+        old = self._touched(learned, marked)
         rollup = materialize(P.path_rollup(learning, self.learning.quiet_gap_ms), "path-rollup")
         first_here = P.novel_paths(rollup).join(old, list(S.PATH), "left_anti").select(
             "container_name", "first_ord")
@@ -104,14 +131,15 @@ class ProfileStream:
             "container_name", "cut_ord"
         )
 
-        taught = materialize(P.path_counts(P.learned_events(learning, cuts)), "batch-paths")
+        learnt = P.learned_events(learning, cuts)
+        taught = materialize(P.path_counts(learnt.unionByName(behind)), "batch-paths")
         if batch_id and batch_id % self.compact_every == 0:
             # This batch's folder holds everything; readers start from it.
             self._write(_summed(learned.unionByName(taught)), "paths", batch_id)
         else:
             self._write(taught, "paths", batch_id)
 
-        detecting = fresh.filter(F.col("old_cut").isNotNull()).drop("old_cut").unionByName(
+        detecting = marked.filter(F.col("old_cut").isNotNull()).drop("old_cut", "late").unionByName(
             P.with_phase(learning, cuts).filter(F.col("phase") == "detect").drop("phase")
         )
         profile = old.unionByName(taught.select(*S.PATH))
@@ -129,14 +157,16 @@ class ProfileStream:
         rows = state
         for part in (seen, news, cuts):
             rows = rows.unionByName(part, allowMissingColumns=True)
-        self._write(
-            rows.groupBy("container_name").agg(
-                F.min("start_ord").alias("start_ord"), F.max("novel_ord").alias("novel_ord"),
-                F.min("cut_ord").alias("cut_ord"), F.max("last_ord").alias("last_ord"),
-                F.sum(F.coalesce("late", F.lit(0))).alias("late"),
-            ),
-            "containers", batch_id,
+        rows = rows.groupBy("container_name").agg(
+            F.min("start_ord").alias("start_ord"), F.max("novel_ord").alias("novel_ord"),
+            F.min("cut_ord").alias("cut_ord"), F.max("last_ord").alias("last_ord"),
+            F.sum(F.coalesce("late", F.lit(0))).alias("late"),
         )
+        if self.learning.scope == "global":
+            rows = materialize(rows, "states")
+            ended = rows.agg(F.min("cut_ord")).first()[0]
+            rows = rows.withColumn("cut_ord", F.lit(ended).cast("decimal(38,0)"))
+        self._write(rows, "containers", batch_id)
 
     @staticmethod
     def _touched(learned: DataFrame, events: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from runtime_insights import schema as S
 from runtime_insights.functions import fields as X
+from runtime_insights.operators.counters import last_event
 from runtime_insights.operators.search import alerts_first, envelope
 from runtime_insights.operators.sessions import admit
 from runtime_insights.sources.lines import is_json
@@ -34,10 +35,7 @@ def running_counters(events: DataFrame, labels: Sequence[str] = S.EVENT_LABELS)
 
 def running_last_event(events: DataFrame) -> DataFrame:
     """Seconds of the event written last; update mode."""
-    last = F.max(F.struct("ts", "seq", "ts_sec")).alias("last")
-    return events.groupBy("container_name").agg(last).select(
-        "container_name", F.col("last.ts_sec").cast("double").alias("value")
-    )
+    return last_event(events)
 
 
 def sliding_rates(
