@@ -2,7 +2,8 @@
 
 Lines are the parts of a text between newlines. A line's character shingles are, from the begin
 of each of its words on, the first ``WIDTH`` characters of ``SPAN`` words with one blank
-between. Two lines are linked if the Jaccard similarity of their shingles is at least ``least``. Of each connected group of lines the first
+between, and in words longer than ``WIDTH`` (URLs, unspaced scripts, keys) the ``WIDTH`` characters
+from every further position that has as many: each character is in a shingle. Two lines are linked if the Jaccard similarity of their shingles is at least ``least``. Of each connected group of lines the first
 occurrence (smallest doc_id, then position) stays, all others go. Lines without a word stay.
 
 Plan. Words are exploded and reduced on the map side to one row per distinct line and task:
@@ -33,6 +34,7 @@ from runtime_insights.llm.tables import components, discard, row_key, store
 
 WIDTH, SPAN, HASHES, SMALL, SIMILAR = 16, 4, 16, 16, 0.8
 _MARKS = ("\t", "\x0b", "\x0c", "\r")  # white space beside the blank
+_PIECE = 256  # positions of a long word that are taken from one piece of it
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -57,6 +59,24 @@ def _shingle(words: str, i: str) -> str:
     return f"substring(concat_ws(' ', {words}[{i}], {more}), 1, {WIDTH})"
 
 
+def _start_hashes(words: str) -> str:
+    """SQL for the hashes of the shingles from each word's begin on."""
+    return f"transform(sequence(0, size({words}) - 1), i -> xxhash64({_shingle(words, 'i')}))"
+
+
+def _inner_hashes(words: str) -> str:
+    """SQL for the hashes of the other shingles inside long words, taken by pieces so that a very long word is not
+    scanned from its begin for each."""
+    pieces = f"transform(sequence(0, (char_length(x) - {WIDTH + 1}) div {_PIECE}), k -> substring(x, k * {_PIECE} + 2, {_PIECE + WIDTH - 1}))"
+    each = f"transform(sequence(1, char_length(y) - {WIDTH - 1}), p -> xxhash64(substring(y, p, {WIDTH})))"
+    return f"flatten(flatten(transform(filter({words}, x -> char_length(x) > {WIDTH}), x -> transform({pieces}, y -> {each}))))"
+
+
+def _long(line: Column) -> Column:
+    """Whether the line has a word longer than a shingle."""
+    return line.rlike(f"[^ {''.join(_MARKS)}]{{{WIDTH + 1}}}")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """``doc`` (the smallest number for none), ``row``, ``pos``, ``line``, ``lid`` of all lines that hold a word."""
     return (
@@ -76,10 +96,14 @@ def _place() -> Column:
 
 def _signatures(lines: DataFrame) -> DataFrame:
     """One row per distinct line: ``lid``, ``copies``, ``doc`` (first), ``place`` (of one copy), m0, m1, ..."""
+    # Usual lines explode into word numbers and hash then; lines with long words explode into hashes.
     exploded = (
-        lines.select("lid", "doc", _place().alias("place"), _words(F.col("line")).alias("w"))
-        .select("lid", "doc", "place", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
-        .select("lid", "doc", "place", "i", F.expr(f"xxhash64({_shingle('w', 'i')})").alias("h"))
+        lines.select("lid", "doc", _place().alias("place"), _words(F.col("line")).alias("w"), _long(F.col("line")).alias("long"))
+        .select("lid", "doc", "place", "w", "long", F.posexplode(F.expr(
+            f"CASE WHEN long THEN concat({_start_hashes('w')}, {_inner_hashes('w')}) "
+            "ELSE sequence(0L, CAST(size(w) - 1 AS BIGINT)) END"
+        )).alias("i", "item"))
+        .select("lid", "doc", "place", "i", F.expr(f"CASE WHEN long THEN item ELSE xxhash64({_shingle('w', 'i')}) END").alias("h"))
     )
     return exploded.groupBy("lid").agg(
         F.sum((F.col("i") == 0).cast("long")).alias("copies"), F.min("doc").alias("doc"), F.min("place").alias("place"),
@@ -127,7 +151,7 @@ def _verified(pairs: DataFrame, signatures: DataFrame, lines: DataFrame, least:
     found = lines.select("lid", _place().alias("place"), "line").join(wanted.hint("shuffle_hash"), ["lid", "place"])
     shingles = store(
         found.select("lid", _words(F.col("line")).alias("w")).select(
-            "lid", F.expr(f"array_distinct(transform(sequence(0, size(w) - 1), i -> xxhash64({_shingle('w', 'i')})))").alias("s")
+            "lid", F.expr(f"array_distinct(concat({_start_hashes('w')}, {_inner_hashes('w')}))").alias("s")
         ), "lines-shingles",
     )
     common = F.size(F.array_intersect("sa", "sb"))

@@ -3,6 +3,7 @@
 import itertools
 import math
 import os
+import re
 
 import numpy as np
 import pytest
@@ -251,6 +252,51 @@ def test_line_dedup_recall_on_given_documents(spark):
     assert sorted(rows(line_dedup.dedup_lines(df)), key=repr) == brute_lines(docs)
 
 
+def character_shingles(line):
+    """All 16 characters from each word begin on, and from every place inside a longer word."""
+    found = set()
+    for m in re.finditer("[^ \t\x0b\x0c\r]+", line):
+        found.add(" ".join(re.split("[ \t\x0b\x0c\r]+", line[m.start():].strip(" \t\x0b\x0c\r")))[:16])
+        found.update(m.group()[k : k + 16] for k in range(len(m.group()) - 15))
+    return found
+
+
+def kept_lines(spark, lines):
+    """The lines that stay, each line given as a document of its own."""
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    return {x.doc_id for x in line_dedup.dedup_lines(df).collect() if x.text}
+
+
+def first_of_each(lines, shingles_of):
+    """The same by comparing all pairs."""
+    sets, parent = [shingles_of(x) for x in lines], list(range(len(lines)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(lines)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i for i in range(len(lines)) if root(i) == i}
+
+
+def test_line_dedup_of_urls_and_unspaced_lines(spark):
+    r = __import__("random").Random(4)
+    han = ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(300)) for _ in range(3)]
+    lines = ["https://www.example.com/about-us", "https://www.example.com/books", "https://www.example.com/shop/item/12345"]
+    lines += [han[0], han[0][:16] + han[1], han[0][:16] + han[2], han[0][:150] + "x" + han[0][150:]]
+    key = "".join(r.choice("0123456789abcdef") for _ in range(700))
+    lines += [key, key[:699] + "g", key[:16] + key[::-1], "see the " + key, "internationalisation-one day", "internationalisation-two day"]
+    want = first_of_each(lines, character_shingles)
+    assert {0, 1, 2, 4, 5, 9, 11, 12} <= want and {6, 8}.isdisjoint(want)
+    assert kept_lines(spark, lines) == want
+
+
 # Pipeline ------------------------------------------------------------------------------------
 
 
