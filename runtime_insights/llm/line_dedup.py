@@ -10,11 +10,13 @@ Plan. Words are exploded and reduced on the map side to one row per distinct lin
 ``HASHES`` minima (for each of that many points the hash nearest to it by xor), the
 number of copies and the first occurrence. Copies are thereby one line before anything else.
 Minima are banded in ``HASHES / 2`` pairs: lines of similarity 0.8 share none with a chance of
-3 in 10,000. All pairs of a small bucket are candidates. A bucket of more than
-``SMALL`` lines is dealt again by each further band; what still is larger (lines that agree in
-four minima, that is near copies of each other) takes its two ends as partners of all, so
-its pairs are never all made. Candidates are verified on all their shingles (as 64-bit hashes), linked
-ones are joined by a distributed union-find.
+3 in 10,000. All pairs of a small bucket are candidates. In a bucket of more than ``SMALL`` lines
+each line first meets two members, other ones in each bucket. Candidates are verified on all their
+shingles (as 64-bit hashes), linked ones are joined by a distributed union-find. Large buckets whose
+lines then are in more than one component are compared whole, except pairs that already are in
+one: each line outside the component of a bucket's first partner meets all lines of other components,
+in tiles of at most about ``TILE`` by ``TILE`` lines. So every pair that shares a band is verified or
+joined already.
 
 Nothing is gathered per line or bucket; hot lines and buckets meet small tables in joins
 that adaptive execution splits. Lines are known by a 64-bit hash.
@@ -26,13 +28,11 @@ alike. An empty table gives no rows. Other columns pass through ``dedup_lines``
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runtime_insights.llm.tables import components, discard, row_key, store
 
-WIDTH, SPAN, HASHES, SMALL, SIMILAR = 16, 4, 16, 16, 0.8
+WIDTH, SPAN, HASHES, SMALL, TILE, SIMILAR = 16, 4, 16, 16, 512, 0.8
 _MARKS = ("\t", "\x0b", "\x0c", "\r")  # white space beside the blank
 _PIECE = 256  # positions of a long word that are taken from one piece of it
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -117,30 +117,60 @@ def _all_pairs(members: DataFrame) -> DataFrame:
     return members.select("bucket", F.col("lid").alias("a")).join(other, "bucket").filter("a < b").select("a", "b")
 
 
-def _candidates(signatures: DataFrame) -> DataFrame:
+def _candidates(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs to verify first, and the members of the large buckets: ``bucket``, ``lid``, ``n``, ``low`` (first partner)."""
     bands = [
         F.xxhash64(F.lit(j), f"m{2 * j}", f"m{2 * j + 1}") for j in range(HASHES // 2)
     ]
     members = signatures.select("lid", F.explode(F.array(*bands)).alias("bucket"))
-    sizes = store(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "lines-buckets")
+    # Other ends in each bucket: the lines whose numbers are least and greatest after xor with the bucket's.
+    mixed = F.col("lid").bitwiseXOR(F.col("bucket"))
+    sizes = members.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.min(mixed).alias("low"), F.max(mixed).alias("high")
+    ).filter("n > 1").withColumns({end: F.col(end).bitwiseXOR(F.col("bucket")) for end in ("low", "high")})
+    sizes = store(sizes, "lines-buckets")
     shared = store(members.join(sizes, "bucket"), "lines-shared")
     small = _all_pairs(shared.filter(F.col("n") <= SMALL))
-    # Large buckets again, by every other band.
-    large = shared.filter(F.col("n") > SMALL).select("lid", F.col("bucket").alias("outer"))
-    again = large.join(signatures, "lid").select(
-        "lid", "outer", F.explode(F.array(*bands)).alias("inner")
-    ).filter("outer <> inner").select("lid", F.xxhash64(F.least("outer", "inner"), F.greatest("outer", "inner")).alias("bucket")).distinct()
-    again = store(again, "lines-again")
-    sizes_again = again.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("lid").alias("low"), F.max("lid").alias("high")
-    ).filter("n > 1")
-    again_sized = store(again.join(sizes_again, "bucket"), "lines-again-sized")
-    deep = _all_pairs(again_sized.filter(F.col("n") <= SMALL))
-    ends = again_sized.filter(F.col("n") > SMALL).select("lid", F.explode(F.array("low", "high")).alias("end")).filter(
-        "lid <> end"
-    ).select(F.least("lid", "end").alias("a"), F.greatest("lid", "end").alias("b"))
-    pairs = store(reduce(DataFrame.union, [small, deep, ends]).distinct(), "lines-pairs")
-    discard(sizes, shared, again, again_sized)
+    large = shared.filter(F.col("n") > SMALL)
+    ends = large.select("lid", F.explode(F.array("low", "high")).alias("end")).filter("lid <> end").select(
+        F.least("lid", "end").alias("a"), F.greatest("lid", "end").alias("b")
+    )
+    pairs = store(small.union(ends).distinct(), "lines-pairs")
+    large = store(large.select("bucket", "lid", "n", "low"), "lines-large")
+    discard(sizes, shared)
+    return pairs, large
+
+
+def _unmet(large: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of the large buckets that ``links`` do not join: ``a`` < ``b``."""
+    member = store(components(links, "lines-components"), "lines-met")
+    named = large.join(member.withColumnRenamed("node", "lid"), "lid", "left").withColumn(
+        "component", F.coalesce("component", "lid")
+    )
+    named = store(named, "lines-named")
+    split = named.groupBy("bucket").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"),
+        F.max(F.when(F.col("lid") == F.col("low"), F.col("component"))).alias("main"),
+    ).filter("least <> most").select("bucket", "main")
+    whole = store(named.join(split, "bucket"), "lines-split")
+    others = whole.filter("component <> main")
+    others = others.join(others.groupBy("bucket").agg(F.count("*").alias("m")), "bucket")
+    members = whole.join(others.groupBy("bucket").agg(F.first("m").alias("m")), "bucket")
+    tiles, other_tiles = F.ceil(F.col("n") / TILE).cast("int"), F.ceil(F.col("m") / TILE).cast("int")
+    place = F.xxhash64("lid", "bucket")
+    left = others.select(
+        "bucket", F.col("lid").alias("l"), F.col("component").alias("lc"), F.pmod(place, other_tiles).cast("int").alias("u"),
+        F.explode(F.sequence(F.lit(0), tiles - 1)).alias("t"),
+    )
+    right = members.select(
+        "bucket", F.col("lid").alias("r"), F.col("component").alias("rc"), "main", F.pmod(place, tiles).cast("int").alias("t"),
+        F.explode(F.sequence(F.lit(0), other_tiles - 1)).alias("u"),
+    )
+    pairs = left.join(right, ["bucket", "t", "u"]).filter("lc <> rc AND (rc = main OR l < r)").select(
+        F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")
+    ).distinct()
+    pairs = store(pairs, "lines-unmet")
+    discard(member, named, whole)
     return pairs
 
 
@@ -169,8 +199,11 @@ def _lines_that_go(docs: DataFrame, least: float) -> DataFrame:
     """``doc``, ``row``, ``gone`` (positions). ``docs``: ``doc_id``, ``row``, ``text``."""
     lines = _lines(docs)
     signatures = store(_signatures(lines), "lines-signatures")
-    pairs = _candidates(signatures)
+    pairs, large = _candidates(signatures)
     links = _verified(pairs, signatures, lines, least)
+    unmet = _unmet(large, links)
+    if not unmet.isEmpty():
+        links = links.union(_verified(unmet, signatures, lines, least))
     member = store(components(links, "lines-components"), "lines-members").withColumnRenamed("node", "lid")
     first = signatures.select("lid", "copies", "doc")
     groups = first.join(member, "lid")
@@ -185,7 +218,7 @@ def _lines_that_go(docs: DataFrame, least: float) -> DataFrame:
     at = found.filter("doc = stays").groupBy("component").agg(F.min("pos").alias("at"))
     gone = found.join(at, "component").filter("doc <> stays OR pos <> at")
     gone = store(gone.groupBy("doc", "row").agg(F.collect_set("pos").alias("gone")), "lines-gone")
-    discard(signatures, pairs, links, repeated, found)
+    discard(signatures, pairs, large, unmet, links, repeated, found)
     return gone
 
 

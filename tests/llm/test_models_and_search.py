@@ -297,6 +297,22 @@ def test_line_dedup_of_urls_and_unspaced_lines(spark):
     assert kept_lines(spark, lines) == want
 
 
+def test_line_dedup_of_chains_in_a_large_bucket(spark):
+    """Chains of lines, each like the next one only, all with so much in common that they share buckets."""
+    r = __import__("random").Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(15))
+    shared = [word() for _ in range(30)]
+    lines = []
+    for _ in range(6):
+        own = [word() for _ in range(15)]
+        for _ in range(40):
+            lines.append(" ".join(x for pair in zip(shared[::2], own, shared[1::2]) for x in pair))
+            own[len(lines) % 15] = word()
+    want = first_of_each(lines, character_shingles)
+    assert len(lines) == 240 and len(want) < 30
+    assert kept_lines(spark, lines) == want
+
+
 # Pipeline ------------------------------------------------------------------------------------
 
 
