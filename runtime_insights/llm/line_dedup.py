@@ -1,7 +1,7 @@
 """Fuzzy line de-duplication by MinHash, in DataFrame operations only.
 
 Lines are the parts of a text between newlines. A line's character shingles are, from the begin
-of each of its words on, the first ``WIDTH`` characters of ``SPAN`` words with one blank
+of each of its words on, the next ``WIDTH`` characters of the words with one blank
 between, and in words longer than ``WIDTH`` (URLs, unspaced scripts, keys) the ``WIDTH`` characters
 from every further position that has as many: each character is in a shingle. Two lines are linked if the Jaccard similarity of their shingles is at least ``least``. Of each connected group of lines the first
 occurrence (smallest doc_id, then position) stays, all others go. Lines without a word stay.
@@ -54,9 +54,15 @@ def _words(line: Column) -> Column:
 
 
 def _shingle(words: str, i: str) -> str:
-    """SQL for the shingle from word ``i`` on (from 0)."""
-    more = ", ".join(f"get({words}, {i} + {j})" for j in range(1, SPAN))
-    return f"substring(concat_ws(' ', {words}[{i}], {more}), 1, {WIDTH})"
+    """SQL for the shingle from word ``i`` on (from 0); ``SPAN`` words mostly are long enough, the others of ``WIDTH // 2 + 1`` always are."""
+    def more(begin, end):
+        return ", ".join(f"get({words}, {i} + {j})" for j in range(begin, end))
+
+    short = f"concat_ws(' ', {words}[{i}], {more(1, SPAN)})"
+    return (
+        f"CASE WHEN char_length({short}) >= {WIDTH} THEN substring({short}, 1, {WIDTH}) "
+        f"ELSE substring(concat_ws(' ', {short}, {more(SPAN, WIDTH // 2 + 1)}), 1, {WIDTH}) END"
+    )
 
 
 def _start_hashes(words: str) -> str:

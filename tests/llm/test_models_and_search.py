@@ -313,6 +313,22 @@ def test_line_dedup_of_chains_in_a_large_bucket(spark):
     assert kept_lines(spark, lines) == want
 
 
+def test_line_dedup_of_short_words(spark):
+    """Shingles are full-width where four words are not."""
+    r = __import__("random").Random(8)
+    lines = []
+    for _ in range(12):
+        w = [str(r.randrange(100)) for _ in range(60)]
+        for edits in (0, 1, 2, 3):
+            changed = list(w)
+            for k in r.sample(range(60), edits):
+                changed[k] = "x"
+            lines.append(" ".join(changed))
+    want = first_of_each(lines, character_shingles)
+    assert want != first_of_each(lines, shingles)
+    assert kept_lines(spark, lines) == want
+
+
 # Pipeline ------------------------------------------------------------------------------------
 
 
