@@ -260,6 +260,37 @@ def test_layers_are_unwrapped_and_mapped():
     assert in64[start:end] == in64[2:26]
 
 
+def test_layers_keep_their_context():
+    u = chr(92) + "u00"
+    for text in (
+        '{"password": "' + u + '68unter22x"}', "password = %68unter22x", "p%61ssword = hunter22x",
+        "'" + u + "73ecret' : 'abc" + u + "64ef'", "token = " + quote("%61%62cdefgh", safe=""),
+    ):
+        base, spans = secrets.all_spans(f"see {text} end")
+        assert spans and not base, text
+        assert all(4 <= start < end <= len(text) + 4 for start, _, end in spans)
+        assert not {"unter22x", "abc", "cdefgh"} & set(re.findall("unter22x|abc|cdefgh", secrets.masked(text))), text
+
+
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("line_break", ["\n", "\r\n"])
+def test_base64_over_several_lines(width, line_break):
+    import random
+
+    r = random.Random(width)
+    noise = " ".join(f"{r.getrandbits(40):x}" for _ in range(80))
+    plain = "x" * 40 + " password=hunter22x " + "y " * 90
+    for data in (gzip.compress(f"{noise} password=hunter22x".encode(), mtime=0), plain.encode()):
+        coded = base64.b64encode(data).decode()
+        wrapped = line_break.join(coded[i : i + width] for i in range(0, len(coded), width))
+        assert line_break in wrapped
+        for text in (wrapped, f"key:\n{wrapped}\nThe end", f"-----BEGIN CERTIFICATE-----\n{wrapped}\n-----END CERTIFICATE-----\n"):
+            base, spans = secrets.all_spans(text)
+            assert not base and any(kind == 0 for _, kind, _ in spans), text
+            at = text.index(wrapped)
+            assert all(at <= start < end <= at + len(wrapped) for start, _, end in spans)
+
+
 def test_decoding_ends():
     deep = "%25" + "25" * 2000 + "41"
     assert secrets.all_spans(deep)[1]  # thousands of layers, each a run of hex digits
