@@ -313,6 +313,18 @@ def test_line_dedup_of_chains_in_a_large_bucket(spark):
     assert kept_lines(spark, lines) == want
 
 
+def test_line_dedup_of_lines_that_share_one_large_bucket(spark, monkeypatch):
+    """A chain whose lines agree in one band only, all in the same one."""
+    made = line_dedup._signatures
+    monkeypatch.setattr(line_dedup, "_signatures", lambda lines: made(lines).withColumns(
+        {f"m{k}": F.xxhash64("lid", F.lit(k)) if k > 1 else F.lit(0).cast("long") for k in range(line_dedup.HASHES)}
+    ))
+    words = [f"w{i:014d}" for i in range(100)]
+    lines = [" ".join(words[i : i + 30]) for i in range(40)]
+    want = first_of_each(lines, character_shingles)
+    assert want == {0} and kept_lines(spark, lines) == want
+
+
 def test_line_dedup_of_short_words(spark):
     """Shingles are full-width where four words are not."""
     r = __import__("random").Random(8)
