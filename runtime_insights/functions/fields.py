@@ -39,6 +39,11 @@ def is_blank(text: Column) -> Column:
     return ~F.coalesce(text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space (any Unicode white space) around it."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def command_tokens(cmdline: Column) -> Column:
     """Option tokens of a command line in order, duplicates kept."""
     return F.regexp_extract_all(cmdline, F.lit(S.TOKEN_PATTERN), F.lit(1))

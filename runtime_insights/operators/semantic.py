@@ -2,7 +2,8 @@
 
 A query is compared only with the candidates of its own block (the siblings under one
 parent). Blocks are cut into tiles of bounded size and each pair of tiles is one task's
-matrix product; a task returns one row per query, never the pairs.
+matrix product; a task returns one row per query, never the pairs. Pairs of tiles whose
+angles to common pivots rule out a match are never made.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from runtime_insights import schema as S
-from runtime_insights.functions.embed import Embedder, text_vectors
+from runtime_insights.functions.embed import Embedder, normalized, text_vectors
 from runtime_insights.operators import profile as P
 from runtime_insights.operators.detect import alerts_on, identified
 from runtime_insights.operators.skew import salted_lookup
@@ -22,6 +23,10 @@ from runtime_insights.session import materialize
 
 TILE = 2048
 FRONT = 1024
+#: Vectors per block that angles are measured from, and slices of the angle around each.
+PIVOTS, PIVOT_SAMPLE, SLICES = 16, 256, 16
+#: Room for rounding: products of single-precision unit vectors leave angles that uncertain.
+SLACK = 2e-3
 
 
 def _tile_scores(
@@ -52,65 +57,180 @@ def _tile_scores(
     return pd.concat(parts)
 
 
-def _sized(rows: DataFrame, tiles: str) -> DataFrame:
-    return rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).alias(tiles))
+def _found_schema(candidates: DataFrame) -> str:
+    turn = dict(candidates.dtypes)["turn"]
+    return f"block string, key string, best double, first_turn {turn}, first_key string"
 
 
 def block_match(
     queries: DataFrame, candidates: DataFrame, threshold: float = S.SIMILARITY_THRESHOLD,
-    skip_same: bool = False,
+    skip_same: bool = False, exact_best: bool = True,
 ) -> DataFrame:
     """Compare ``queries`` (block, key, vector) with ``candidates`` (same and ``turn``).
 
-    Returns (block, key, best, first_key): the highest cosine, and the match of lowest
-    ``turn`` among those at or over the threshold. Every pair within a block is scored,
-    whatever its size; the tiles bound what one task holds. Blocks too small for a task
-    of their own share one.
+    Returns (block, key, best, first_key): the highest product, and the match of lowest
+    ``turn`` among those at or over the threshold. Blocks of up to a tile share tasks. Larger
+    ones are cut into tiles around pivots; without ``exact_best`` only those pairs of tiles are
+    scored in which the angles to the pivots allow a match, so ``best`` is right where
+    it reaches the threshold, and else may be lower than the truth or the row missing.
     """
-    sizes = materialize(
-        _sized(queries, "q_tiles").join(_sized(candidates, "c_tiles"), "block"), "tile-sizes"
-    )
-    total = sizes.agg(F.sum(F.col("q_tiles") + F.col("c_tiles"))).first()[0]
-    turn = dict(candidates.dtypes)["turn"]
+    sizes = queries.groupBy("block").agg(F.count(F.lit(1)).alias("q")).join(
+        candidates.groupBy("block").agg(F.count(F.lit(1)).alias("c")), "block")
+    most_q, most_c, total = sizes.agg(F.max("q"), F.max("c"), F.sum(F.col("q") + F.col("c"))).first()
+    schema = _found_schema(candidates)
     if total is None:
-        return queries.sparkSession.createDataFrame(
-            [], "block string, key string, best double, first_key string")
-    bins = max(1, int(total) // 64)
-    bin_ = F.pmod(F.xxhash64("block"), F.lit(bins)).alias("bin")
+        return queries.sparkSession.createDataFrame([], schema).drop("first_turn")
+    if max(most_q, most_c) <= TILE:
+        tiled = _small_blocks(queries, candidates, int(total), threshold, skip_same, schema)
+    else:
+        sizes = materialize(sizes.select("block", (F.greatest("q", "c") > TILE).alias("large")), "block-sizes")
+        large = sizes.filter("large").select("block")
+
+        def part(rows: DataFrame, how: str) -> DataFrame:
+            return salted_lookup(rows, large, ["block"], ["key"], how)
+
+        def rest(rows: DataFrame) -> DataFrame:
+            marked = salted_lookup(rows, sizes, ["block"], ["key"], "inner")
+            return marked.filter(~F.col("large")).drop("large")
+
+        tiled = _small_blocks(rest(queries), rest(candidates), int(total), threshold, skip_same, schema).unionByName(
+            _large_blocks(part(queries, "inner"), part(candidates, "inner"), threshold, skip_same, exact_best, schema))
+    first = F.min(F.when(F.col("first_key").isNotNull(), F.struct("first_turn", "first_key")))
+    return (
+        tiled.groupBy("block", "key").agg(F.max("best").alias("best"), first.alias("f"))
+        .select("block", "key", "best", F.col("f.first_key").alias("first_key"))
+    )
+
 
-    def tile(count: str):
-        return F.pmod(F.xxhash64("key"), F.col(count))
+def _small_blocks(queries, candidates, total: int, threshold: float, skip_same: bool, schema: str) -> DataFrame:
+    """Each block's only tiles, many blocks to a task."""
+    bin_ = F.pmod(F.xxhash64("block"), F.lit(max(1, total // (16 * TILE)))).alias("bin")
+    # New attributes, because both sides may come from one table.
+    left = queries.select(bin_, *[F.col(n).alias(n) for n in ("block", "key", "vector")])
+    right = candidates.select(bin_, *[F.col(n).alias(n) for n in ("block", "key", "turn", "vector")])
+    return left.groupBy("bin").cogroup(right.groupBy("bin")).applyInPandas(
+        lambda q, c: _tile_scores(q, c, threshold, skip_same), schema
+    )
 
-    def every(count: str):
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
 
-    def fresh(*names: str):
-        # New attributes, because both sides may come from one table.
-        return [F.col(n).alias(n) for n in names]
+def _far_apart(sample: pd.DataFrame) -> pd.DataFrame:
+    """Each next pivot is the vector of the sample that is farthest from all before it."""
+    sample = sample.sort_values("n")
+    unit, _ = _unit(sample["vector"])
+    chosen, nearest = [0], unit @ unit[0]
+    while len(chosen) < min(PIVOTS, len(unit)):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, unit @ unit[chosen[-1]])
+    return pd.DataFrame({
+        "block": sample["block"].iloc[0], "pivot": np.arange(len(chosen)),
+        "vector": sample["vector"].to_numpy()[chosen],
+    })
 
-    left = salted_lookup(queries, sizes, ["block"], ["key"], "inner").select(
-        bin_, tile("q_tiles").alias("qt"), every("c_tiles").alias("ct"),
-        *fresh("block", "key", "vector"),
-    )
-    right = salted_lookup(candidates, sizes, ["block"], ["key"], "inner").select(
-        bin_, every("q_tiles").alias("qt"), tile("c_tiles").alias("ct"),
-        *fresh("block", "key", "turn", "vector"),
-    )
-    schema = f"block string, key string, best double, first_turn {turn}, first_key string"
-    tiled = left.groupBy("bin", "qt", "ct").cogroup(right.groupBy("bin", "qt", "ct")).applyInPandas(
-        lambda q, c: _tile_scores(q, c, threshold, skip_same), schema
+
+def _pivots(candidates: DataFrame) -> DataFrame:
+    """Vectors of each block to measure angles from: far apart among ``PIVOT_SAMPLE`` of it, by hash."""
+    order = W.partitionBy("block").orderBy(F.xxhash64("key"), "key")
+    sample = candidates.select("block", "key", "vector", F.row_number().over(order).alias("n")).filter(
+        F.col("n") <= PIVOT_SAMPLE)
+    schema = f"block string, pivot int, vector {dict(candidates.dtypes)['vector']}"
+    return materialize(sample.groupBy("block").applyInPandas(_far_apart, schema), "pivots")
+
+
+def _unit(vectors) -> tuple[np.ndarray, np.ndarray]:
+    stacked = np.stack(vectors.to_numpy()).astype(np.float64)
+    norms = np.linalg.norm(stacked, axis=1)
+    return stacked / np.maximum(norms, 1e-12)[:, None], norms
+
+
+def _nearest_pivot(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    if rows.empty:
+        return rows.drop(columns="shard").assign(pivot=0, angle=0.0, norm=0.0)
+    unit, norms = _unit(rows["vector"])
+    axes, _ = _unit(pivots["vector"])
+    products = np.clip(unit @ axes.T, -1.0, 1.0)
+    nearest = products.argmax(axis=1)
+    return rows.drop(columns="shard").assign(
+        pivot=pivots["pivot"].to_numpy()[nearest],
+        angle=np.arccos(products[np.arange(len(rows)), nearest]), norm=norms,
     )
-    first = F.min(F.when(F.col("first_key").isNotNull(), F.struct("first_turn", "first_key")))
-    return (
-        tiled.groupBy("block", "key").agg(F.max("best").alias("best"), first.alias("f"))
-        .select("block", "key", "best", F.col("f.first_key").alias("first_key"))
+
+
+def placed(rows: DataFrame, pivots: DataFrame, label: str) -> DataFrame:
+    """Rows of large blocks with ``tile``: those near one pivot, by angle from it, at most about ``TILE``."""
+    counts = materialize(
+        rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).alias("shards")), "shards")
+    dealt = salted_lookup(rows, counts, ["block"], ["key"], "inner").withColumn(
+        "shard", F.pmod(F.xxhash64("key"), F.col("shards"))).drop("shards")
+    copies = pivots.join(counts, "block").select(
+        "block", "pivot", "vector", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)).alias("shard"))
+    columns = [c for c in dealt.columns if c != "shard"]
+    schema = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in columns) + ", pivot int, angle double, norm double"
+    near = materialize(
+        dealt.groupBy("block", "shard").cogroup(copies.groupBy("block", "shard"))
+        .applyInPandas(_nearest_pivot, schema), f"{label}-angles",
+    ).withColumn("slice", F.floor(F.col("angle") * (SLICES / np.pi)))
+    cells = materialize(near.groupBy("block", "pivot", "slice").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(TILE)).alias("parts")), f"{label}-cells")
+    tile = F.concat_ws(":", "pivot", "slice", F.pmod(F.xxhash64("key"), F.col("parts")))
+    return materialize(
+        salted_lookup(near, cells, ["block", "pivot", "slice"], ["key"], "inner")
+        .withColumn("tile", tile).drop("parts", "slice"), f"{label}-tiles")
+
+
+def tile_pairs(
+    queries: DataFrame, candidates: DataFrame, pivots: DataFrame, threshold: float | None
+) -> DataFrame:
+    """Pairs of tiles (block, qt, ct) of placed rows that may hold a match.
+
+    The angle between a row near pivot p and one near pivot q is at least what the triangle inequality
+    leaves of the angle between p and q and their own. With a threshold of None all pairs stay.
+    """
+    def tiles(rows: DataFrame, side: str) -> DataFrame:
+        return rows.groupBy("block", F.col("tile").alias(f"{side}t")).agg(
+            F.first("pivot").alias(f"{side}p"), F.min("angle").alias(f"{side}lo"),
+            F.max("angle").alias(f"{side}hi"), F.max("norm").alias(f"{side}norm"))
+
+    pairs = tiles(queries, "q").join(tiles(candidates, "c"), "block")
+    if threshold is None or threshold <= 0:
+        return pairs.select("block", "qt", "ct")
+    unit = pivots.select("block", "pivot", normalized(F.col("vector")).alias("u"))
+    product = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    between = unit.withColumnRenamed("pivot", "qp").join(
+        unit.select("block", F.col("pivot").alias("cp"), F.col("u").alias("v")), "block"
+    ).select("block", "qp", "cp", F.acos(F.greatest(F.least(product, F.lit(1.0)), F.lit(-1.0))).alias("d"))
+    least = F.greatest(
+        F.col("d") - F.col("qhi") - F.col("chi"), F.col("qlo") - F.col("d") - F.col("chi"),
+        F.col("clo") - F.col("d") - F.col("qhi"),
     )
+    needed = F.lit(threshold) / F.greatest(F.col("qnorm") * F.col("cnorm"), F.lit(1e-12))
+    return pairs.join(materialize(between, "pivot-angles"), ["block", "qp", "cp"]).filter(
+        (needed <= 1 + SLACK) & (least <= F.acos(F.least(needed, F.lit(1.0))) + SLACK)
+    ).select("block", "qt", "ct")
+
+
+def _large_blocks(
+    queries: DataFrame, candidates: DataFrame, threshold: float, skip_same: bool, exact_best: bool, schema: str
+) -> DataFrame:
+    pivots = _pivots(candidates)
+    queries, candidates = placed(queries, pivots, "query"), placed(candidates, pivots, "candidate")
+    pairs = materialize(tile_pairs(queries, candidates, pivots, None if exact_best else threshold), "tile-pairs")
+
+    def side(rows: DataFrame, tile: str, *names: str) -> DataFrame:
+        facing = pairs.groupBy("block", tile).agg(F.collect_list("ct" if tile == "qt" else "qt").alias("others"))
+        named = rows.select("block", F.col("tile").alias(tile), *[F.col(n).alias(n) for n in names])
+        met = salted_lookup(named, materialize(facing, "facing"), ["block", tile], ["key"], "inner")
+        return met.withColumn("ct" if tile == "qt" else "qt", F.explode("others")).drop("others")
+
+    keys = ("block", "qt", "ct")
+    return side(queries, "qt", "key", "vector").groupBy(*keys).cogroup(
+        side(candidates, "ct", "key", "turn", "vector").groupBy(*keys)
+    ).applyInPandas(lambda q, c: _tile_scores(q, c, threshold, skip_same), schema)
 
 
 def any_match(queries: DataFrame, candidates: DataFrame, threshold: float = S.SIMILARITY_THRESHOLD,
               skip_same: bool = False) -> DataFrame:
     """Per query whether some candidate of its block is similar enough."""
-    scored = block_match(queries, candidates, threshold, skip_same)
+    scored = block_match(queries, candidates, threshold, skip_same, exact_best=False)
     return queries.select("block", "key").join(scored, ["block", "key"], "left").select(
         "block", "key", F.coalesce(F.col("best") >= threshold, F.lit(False)).alias("matched")
     )
@@ -131,7 +251,7 @@ def match_key(queries: DataFrame, candidates: DataFrame,
     rest = queries
     if not skip_same:
         rest = queries.join(candidates.select("block", "key"), ["block", "key"], "left_anti")
-    scored = block_match(rest, candidates, threshold, skip_same)
+    scored = block_match(rest, candidates, threshold, skip_same, exact_best=False)
     return queries.select("block", "key").join(
         scored.select("block", "key", "first_key"), ["block", "key"], "left"
     ).select("block", "key", F.coalesce("first_key", "key").alias("match"))
@@ -143,15 +263,16 @@ def _greedy(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Leaders among the first keys of one block, in order of arrival."""
     group = group.sort_values("turn", kind="stable")
     vectors = np.stack(group["vector"].to_numpy()).astype(np.float64)
-    close = vectors @ vectors.T >= threshold
     leader = np.arange(len(group))
-    chosen: list[int] = []
+    is_open = np.ones(len(group), bool)
     for i in range(len(group)):
-        earlier = [j for j in chosen if close[i, j]][:1]
-        if earlier:
-            leader[i] = earlier[0]
-        else:
-            chosen.append(i)
+        if is_open[i]:
+            # The first open key leads all open ones that are similar to it.
+            joins = is_open & (vectors @ vectors[i] >= threshold)
+            leader[joins] = i
+            leader[i] = i
+            is_open &= ~joins
+            is_open[i] = False
     keys = group["key"].to_numpy()
     return pd.DataFrame({
         "block": group["block"], "key": keys, "turn": group["turn"], "leader": keys[leader],
@@ -192,7 +313,7 @@ def leaders(keys: DataFrame, threshold: float, front: int = FRONT) -> DataFrame:
             return settled
         new = found.filter(F.col("key") == F.col("leader")).select("block", "key").join(
             pending, ["block", "key"])
-        joined = block_match(later.drop("turn"), new, threshold).filter(
+        joined = block_match(later.drop("turn"), new, threshold, exact_best=False).filter(
             F.col("first_key").isNotNull())
         joined = materialize(later.drop("vector").join(joined, ["block", "key"]).select(
             "block", "key", "turn", F.col("first_key").alias("leader")), "joined-keys")
@@ -202,7 +323,6 @@ def leaders(keys: DataFrame, threshold: float, front: int = FRONT) -> DataFrame:
         )
         if pending.isEmpty():
             return settled
-        front = min(front * 2, 8 * FRONT)
 
 
 # --------------------------------------------------- semantic profile and detect
@@ -310,8 +430,9 @@ class SemanticProfile:
             keys = _distinct_keys(rows, key, parent)
             known = salted_lookup(mapping, cut, ["container_name"], [key], "inner").filter(
                 F.col("turn") <= F.col("cut_ord")).withColumnRenamed(key, "key")
-            old = keys.drop("turn").join(
-                known.select(*parent, "key", F.col(name).alias("match")), [*parent, "key"], "left")
+            old = materialize(keys.drop("turn").join(
+                known.select(*parent, "key", F.col(name).alias("match")), [*parent, "key"], "left"
+            ), f"met-{name}")
             new = self._keyed(old.filter(F.col("match").isNull()).drop("match"), parent)
             learned = self._keyed(
                 known.filter(F.col("key") == F.col(name)).select(*parent, "key", "turn"), parent
@@ -319,7 +440,7 @@ class SemanticProfile:
             similar = block_match(
                 new.filter(F.col("vector").isNotNull()).select("block", "key", "vector"),
                 learned.filter(F.col("vector").isNotNull()).select("block", "key", "turn", "vector"),
-                self.threshold,
+                self.threshold, exact_best=False,
             ).filter(F.col("first_key").isNotNull())
             matched = old.filter(F.col("match").isNotNull()).select(
                 *parent, F.col("key").alias(key), F.col("match").alias(name)

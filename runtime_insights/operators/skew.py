@@ -13,15 +13,15 @@ BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 << 20
 
 
-def is_small(dim: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether ``dim`` has at most ``rows`` rows and ``size`` bytes of values.
+def is_small(dim: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``dim`` has at most ``rows`` rows and ``BROADCAST_BYTES`` bytes of values.
 
     Reads no more of it than ``rows`` + 1 rows.
     """
     text = [F.coalesce(F.octet_length(F.col(f"`{n}`").cast("string")), F.lit(8)) for n in dim.columns]
     width = sum(text[1:], text[0]).cast("bigint")
     found = dim.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    return found[0] <= rows and found[1] <= size
+    return found[0] <= rows and found[1] <= BROADCAST_BYTES
 
 
 def salted_lookup(

@@ -205,6 +205,59 @@ def test_block_match_scores_every_pair_of_a_block(spark, monkeypatch):
         assert first == hit and abs(best - max(scores[i, j] for j in others)) < 1e-9
 
 
+def clustered(rng, groups, size, width=24):
+    """Unit vectors in tight groups around far directions, and some between."""
+    axes = np.linalg.qr(rng.normal(size=(width, width)))[0][:groups]
+    vectors = np.repeat(axes, size, axis=0) + rng.normal(scale=0.03, size=(groups * size, width))
+    vectors = np.vstack([vectors, rng.normal(size=(size, width))])
+    return np.float32(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.4])
+def test_pairs_of_tiles_that_cannot_match_are_not_made(spark, monkeypatch, threshold):
+    monkeypatch.setattr(M, "TILE", 12)
+    vectors = clustered(np.random.default_rng(5), 8, 18)
+    blocks = ["hot" if i % 9 else f"b{i % 4}" for i in range(len(vectors))]
+    rows = [(b, f"k{i}", i, [float(x) for x in v]) for i, (b, v) in enumerate(zip(blocks, vectors))]
+    df = spark.createDataFrame(rows, "block string, key string, turn bigint, vector array<float>").repartition(3)
+    scores = vectors.astype(float) @ vectors.astype(float).T
+    first = {}
+    for i, block in enumerate(blocks):
+        first[f"k{i}"] = next(
+            (f"k{j}" for j in range(len(rows)) if j != i and blocks[j] == block and scores[i, j] >= threshold), f"k{i}")
+    found = M.match_key(df.drop("turn"), df, threshold, skip_same=True).collect()
+    assert {r.key: r.match for r in found} == first
+    hot = df.filter("block = 'hot'")
+    pivots = M._pivots(hot)
+    tiles = M.placed(hot, pivots, "test")
+    assert tiles.groupBy("tile").count().agg(F.max("count")).first()[0] <= 3 * M.TILE
+    every = M.tile_pairs(tiles, tiles, pivots, None).count()
+    made = M.tile_pairs(tiles, tiles, pivots, threshold).count()
+    assert made < every / 2 if threshold == 0.9 else made <= every
+
+
+def test_vectors_longer_than_one_still_meet_all_their_matches(spark, monkeypatch):
+    monkeypatch.setattr(M, "TILE", 5)
+    rng = np.random.default_rng(2)
+    vectors = np.float32(rng.normal(size=(60, 6)) * rng.choice([0.0, 0.1, 1, 5], size=(60, 1)))
+    rows = [("b", f"k{i}", i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "block string, key string, turn bigint, vector array<float>")
+    scores = vectors.astype(float) @ vectors.astype(float).T
+    np.fill_diagonal(scores, -9)
+    got = {r.key for r in M.semi_match(df.drop("turn"), df, 0.7, skip_same=True).collect()}
+    assert got == {f"k{i}" for i in range(60) if scores[i].max() >= 0.7}
+
+
+def test_ngram_vectors_are_the_same_in_built_ins(spark):
+    from runtime_insights.functions.embed import embed
+
+    texts = ["execve", "a", " padded\t", "10.0.0.1:443:ipv4", "/d0/f24", "é漢字😀", "x" * 300]
+    for embedder in (NgramEmbedder(), NgramEmbedder(33, (1, 4))):
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", embed(embedder, F.col("t")).alias("v"))
+        for row in got.collect():
+            assert np.array_equal(np.float32(row.v), np.float32(embedder.encode([row.t.strip()])[0]))
+
+
 def test_large_lookup_tables_are_salted_with_the_same_result(spark, monkeypatch):
     from runtime_insights.operators import skew
 
