@@ -7,16 +7,17 @@ from every further position that has as many: each character is in a shingle. Tw
 occurrence (smallest doc_id, then position) stays, all others go. Lines without a word stay.
 
 Plan. Words are exploded and reduced on the map side to one row per distinct line and task:
-``HASHES`` minima (for each of that many points the hash nearest to it by xor), the
+``2 * HASHES`` minima (for each of that many points the hash nearest to it by xor), the
 number of copies and the first occurrence. Copies are thereby one line before anything else.
-Minima are banded in ``HASHES / 2`` pairs: lines of similarity 0.8 share none with a chance of
-3 in 10,000. All pairs of a small bucket are candidates. In a bucket of more than ``SMALL`` lines
+Four minima are a band, ``HASHES / 2`` in all: lines of similarity 0.8 share none with a chance of
+6 in 10,000, lines of 0.3 any with one of 11 in 100, of 0.03 of 1 in 100,000; so chance meetings, whose number grows
+with the square of the number of lines, stay few. All pairs of a small bucket are candidates. In a bucket of more than ``SMALL`` lines
 each line first meets two members, other ones in each bucket. Candidates are verified on all their
 shingles (as 64-bit hashes), linked ones are joined by a distributed union-find. Large buckets whose
 lines then are in more than one component are compared whole, except pairs that already are in
 one: each line outside the component of a bucket's first partner meets all lines of other components,
-in tiles of at most about ``TILE`` by ``TILE`` lines. So every pair that shares a band is verified or
-joined already.
+in tiles of at most about ``TILE`` by ``TILE`` lines, where sizes and then shingles are compared at once:
+only links are written. So every pair that shares a band is verified or joined already.
 
 Nothing is gathered per line or bucket; hot lines and buckets meet small tables in joins
 that adaptive execution splits. Lines are known by a 64-bit hash.
@@ -30,9 +31,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runtime_insights.llm.tables import components, discard, row_key, store
+from runtime_insights.llm.tables import components, discard, row_key, store, unused
 
-WIDTH, SPAN, HASHES, SMALL, TILE, SIMILAR = 16, 4, 16, 16, 512, 0.8
+WIDTH, SPAN, HASHES, SMALL, TILE, SIMILAR = 16, 4, 28, 16, 512, 0.8
 _MARKS = ("\t", "\x0b", "\x0c", "\r")  # white space beside the blank
 _PIECE = 256  # positions of a long word that are taken from one piece of it
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -40,7 +41,7 @@ _GOLDEN = 0x9E3779B97F4A7C15
 
 def _point(k: int) -> int:
     """Points spread evenly over the 64-bit numbers, signed."""
-    value = ((k << 60) | ((k + 1) * _GOLDEN & ((1 << 60) - 1))) & (2**64 - 1)
+    value = ((k << 58) | ((k + 1) * _GOLDEN & ((1 << 58) - 1))) & (2**64 - 1)
     return value - 2**64 if value >= 2**63 else value
 
 
@@ -101,7 +102,8 @@ def _place() -> Column:
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: ``lid``, ``copies``, ``doc`` (first), ``place`` (of one copy), m0, m1, ..."""
+    """One row per distinct line: ``lid``, ``copies``, ``doc`` (first), ``place`` (of one copy), m0, m1, ... (a hash
+    of two minima each)."""
     # Usual lines explode into word numbers and hash then; lines with long words explode into hashes.
     exploded = (
         lines.select("lid", "doc", _place().alias("place"), _words(F.col("line")).alias("w"), _long(F.col("line")).alias("long"))
@@ -111,10 +113,19 @@ def _signatures(lines: DataFrame) -> DataFrame:
         )).alias("i", "item"))
         .select("lid", "doc", "place", "i", F.expr(f"CASE WHEN long THEN item ELSE xxhash64({_shingle('w', 'i')}) END").alias("h"))
     )
-    return exploded.groupBy("lid").agg(
+    least = exploded.groupBy("lid").agg(
         F.sum((F.col("i") == 0).cast("long")).alias("copies"), F.min("doc").alias("doc"), F.min("place").alias("place"),
-        *[F.min(F.col("h").bitwiseXOR(F.lit(_point(k)))).alias(f"m{k}") for k in range(HASHES)],
+        *[F.min(F.col("h").bitwiseXOR(F.lit(_point(k)))).alias(f"x{k}") for k in range(2 * HASHES)],
     )
+    return least.select(
+        "lid", "copies", "doc", "place", *[F.xxhash64(f"x{2 * k}", f"x{2 * k + 1}").alias(f"m{k}") for k in range(HASHES)]
+    )
+
+
+def _banded(signatures: DataFrame) -> DataFrame:
+    """``lid``, ``copies``, ``doc``, ``place`` and the ``buckets`` of the line."""
+    bands = [F.xxhash64(F.lit(j), f"m{2 * j}", f"m{2 * j + 1}") for j in range(HASHES // 2)]
+    return signatures.select("lid", "copies", "doc", "place", F.array(*bands).alias("buckets"))
 
 
 def _all_pairs(members: DataFrame) -> DataFrame:
@@ -125,10 +136,7 @@ def _all_pairs(members: DataFrame) -> DataFrame:
 
 def _candidates(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs to verify first, and the members of the large buckets: ``bucket``, ``lid``, ``n``, ``low`` (first partner)."""
-    bands = [
-        F.xxhash64(F.lit(j), f"m{2 * j}", f"m{2 * j + 1}") for j in range(HASHES // 2)
-    ]
-    members = signatures.select("lid", F.explode(F.array(*bands)).alias("bucket"))
+    members = signatures.select("lid", F.explode("buckets").alias("bucket"))
     # Other ends in each bucket: the lines whose numbers are least and greatest after xor with the bucket's.
     mixed = F.col("lid").bitwiseXOR(F.col("bucket"))
     sizes = members.groupBy("bucket").agg(
@@ -147,8 +155,8 @@ def _candidates(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, large
 
 
-def _unmet(large: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of the large buckets that ``links`` do not join: ``a`` < ``b``."""
+def _links_in_large(large: DataFrame, links: DataFrame, signatures: DataFrame, lines: DataFrame, least: float) -> DataFrame | None:
+    """Links of the large buckets that ``links`` do not join yet: ``a`` < ``b``."""
     member = store(components(links, "lines-components"), "lines-met")
     named = large.join(member.withColumnRenamed("node", "lid"), "lid", "left").withColumn(
         "component", F.coalesce("component", "lid")
@@ -159,57 +167,73 @@ def _unmet(large: DataFrame, links: DataFrame) -> DataFrame:
         F.max(F.when(F.col("lid") == F.col("low"), F.col("component"))).alias("main"),
     ).filter("least <> most").select("bucket", "main")
     whole = store(named.join(split, "bucket"), "lines-split")
+    discard(member, named)
+    if whole.isEmpty():
+        return None
+    shingles = _shingles(whole.select("lid").distinct(), signatures, lines)
     others = whole.filter("component <> main")
     others = others.join(others.groupBy("bucket").agg(F.count("*").alias("m")), "bucket")
     members = whole.join(others.groupBy("bucket").agg(F.first("m").alias("m")), "bucket")
     tiles, other_tiles = F.ceil(F.col("n") / TILE).cast("int"), F.ceil(F.col("m") / TILE).cast("int")
     place = F.xxhash64("lid", "bucket")
-    left = others.select(
+    left = others.join(shingles, "lid").select(
         "bucket", F.col("lid").alias("l"), F.col("component").alias("lc"), F.pmod(place, other_tiles).cast("int").alias("u"),
-        F.explode(F.sequence(F.lit(0), tiles - 1)).alias("t"),
+        F.col("s").alias("sl"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("t"),
     )
-    right = members.select(
+    right = members.join(shingles, "lid").select(
         "bucket", F.col("lid").alias("r"), F.col("component").alias("rc"), "main", F.pmod(place, tiles).cast("int").alias("t"),
-        F.explode(F.sequence(F.lit(0), other_tiles - 1)).alias("u"),
+        F.col("s").alias("sr"), F.explode(F.sequence(F.lit(0), other_tiles - 1)).alias("u"),
     )
-    pairs = left.join(right, ["bucket", "t", "u"]).filter("lc <> rc AND (rc = main OR l < r)").select(
-        F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")
-    ).distinct()
-    pairs = store(pairs, "lines-unmet")
-    discard(member, named, whole)
-    return pairs
+    pairs = left.join(right, ["bucket", "t", "u"]).filter("lc <> rc AND (rc = main OR l < r)").filter(
+        _similar("sl", "sr", least)
+    ).select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
+    found = store(pairs, "lines-links")
+    discard(whole, shingles)
+    return found
 
 
-def _verified(pairs: DataFrame, signatures: DataFrame, lines: DataFrame, least: float) -> DataFrame:
-    wanted = pairs.select(F.col("a").alias("lid")).union(pairs.select(F.col("b").alias("lid"))).distinct()
+def _similar(a: str, b: str, least: float) -> Column:
+    """Whether two sets are similar enough; their sizes can rule that out before they are met."""
+    common = F.size(F.array_intersect(a, b))
+    near = (F.size(a) >= F.lit(least) * F.size(b)) & (F.size(b) >= F.lit(least) * F.size(a))
+    return near & (common >= F.lit(least) * (F.size(a) + F.size(b) - common))
+
+
+def _shingles(wanted: DataFrame, signatures: DataFrame, lines: DataFrame) -> DataFrame:
+    """``lid``, ``s`` (distinct hashes of all shingles) of the wanted lines, from one copy of each."""
     wanted = store(wanted.join(signatures.select("lid", "place"), "lid"), "lines-wanted")
-    # One copy of each wanted line.
     found = lines.select("lid", _place().alias("place"), "line").join(wanted.hint("shuffle_hash"), ["lid", "place"])
     shingles = store(
         found.select("lid", _words(F.col("line")).alias("w")).select(
             "lid", F.expr(f"array_distinct(concat({_start_hashes('w')}, {_inner_hashes('w')}))").alias("s")
-        ), "lines-shingles",
+        ).dropDuplicates(["lid"]), "lines-shingles",
     )
-    common = F.size(F.array_intersect("sa", "sb"))
+    discard(wanted)
+    return shingles
+
+
+def _verified(pairs: DataFrame, signatures: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+    wanted = pairs.select(F.col("a").alias("lid")).union(pairs.select(F.col("b").alias("lid"))).distinct()
+    shingles = _shingles(wanted, signatures, lines)
     links = (
         pairs.join(shingles.select(F.col("lid").alias("a"), F.col("s").alias("sa")), "a")
         .join(shingles.select(F.col("lid").alias("b"), F.col("s").alias("sb")), "b")
-        .filter(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+        .filter(_similar("sa", "sb", least)).select("a", "b").distinct()
     )
     links = store(links, "lines-links")
-    discard(wanted, shingles)
+    discard(shingles)
     return links
 
 
 def _lines_that_go(docs: DataFrame, least: float) -> DataFrame:
     """``doc``, ``row``, ``gone`` (positions). ``docs``: ``doc_id``, ``row``, ``text``."""
     lines = _lines(docs)
-    signatures = store(_signatures(lines), "lines-signatures")
+    signatures = store(_banded(_signatures(lines)), "lines-signatures")
     pairs, large = _candidates(signatures)
     links = _verified(pairs, signatures, lines, least)
-    unmet = _unmet(large, links)
-    if not unmet.isEmpty():
-        links = links.union(_verified(unmet, signatures, lines, least))
+    more = None if large.isEmpty() else _links_in_large(large, links, signatures, lines, least)
+    if more is not None:
+        links = links.union(more)
     member = store(components(links, "lines-components"), "lines-members").withColumnRenamed("node", "lid")
     first = signatures.select("lid", "copies", "doc")
     groups = first.join(member, "lid")
@@ -224,27 +248,29 @@ def _lines_that_go(docs: DataFrame, least: float) -> DataFrame:
     at = found.filter("doc = stays").groupBy("component").agg(F.min("pos").alias("at"))
     gone = found.join(at, "component").filter("doc <> stays OR pos <> at")
     gone = store(gone.groupBy("doc", "row").agg(F.collect_set("pos").alias("gone")), "lines-gone")
-    discard(signatures, pairs, large, unmet, links, repeated, found)
+    discard(signatures, pairs, large, repeated, found)
     return gone
 
 
 def dedup_lines(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """``docs`` with the remaining lines in ``text``; ``n_chars`` follows where there is one."""
     names = docs.columns
-    key, id_name = "_line_row", "_line_doc"
+    # Work names that no column of the input has, in whatever case.
+    key, id_name, gone_doc, gone_row, gone_at, new_text = unused(
+        names, "line_row", "line_doc", "gone_doc", "gone_row", "gone", "new_text")
     keyed = docs.withColumn(id_name, F.col("doc_id").cast("long")).withColumn(key, row_key("doc_id", "text"))
     gone = _lines_that_go(keyed.select(F.col(id_name).alias("doc_id"), F.col(key).alias("row"), F.col("text")), least)
-    gone = gone.select(F.col("doc").alias("_gone_doc"), F.col("row").alias("_gone_row"), F.col("gone").alias("_gone"))
-    same_doc = F.coalesce(F.col(id_name), F.lit(-(2**63))) == F.col("_gone_doc")
-    joined = keyed.join(gone, (F.col(key) == F.col("_gone_row")) & same_doc, "left")
+    gone = gone.select(F.col("doc").alias(gone_doc), F.col("row").alias(gone_row), F.col("gone").alias(gone_at))
+    same_doc = F.coalesce(F.col(id_name), F.lit(-(2**63))) == F.col(gone_doc)
+    joined = keyed.join(gone, (F.col(key) == F.col(gone_row)) & same_doc, "left")
     kept = F.array_join(
-        F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n"
+        F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone_at, i)), "\n"
     )
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    joined = joined.withColumn("_text", text)
+    text = F.when(F.col(gone_at).isNull(), F.col("text")).otherwise(kept)
+    joined = joined.withColumn(new_text, text)
     columns = [
-        F.col("_text").alias(c) if c == "text"
-        else F.length("_text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars"
+        F.col(new_text).alias(c) if c == "text"
+        else F.length(new_text).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars"
         else F.col(f"`{c}`") for c in names
     ]
     return joined.select(*columns)

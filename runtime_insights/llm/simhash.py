@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from runtime_insights.llm.arrays import chunks, runs, text_bytes
-from runtime_insights.llm.tables import columns_or_null, components, discard, parts, row_key, store
+from runtime_insights.llm.tables import columns_or_null, components, discard, parts, row_key, store, unused
 
 SEED, SHINGLE = 42, 3
 DENSE = 4_096
@@ -234,17 +234,18 @@ def keep_one_of_each(docs: DataFrame, distance: int = 3) -> DataFrame:
 
     Rows without doc_id come after all others. All columns as they are.
     """
-    keyed = docs.withColumn("_row", row_key("doc_id", "text"))
-    prints = store(fingerprints(keyed, "_row"), "simhash-prints")
+    key, times = unused(docs.columns, "row", "times")
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    prints = store(fingerprints(keyed, key), "simhash-prints")
     labelled = prints.join(_labels(prints, distance), "f")
     best = labelled.groupBy("component").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_row").alias("row"))).alias("best")
-    ).select(F.col("best.row").alias("_row"))
-    stay = store(prints.join(best, "_row").groupBy("_row").agg(F.count("*").alias("_times")), "simhash-stay")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("row"))).alias("best")
+    ).select(F.col("best.row").alias(key))
+    stay = store(prints.join(best, key).groupBy(key).agg(F.count("*").alias(times)), "simhash-stay")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     # Equal rows share the key; only they have to be thinned out.
-    single = keyed.join(stay.filter("_times = 1").select("_row"), "_row", "left_semi")
-    repeated = keyed.join(stay.filter("_times > 1").select("_row"), "_row", "left_semi").dropDuplicates(["_row"])
+    single = keyed.join(stay.filter(F.col(times) == 1).select(key), key, "left_semi")
+    repeated = keyed.join(stay.filter(F.col(times) > 1).select(key), key, "left_semi").dropDuplicates([key])
     return single.select(*columns).union(repeated.select(*columns))
 
 

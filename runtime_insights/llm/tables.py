@@ -59,6 +59,17 @@ def columns_or_null(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in wanted.items()])
 
 
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that none of ``names`` is, in whatever case."""
+    taken, out = {name.lower() for name in names}, []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def row_key(*columns: str) -> Column:
     """A 64-bit key of a row's own content; equal rows share it, and all results with it."""
     return F.xxhash64(*[F.col(c) for c in columns])

@@ -185,7 +185,7 @@ def test_quality_of_awkward_rows(spark, odd_docs, no_docs):
 
 def shingles(line):
     w = [x for x in __import__("re").split("[ \t\x0b\x0c\r]+", line) if x]
-    return {" ".join(w[i : i + 4])[:16] for i in range(len(w))}
+    return {" ".join(w[i : i + 9])[:16] for i in range(len(w))}
 
 
 def brute_lines(docs, least=0.8):
@@ -337,10 +337,36 @@ def test_line_dedup_of_short_words(spark):
                 changed[k] = "x"
             lines.append(" ".join(changed))
     want = first_of_each(lines, character_shingles)
-    assert want != first_of_each(lines, shingles)
+    four = lambda line: {" ".join(line.split()[i : i + 4])[:16] for i in range(60)}
+    assert want != first_of_each(lines, four)
     assert kept_lines(spark, lines) == want
 
 
+def test_line_dedup_keeps_columns_with_any_name(spark):
+    df = spark.createDataFrame([(1, "one same line of words here\nother", 5, 6, 7, 8, 9), (2, "one same line of words here", 1, 2, 3, 4, 5)],
+                               "doc_id long, text string, _line_row int, _gone_doc int, _GONE int, _new_text int, lid int")
+    got = {r.doc_id: tuple(r) for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {1: (1, "one same line of words here\nother", 5, 6, 7, 8, 9), 2: (2, "", 1, 2, 3, 4, 5)}
+
+
+def test_line_dedup_in_many_tiles(spark, monkeypatch):
+    """Chains in buckets that are cut into tiles give the same as all pairs."""
+    monkeypatch.setattr(line_dedup, "TILE", 16)
+    monkeypatch.setattr(line_dedup, "SMALL", 4)
+    r = __import__("random").Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(15))
+    lines = []
+    for _ in range(5):
+        base = [word() for _ in range(30)]
+        for _ in range(30):
+            lines.append(" ".join(base))
+            base = list(base)
+            for k in r.sample(range(30), 2):
+                base[k] = word()
+    want = first_of_each(lines, character_shingles)
+    assert 5 <= len(want) < 80 and kept_lines(spark, lines) == want
+
+
 # Pipeline ------------------------------------------------------------------------------------
 
 
