@@ -146,21 +146,25 @@ def section(df: DataFrame, name: str, key: Column, value: Column) -> DataFrame:
     return df.select(F.lit(name).alias("section"), key.alias("key"), value.cast("double").alias("value"))
 
 
+def alerts_of_day(alerts: DataFrame, at: datetime) -> DataFrame:
+    """The number of alerts of the day of ``at``."""
+    midnight = at.replace(hour=0, minute=0, second=0, microsecond=0)
+    return alerts.filter(
+        (F.col("ts") >= F.lit(midnight).cast("timestamp_ntz"))
+        & (F.col("ts") < F.lit(midnight + timedelta(days=1)).cast("timestamp_ntz"))
+    ).agg(F.count(F.lit(1)).alias("value"))
+
+
 def overview(
-    events: DataFrame, alerts: DataFrame, at: datetime, window: timedelta, top_n: int = 10
+    events: DataFrame, today: DataFrame, at: datetime, window: timedelta, top_n: int = 10
 ) -> DataFrame:
-    """Total rate, distributions, top rules and the number of alerts of the day of ``at``."""
+    """Total rate, distributions, top rules and the number of alerts ``today`` (see ``alerts_of_day``)."""
     rates = rates_by(events, [[], ["priority"], ["rule_category"], ["rule"]], at, window)
 
     def panel(name: str) -> DataFrame:
         return rates.filter(F.col("panel") == name)
 
     rules = top(panel("rule"), top_n, "rule")
-    midnight = at.replace(hour=0, minute=0, second=0, microsecond=0)
-    today = alerts.filter(
-        (F.col("ts") >= F.lit(midnight).cast("timestamp_ntz"))
-        & (F.col("ts") < F.lit(midnight + timedelta(days=1)).cast("timestamp_ntz"))
-    ).agg(F.count(F.lit(1)).alias("value"))
     value = F.col("value")
     parts = [
         section(panel(""), "total_rate", F.lit("all"), value),

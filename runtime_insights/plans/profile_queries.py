@@ -13,7 +13,7 @@ from runtime_insights.operators import (
 from runtime_insights.operators.paths import known
 from runtime_insights.plans.base import register
 from runtime_insights.plans.ingest_queries import METRIC_CATEGORY
-from runtime_insights.plans.runtime_events import runtime_events, stored, table
+from runtime_insights.plans.runtime_events import kept_alerts, runtime_events, stored, table
 from runtime_insights.plans.twins import ALERTS, CUT, LEARNED, NODES, PATHS, RT_EVENTS, with_tables
 from runtime_insights.session import materialize
 
@@ -341,14 +341,24 @@ def container_rate(spark, folder):
     return Q.rate(one, [], Q.latest(events), timedelta(days=1))
 
 
+def _kept(spark, folder):
+    """The kept alert table that searches, pages and the overview read."""
+    return kept_alerts(spark, folder, _find_alerts)
+
+
+@register("alert_upkeep", _twin(ALERTS, select="""
+SELECT container_name, CAST(ts AS DATE) AS day, count(*) AS n FROM alerts GROUP BY ALL"""))
+def alert_upkeep(spark, folder):
+    """Detects, keeps the alerts, and says how many there are by day."""
+    return kept_alerts(spark, folder, _find_alerts, again=True).counts()
+
+
 @register("alert_search", _twin(ALERTS, select="""
 SELECT container_name, seq, ts, branch, level, missing_key FROM alerts
 WHERE container_name = 'c3' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25'
   AND priority = 'Warning'"""))
 def alert_search(spark, folder):
-    found = search.alert_search(
-        _alerts(spark, folder), "c3", datetime(2024, 1, 5), datetime(2024, 1, 25), "warning"
-    )
+    found = _kept(spark, folder).search("c3", datetime(2024, 1, 5), datetime(2024, 1, 25), "warning")
     return found.select("container_name", "seq", "ts", "branch", "level", "missing_key")
 
 
@@ -357,7 +367,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY container_name ORDER B
   AS INTEGER) AS position FROM alerts WHERE (ts, seq) < (TIMESTAMP '2024-01-20', 0))""", select="""
 SELECT container_name, position, seq, ts, missing_key FROM ranked WHERE position <= 5"""))
 def alert_page(spark, folder):
-    page = search.alert_page(_alerts(spark, folder), 5, (BEFORE, 0))
+    page = _kept(spark, folder).page(5, (BEFORE, 0))
     return page.select("container_name", "position", "seq", "ts", "missing_key")
 
 
@@ -394,7 +404,8 @@ def overview(spark, folder):
     events = runtime_events(spark, folder).withColumn(
         "rule_category", metrics_category(F.col("rule"), F.col("evt_type"))
     )
-    return Q.overview(events, _alerts(spark, folder), Q.latest(events), timedelta(days=1))
+    at = Q.latest(events)
+    return Q.overview(events, _kept(spark, folder).day_count(at), at, timedelta(days=1))
 
 
 # ------------------------------------------------------------- search and scope

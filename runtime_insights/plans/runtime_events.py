@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runtime_insights.functions.classify import lookup, profile_category
-from runtime_insights.session import apply_settings, materialize
+from runtime_insights.operators.alert_store import AlertStore
+from runtime_insights.session import apply_settings, materialize, work_dir
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -76,6 +78,18 @@ def forget() -> None:
     _STORED.clear()
 
 
+def kept_alerts(
+    spark: SparkSession, folder: str, detect: Callable[[SparkSession, str], DataFrame], again: bool = False
+) -> AlertStore:
+    """The kept alerts of the input as it is now. Upkeep, detection and a batch, is only done if that
+    is new, or ``again``; ``forget`` does not drop them."""
+    state = hashlib.sha256(_state(spark, folder).encode()).hexdigest()[:24]
+    store = AlertStore(spark, f"{work_dir(spark)}/alert-store-{spark.sparkContext.applicationId}-{state}")
+    if again or not store.exists():
+        store.append(0, detect(spark, folder))
+    return store
+
+
 def _state(spark: SparkSession, folder: str) -> str:
     """The files of the events table with sizes and times of change."""
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/events.parquet")
