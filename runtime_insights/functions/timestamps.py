@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, functions as F
 
 from runtime_insights.functions.fields import field
@@ -123,3 +125,8 @@ def event_time(time: Column, fields: Column, ingest_ts: Column) -> Column:
     )
     text = F.coalesce(_iso(time), _iso(field(fields, "evt.time.iso8601")))
     return F.coalesce(text.cast("timestamp_ntz"), from_micros(us), ingest_ts.cast("timestamp_ntz"))
+
+
+def epoch_micros(ts: datetime) -> int:
+    """Microseconds since 1970 of a wall-clock time, as ``micros`` gives them."""
+    return (ts - datetime(1970, 1, 1)) // timedelta(microseconds=1)

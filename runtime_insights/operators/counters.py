@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from runtime_insights import schema as S
 from runtime_insights.functions import fields as X, timestamps as TS
 from runtime_insights.functions.classify import metrics_category
+from runtime_insights.operators.scan import ordered_span, scan_before
+from runtime_insights.session import materialize
 
 
 def labelled(parsed: DataFrame, ingest_ts: Column) -> DataFrame:
@@ -135,14 +138,16 @@ def counter_samples(
     labels: Sequence[str],
     step_us: int,
     restart_us: int | None = None,
+    bounds: tuple[datetime, datetime] | None = None,
 ) -> DataFrame:
     """Cumulative counter of each series at the end of every step, as a scrape takes them.
 
     A series begins with the step of its first event and goes on to the last step of
     all, also through steps in which it did not grow. Events are counted per series and
-    step before the running sum, whose partitions hold one row per step. ``restart_us``
-    sets counters back to zero at each multiple, as a restarted exporter does; a
-    series is then missing until its next event.
+    step; running sums are taken over those rows alone, by ranges of steps, and each row gives the samples
+    since the one before it. ``restart_us`` sets counters back to zero at each multiple, as a restarted
+    exporter does; a series is then missing until its next event. ``bounds`` are the times of the first and
+    last event where the caller knows them; else the counts are stored and asked.
     """
     us = TS.micros(F.col("ts"))
     # A step's sample is taken at its end, so an event exactly there still counts.
@@ -150,42 +155,56 @@ def counter_samples(
     counts = events.groupBy(*labels, step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
     epoch = F.lit(0) if restart_us is None else TS.bucket(
         F.col("step") * step_us - 1, restart_us)
-    counts = counts.withColumn("epoch", epoch)
-    last = F.lit(counts.agg(F.max("step")).first()[0] or 0).cast("bigint")
+    counts = counts.withColumn("epoch", epoch.cast("bigint"))
+    if bounds is None:
+        counts = materialize(counts, "step-counts")
+        span = ordered_span(counts, F.col("step"))
+    else:
+        span = tuple(-(-TS.epoch_micros(t) // step_us) for t in bounds)
+    last = F.lit(span[1]).cast("bigint")
     if restart_us is not None:
         # The last step whose end is not after the restart.
         last = F.least(last, TS.bucket((F.col("epoch") + 1) * restart_us, step_us))
-    steps = counts.groupBy(*labels, "epoch").agg(F.min("step").alias("from")).select(
-        *labels, "epoch", F.explode(F.sequence(F.col("from"), last)).alias("step"),
-        F.lit(0).cast("bigint").alias("n"),
-    )
-    counts = counts.unionByName(steps).groupBy(*labels, "epoch", "step").agg(F.sum("n").alias("n"))
-    running = W.partitionBy(*labels, "epoch").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    return counts.select(
-        *labels, TS.from_micros(F.col("step") * step_us).alias("ts"),
-        F.sum("n").over(running).cast("double").alias("value"),
-    )
+    series = [*labels, "epoch"]
+    known = scan_before(counts, series, "step", {"sum_before": ("n", "sum"), "step_before": ("step", "last")}, span)
+    before = F.coalesce("sum_before", F.lit(0))
+    since = F.coalesce(F.col("step_before") + 1, F.col("step"))
+    grown = known.select(
+        *labels, F.explode(F.sequence(since, F.col("step"))).alias("at"), "step", before.alias("before"), "n",
+    ).select(*labels, "at", (F.col("before") + F.when(F.col("at") == F.col("step"), F.col("n")).otherwise(0)).alias("value"))
+    # Steps after the last event of a series.
+    idle = counts.groupBy(*series).agg(F.max("step").alias("step"), F.sum("n").alias("value")).withColumn("last", last).filter(
+        F.col("step") < F.col("last")
+    ).select(*labels, F.explode(F.sequence(F.col("step") + 1, F.col("last"))).alias("at"), "value")
+    return grown.unionByName(idle).select(
+        *labels, TS.from_micros(F.col("at") * step_us).alias("ts"), F.col("value").cast("double").alias("value"))
 
 
 def counter_increase(
-    samples: DataFrame, labels: Sequence[str], window_us: int
+    samples: DataFrame, labels: Sequence[str], window_us: int, bounds: tuple[datetime, datetime] | None = None
 ) -> DataFrame:
     """Increase and rate per second of each series in fixed windows over its samples.
 
-    A value below the one before it means the counter restarted from zero.
+    A value below the one before it means the counter restarted from zero. Values are compared within
+    each window; of the windows only the first and last value meet, by ranges of windows. ``bounds``: times of
+    the first and last sample, or earlier and later ones, where the caller knows them.
     """
-    previous = F.lag("value").over(W.partitionBy(*labels).orderBy("ts"))
-    grown = samples.withColumn("previous", previous).withColumn(
-        "delta",
-        F.when(F.col("previous").isNull(), F.col("value"))
-        .when(F.col("value") < F.col("previous"), F.col("value"))
-        .otherwise(F.col("value") - F.col("previous")),
-    )
     window = -TS.bucket(-TS.micros(F.col("ts")), window_us)
-    return (
-        grown.groupBy(*labels, window.alias("w")).agg(F.sum("delta").alias("increase"))
-        .select(
-            *labels, TS.from_micros(F.col("w") * window_us).alias("window_end"), "increase",
-            (F.col("increase") / F.lit(window_us / 1e6)).alias("rate"),
-        )
+    inside = W.partitionBy(*labels, "w").orderBy("ts")
+
+    def growth(now: Column, previous: Column) -> Column:
+        return F.when(now < previous, now).otherwise(now - previous)
+
+    # The first sample of a window has none before it here; its growth follows below.
+    grown = samples.withColumn("w", window).withColumn("delta", growth(F.col("value"), F.lag("value").over(inside)))
+    windows = grown.groupBy(*labels, "w").agg(
+        F.coalesce(F.sum("delta"), F.lit(0.0)).alias("inner"),
+        F.min_by("value", "ts").alias("first"), F.max_by("value", "ts").alias("latest"),
+    )
+    span = None if bounds is None else tuple(-(-TS.epoch_micros(t) // window_us) for t in bounds)
+    met = scan_before(windows, labels, "w", {"previous": ("latest", "last")}, span)
+    first = F.coalesce(growth(F.col("first"), F.col("previous")), F.col("first"))
+    return met.withColumn("increase", F.col("inner") + first).select(
+        *labels, TS.from_micros(F.col("w") * window_us).alias("window_end"), "increase",
+        (F.col("increase") / F.lit(window_us / 1e6)).alias("rate"),
     )

@@ -5,36 +5,37 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from runtime_insights import schema as S
 from runtime_insights.functions import timestamps as TS
-from runtime_insights.operators.skew import cells, salted_lookup
+from runtime_insights.operators.scan import ordered_span, scan_before
+from runtime_insights.operators.skew import cells
+from runtime_insights.session import materialize
 
 
 def capture_sessions(hits: DataFrame, duration_ms: int = S.CAPTURE_MS) -> DataFrame:
     """Captures per container: from a hit until ``duration_ms`` after the last one.
 
     Hits no further apart than the duration share a capture. Two hits in one cell of
-    that width always do, so hits are reduced to their first and last per cell before
-    the window, which sees one row per container and cell.
+    that width always do, so hits are reduced to their first and last per cell first;
+    the cells of a container are scanned by ranges.
     """
     width = duration_ms * 1000
     us = TS.micros(F.col("ts"))
     marks = hits.groupBy("container_name", TS.bucket(us, width).alias("cell")).agg(
         F.min(us).alias("first_us"), F.max(us).alias("last_us"), F.count(F.lit(1)).alias("hits")
     )
-    order = W.partitionBy("container_name").orderBy("cell")
-    opens = F.col("first_us") - F.lag("last_us").over(order) > width
-    numbered = marks.withColumn("opens", F.coalesce(opens, F.lit(True)).cast("int")).withColumn(
-        "n", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0))
-    )
-    return (
-        numbered.groupBy("container_name", "n")
-        .agg(F.min("first_us").alias("start_us"), (F.max("last_us") + width).alias("end_us"),
-             F.sum("hits").alias("hits"))
-        .drop("n")
-    )
+    marks = materialize(marks, "capture-marks")
+    span, key = ordered_span(marks, F.col("cell")), ["container_name"]
+    known = scan_before(marks, key, "cell", {"last_before": ("last_us", "max")}, span)
+    opens = F.coalesce(F.col("first_us") - F.col("last_before") > width, F.lit(True))
+    opened = known.withColumn("opened_us", F.when(opens, F.col("first_us"))).drop("last_before")
+    found = scan_before(opened, key, "cell", {"open_us": ("opened_us", "last")}, span)
+    # Every hit belongs to the capture opened last, by it or before it.
+    return found.withColumn("start_us", F.coalesce("opened_us", "open_us")).groupBy("container_name", "start_us").agg(
+        (F.max("last_us") + width).alias("end_us"), F.sum("hits").alias("hits")
+    ).select("container_name", "start_us", "end_us", "hits")
 
 
 def captured_events(events: DataFrame, captures: DataFrame, duration_ms: int = S.CAPTURE_MS) -> DataFrame:
@@ -74,13 +75,14 @@ def drop_alerts(
     host's windows into runs that do not depend on each other. Only inside a run is the
     order followed, as a fold over its ticks: one per window, however many events.
     """
-    over = ratios.filter(F.col("ratio") > threshold)
+    over = materialize(ratios.filter(F.col("ratio") > threshold), "over-limit")
     cost = round(1e6 / (rate_per_second * width_us), 9)
-    order = W.partitionBy("host").orderBy("tick")
-    pause = F.col("tick") - F.lag("tick").over(order) >= F.lit(burst * cost)
-    runs = over.withColumn("opens", F.coalesce(pause, F.lit(True)).cast("int")).withColumn(
-        "run", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0))
-    )
+    span = ordered_span(over, F.col("tick"))
+    known = scan_before(over.select("host", "tick"), ["host"], "tick", {"tick_before": ("tick", "last")}, span)
+    pause = F.coalesce(F.col("tick") - F.col("tick_before") >= F.lit(burst * cost), F.lit(True))
+    opened = known.withColumn("opened", F.when(pause, F.col("tick"))).drop("tick_before")
+    runs = scan_before(opened, ["host"], "tick", {"run": ("opened", "last")}, span).withColumn(
+        "run", F.coalesce("opened", "run"))
     full = burst * cost
 
     def fold(run: pd.DataFrame) -> pd.DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -121,11 +121,18 @@ samples AS (
   FROM grid LEFT JOIN grown USING (container_name, rule, epoch, step))"""
 
 
+def _bounds(events):
+    """Times of the first and last event: one scan of one column."""
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    return first or datetime(1970, 1, 1), last or datetime(1970, 1, 1)
+
+
 @register("metric_samples", with_tables(RT_EVENTS, _SAMPLES, select="""
 SELECT container_name, rule, make_timestamp(step * 3600000000) AS ts, value FROM samples""",
     epoch="0", end="(SELECT max(step) FROM stepped)"))
 def metric_samples(spark, folder):
-    return K.counter_samples(runtime_events(spark, folder), ["container_name", "rule"], HOUR)
+    events = runtime_events(spark, folder)
+    return K.counter_samples(events, ["container_name", "rule"], HOUR, bounds=_bounds(events))
 
 
 @register("counter_rate", with_tables(RT_EVENTS, _SAMPLES, """
@@ -141,8 +148,11 @@ FROM deltas GROUP BY 1, 2, 3""", epoch="((step * 3600000000 - 1) // (5 * 8640000
 def counter_rate(spark, folder):
     """Counters that restart every five days."""
     labels = ["container_name", "rule"]
-    samples = K.counter_samples(runtime_events(spark, folder), labels, HOUR, 5 * DAY)
-    return K.counter_increase(samples, labels, DAY)
+    events = runtime_events(spark, folder)
+    first, last = _bounds(events)
+    samples = K.counter_samples(events, labels, HOUR, 5 * DAY, (first, last))
+    # The last sample is taken at the end of its step.
+    return K.counter_increase(samples, labels, DAY, (first, last + timedelta(hours=1)))
 
 
 # ------------------------------------------------------------------------ rates
