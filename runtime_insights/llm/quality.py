@@ -6,7 +6,7 @@ digits, signs and blanks. Both are logistic regressions.
 
 Training: a bounded sample of labelled rows (``sample`` of them, those with the smallest
 hash of doc_id; every fifth is held out). In each round both views score *all* documents without
-a label; the ``exchange`` surest good and bad ones of each view become training rows of the other
+a label; the ``exchange`` surest good and bad texts of each view (copies count once) become training rows of the other
 view, and both are fitted again. Then each view is calibrated on the held-out rows (Platt),
 and the calibrated log-odds of the two are combined by a regression on the same rows.
 
@@ -232,22 +232,31 @@ def train(
     model = fit(base, y, base, y)
     more: dict[str, list[dict]] = {"text": [], "meta": []}
     taken: list[int] = []
+    content = F.xxhash64("text")
     for _ in range(rounds):
+        # Copies score alike: each text counts once, by its smallest doc_id.
         scores = store(
-            _view_scores(docs, model, "doc_id").filter("doc_id IS NOT NULL").join(known.select("doc_id"), "doc_id", "left_anti"),
-            "quality-pool",
-        ).filter(~F.col("doc_id").isin(taken) if taken else F.lit(True))
+            _view_scores(docs.withColumn("content", content), model, "doc_id", "content").filter("doc_id IS NOT NULL")
+            .join(known.select("doc_id"), "doc_id", "left_anti")
+            .groupBy("content").agg(
+                F.min("doc_id").alias("doc_id"),
+                *[F.min_by(v, "doc_id").alias(v) for v in ("text_score", "meta_score")],
+            ), "quality-pool",
+        ).filter(~F.col("content").isin(taken) if taken else F.lit(True))
         picks = None
         for view, other in (("text", "meta"), ("meta", "text")):
             score = F.col(f"{view}_score")
             for y_new, order in ((1, score.desc()), (0, score.asc())):
                 sure = scores.filter(score > 0 if y_new else score < 0).orderBy(order, "doc_id").limit(exchange).select(
-                    "doc_id", F.lit(y_new).alias("y"), F.lit(0 if other == "text" else 1).alias("fold")
+                    "doc_id", "content", F.lit(y_new).alias("y"), F.lit(0 if other == "text" else 1).alias("fold")
                 )
                 picks = sure if picks is None else picks.union(sure)
         picks = store(picks, "quality-picks")
-        new = _features(docs.join(F.broadcast(picks), "doc_id").select("text", "source", "lang", "y", "fold"))
-        taken += [r[0] for r in picks.select("doc_id").distinct().collect()]  # at most 4 x exchange a round
+        # One row of each pick, however many rows share its doc_id and text.
+        picked = docs.withColumn("content", content).join(F.broadcast(picks), ["doc_id", "content"]).dropDuplicates(
+            ["doc_id", "content", "y", "fold"])
+        new = _features(picked.select("text", "source", "lang", "y", "fold"))
+        taken += [r[0] for r in picks.select("content").distinct().collect()]  # at most 4 x exchange a round
         more["text"] += [r for r in new if r["fold"] == 0]
         more["meta"] += [r for r in new if r["fold"] == 1]
         discard(scores, picks)

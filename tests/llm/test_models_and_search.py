@@ -180,6 +180,23 @@ def test_quality_of_awkward_rows(spark, odd_docs, no_docs):
     assert rows(score(no_docs, model)) == [] and keep_good(odd_docs, model, 0.0).schema == odd_docs.schema
 
 
+def test_quality_learns_a_text_of_many_copies_once(spark, monkeypatch):
+    """A third of all rows are one text, under many ids and under one: it is picked once."""
+    from runtime_insights.llm import quality
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source", "lang")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    first = docs.join(labels, "doc_id", "left_anti").filter("length(text) > 200").orderBy("doc_id").first()
+    copies = spark.range(600).select(
+        F.when(F.col("id") < 400, F.col("id") + 10**6).otherwise(10**7).alias("doc_id"), F.lit(first.text).alias("text"),
+        F.lit(first.source).alias("source"), F.lit(first.lang).alias("lang"))
+    taken, features = [], quality._features
+    monkeypatch.setattr(quality, "_features", lambda df: taken.append(df.select("text", "y", "fold").collect()) or features(df))
+    assert train(docs.union(copies), labels, sample=300, exchange=40) is not None
+    for picked in taken[1:]:
+        assert picked and len(picked) == len(set(picked))
+
+
 # Lines ---------------------------------------------------------------------------------------
 
 
