@@ -12,12 +12,13 @@ Largest inner product is turned into smallest distance by one more component,
 sqrt(M^2 - |x|^2) with M the largest norm, which is 0 for queries.
 
 Copies of a vector would fill each other's neighbour lists, so a graph holds each distinct
-vector once, with its smallest ``k`` + 1 vec_ids: no query can need more of them, since
-ties go to the smaller vec_id. Returned scores are computed again from the original
+vector once, with its smallest 2 ``k`` vec_ids: no query can need more of them, since
+ties go to the smaller vec_id and at most ``k`` are its own. Returned scores are computed again from the original
 vectors in double precision, component after component.
 
-Every vector is indexed. Rows: ``query_id``, ``rank``, ``vec_id``, ``score``. Which vectors
-take part: ``vectors.usable``. A query without other candidates has no rows; an empty table
+Every vector is indexed. Rows: ``query_id``, ``rank``, ``vec_id``, ``score``. Which rows
+take part: ``vectors.usable``. Rows that share a vec_id are candidates each, never of each other;
+those among the queries are one query, with the best of them all. A query without other candidates has no rows; an empty table
 gives none.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from runtime_insights.llm.arrays import pack, unpack
 from runtime_insights.llm.tables import discard, parts, store
-from runtime_insights.llm.vectors import QUERY_STEP, blocks, matrix, usable
+from runtime_insights.llm.vectors import QUERY_STEP, blocks, load, matrix, stacked, usable, widened
 
 K, DEGREE, ALPHA = 20, 32, 1.2
 BUILD_BEAM, SEARCH_BEAM = 48, 96
@@ -151,7 +152,7 @@ def _build_shards(top: float):
         current, held = None, []
 
         def row():
-            x = np.concatenate([h[0] for h in held])
+            x = stacked([h[0] for h in held])
             members = np.concatenate([h[1] for h in held])
             sizes = np.concatenate([h[2] for h in held])
             graph, start = build(lift(x))
@@ -184,8 +185,9 @@ def _search(k: int, top: float, beam: int):
             for body, q_body in zip(batch.column("body"), batch.column("q_body")):
                 flat, members, sizes, graph, start = unpack(body.as_py())
                 x = flat.reshape(len(sizes), -1)
-                q_ids, q = unpack(q_body.as_py())
-                q = q.reshape(len(q_ids), -1)
+                q_ids, q = load(q_body.as_py())
+                width = max(x.shape[1], q.shape[1])
+                x, q = widened(x, width), widened(q, width)
                 rest = np.sqrt(np.maximum(top - (x * x).sum(1), 0))
                 points = np.concatenate((x, rest[:, None]), 1).astype(np.float32)
                 asked = np.concatenate((q, np.zeros((len(q), 1))), 1).astype(np.float32)
@@ -216,11 +218,12 @@ def _search(k: int, top: float, beam: int):
 def nearest(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, shard: int = SHARD, beam: int = SEARCH_BEAM) -> DataFrame:
     """The ``k`` nearest found of each query (vec_id divisible by ``step``) among all other rows."""
     spark = vectors.sparkSession
-    rows = store(usable(vectors, nonzero=True), "ann-vectors")
+    rows = store(usable(vectors, nonzero=True, copies=k), "ann-vectors")
     same = Window.partitionBy("embedding").orderBy("vec_id")
-    # Cut to k + 1 rows per vector before the shuffle, so a very common vector is no hot key.
+    # Cut to 2 k rows per vector before the shuffle, so a very common vector is no hot key.
+    # At most k of them have the query's own id.
     distinct = store(
-        rows.withColumn("r", F.row_number().over(same)).filter(F.col("r") <= k + 1)
+        rows.withColumn("r", F.row_number().over(same)).filter(F.col("r") <= 2 * k)
         .groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("members")), "ann-distinct",
     )
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
