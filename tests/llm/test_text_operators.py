@@ -12,6 +12,7 @@ import pytest
 import xxhash
 
 from runtime_insights.llm import secret_scan as secrets
+from runtime_insights.llm import lm_scoring
 from runtime_insights.llm.lm_scoring import score_documents
 from runtime_insights.llm.packing import best_fit, pack_shard
 from runtime_insights.llm.simhash import anchors, keep_one_of_each, near_duplicates
@@ -35,35 +36,45 @@ def by_text(value):
 # Language model ------------------------------------------------------------------------------
 
 
-def brute_scores(docs, vocabulary, min_count, alpha):
+def brute_scores(docs, min_count, alpha):
     ln = lambda c: math.floor(math.log(c) * 1e6 + 0.5)
-    counts = Counter(w for _, t in docs for w in words(t))
-    total = sum(counts.values())
-    kept = dict(sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:vocabulary])
-    unknown = total - sum(kept.values())
-    n = lambda w: kept.get(w, unknown)
-    name = lambda w: w if w in kept else None
-    pairs = Counter((name(a), name(b)) for _, t in docs for a, b in zip(words(t), words(t)[1:]))
+    n = Counter(w for _, t in docs for w in words(t))
+    total = sum(n.values())
+    pairs = Counter(p for _, t in docs for p in zip(words(t), words(t)[1:]))
     out = {}
     for doc_id, text in docs:
         found, micro, backed = words(text), 0, 0
         for i, w in enumerate(found):
-            pair = pairs[name(found[i - 1]), name(w)] if i else 0
-            if i and pair >= min_count:
-                micro += ln(pair) - ln(n(found[i - 1]))
+            if i and pairs[found[i - 1], w] >= min_count:
+                micro += ln(pairs[found[i - 1], w]) - ln(n[found[i - 1]])
             else:
-                micro += ln(n(w)) - ln(total) + (math.floor(math.log(alpha) * 1e6 + 0.5) if i else 0)
+                micro += ln(n[w]) - ln(total) + (math.floor(math.log(alpha) * 1e6 + 0.5) if i else 0)
                 backed += i > 0
         have = out.get(doc_id, (0, 0, 0))
         out[doc_id] = (have[0] + len(found), have[1] + backed, have[2] + micro)
     return by_text((d, a, b, round(c / 1e6, 6)) for d, (a, b, c) in out.items())
 
 
-@pytest.mark.parametrize("vocabulary", [5, 65_534])
-def test_backoff_scores(odd_docs, vocabulary):
+def scored(docs, **options):
+    return by_text((d, n, b, round(s, 6)) for d, n, b, s in rows(score_documents(docs, **options)))
+
+
+@pytest.mark.parametrize("min_count", [1, 2, 5])
+def test_backoff_scores(odd_docs, min_count):
     docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
-    got = [(d, n, b, round(s, 6)) for d, n, b, s in rows(score_documents(odd_docs, vocabulary=vocabulary))]
-    assert by_text(got) == brute_scores(docs, vocabulary, 2, 0.4)
+    want = brute_scores(docs, min_count, 0.4)
+    assert scored(odd_docs, min_count=min_count) == want
+    assert any(b for _, _, b, _ in want) == (min_count > 1)
+
+
+def test_backoff_scores_of_more_words_than_any_fixed_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "_BLOCK", 50_000)  # many blocks
+    docs = [(i, " ".join(f"w{(i * 997 + j) * (j % 3 > 0)}" for j in range(1000))) for i in range(120)]
+    docs += [(200 + i, "the same hot words again and again") for i in range(60)]  # a hot pair of words
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert len({w for _, t in docs for w in t.split()}) > 65_534
+    for min_count in (1, 2):
+        assert scored(df, min_count=min_count) == brute_scores(docs, min_count, 0.4)
 
 
 def test_backoff_scores_of_nothing(no_docs):
