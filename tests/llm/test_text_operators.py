@@ -5,6 +5,8 @@ import gzip
 import hashlib
 import math
 import re
+import tracemalloc
+import zlib
 from collections import Counter
 from urllib.parse import quote
 
@@ -302,6 +304,28 @@ def test_base64_over_several_lines(width, line_break):
             assert all(at <= start < end <= at + len(wrapped) for start, _, end in spans)
 
 
+def test_compressed_members_and_large_data():
+    spans = lambda text: secrets.all_spans(text)[1]
+    secret = b"password = hunter22"
+    code = lambda data: base64.b64encode(data).decode()
+    members = code(gzip.compress(b"nothing here") + gzip.compress(secret))
+    assert spans("x " + members) == [(2, 0, 2 + len(members))]
+    for before in (2**20 - 10, 3 * 2**20 + 5, 5_000_000):  # also across the edge of a piece
+        data = b"lorem " * (before // 6) + b"." * (before % 6) + "é".encode() * 9 + secret + b" dolor" * 300_000
+        for packed in (gzip.compress(data), gzip.compress(gzip.compress(data)), zlib.compress(gzip.compress(gzip.compress(data)))):
+            text = code(packed)
+            assert spans(text) == [(0, 0, len(text))]
+
+
+def test_memory_does_not_grow_with_inflated_data():
+    text = base64.b64encode(gzip.compress(gzip.compress(b"a b " * 50_000_000))).decode()
+    assert len(text) < 10_000
+    tracemalloc.start()
+    assert secrets.all_spans(text) == ([], [])
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 def test_decoding_ends():
     deep = "%25" + "25" * 2000 + "41"
     assert secrets.all_spans(deep)[1]  # thousands of layers, each a run of hex digits
