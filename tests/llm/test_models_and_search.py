@@ -116,6 +116,12 @@ def test_graph_search(vectors):
     # Rows may share a vec_id, so hits are counted with their scores.
     found, wanted = (Counter((q, v, round(s, 9)) for q, _, v, s in x) for x in (got, want))
     assert len(got) == len(want) and (found & wanted).total() >= 0.99 * len(want)
+    exact = {}
+    for q, _, v, score_ in want:
+        exact.setdefault((q, v), []).append(score_)
+    assert all(
+        any(math.isclose(s, e, rel_tol=1e-12, abs_tol=1e-14) for e in exact[q, v]) for q, _, v, s in got if (q, v) in exact
+    )
 
 
 def test_graph_recall_over_many_shards(spark):
