@@ -1,9 +1,10 @@
 """Matching by embedding similarity, and profiles and detection built on it.
 
 A query is compared only with the candidates of its own block (the siblings under one
-parent). Blocks are cut into tiles of bounded size and each pair of tiles is one task's
-matrix product; a task returns one row per query, never the pairs. Pairs of tiles whose
-angles to common pivots rule out a match are never made.
+parent). Blocks are cut into tiles of bounded size, and groups of tiles meet in the cells of
+a grid: a row goes once to each cell of its group, so what is moved grows with the rows and not
+with the pairs of tiles. A cell is one task's matrix products, tile by tile; it returns one row
+per query, never the pairs. Pairs of tiles whose angles to common pivots rule out a match are never made.
 """
 
 from __future__ import annotations
@@ -23,12 +24,59 @@ from runtime_insights.session import materialize
 
 TILE = 2048
 FRONT = 1024
+#: Groups of tiles on each side of a block's grid, and rows of a group beyond which there are more groups.
+GRID, CELL = 4, 32_768
 #: Vectors per block that angles are measured from, and slices of the angle around each.
 PIVOTS, PIVOT_SAMPLE, SLICES = 16, 256, 16
 #: Room for rounding: products of single-precision unit vectors leave angles that uncertain.
 SLACK = 2e-3
 
 
+def _best_and_first(
+    queries: np.ndarray, names: np.ndarray, candidates: np.ndarray, others: np.ndarray, threshold: float,
+    skip_same: bool,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Highest product of each query, and the place of its first match (the number of candidates for none).
+
+    ``names`` and ``others`` are numbers of the keys; with ``skip_same`` equal ones never meet.
+    """
+    best, first = np.full(len(queries), -np.inf), np.full(len(queries), len(candidates))
+    queries = queries.astype(np.float64)
+    for begin in range(0, len(candidates), TILE):
+        scores = queries @ candidates[begin:begin + TILE].astype(np.float64).T
+        if skip_same:
+            order = np.argsort(others[begin:begin + TILE], kind="stable")
+            met = others[begin:begin + TILE][order]
+            low, high = np.searchsorted(met, names), np.searchsorted(met, names, "right")
+            for row in np.flatnonzero(low < high):
+                scores[row, order[low[row]:high[row]]] = -2.0
+        best = np.maximum(best, scores.max(axis=1))
+        hits = scores >= threshold
+        at = hits.argmax(axis=1)
+        found = hits[np.arange(len(hits)), at] & (first == len(candidates))
+        first[found] = begin + at[found]
+    return best, first
+
+
+def _numbered(queries: pd.Series, candidates: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Keys as numbers, equal where the keys are."""
+    numbers, _ = pd.factorize(np.concatenate([queries.to_numpy(object), candidates.to_numpy(object)]))
+    return numbers[:len(queries)], numbers[len(queries):]
+
+
+def _found_rows(block, queries: pd.DataFrame, candidates: pd.DataFrame, best, first) -> pd.DataFrame:
+    found = first < len(candidates)
+    first = np.where(found, first, 0)
+    return pd.DataFrame({
+        "block": block, "key": queries["key"].to_numpy(), "best": best,
+        "first_turn": np.where(found, candidates["turn"].to_numpy()[first], None),
+        "first_key": np.where(found, candidates["key"].to_numpy()[first], None),
+    })
+
+
+_NO_ROWS = pd.DataFrame(columns=["block", "key", "best", "first_turn", "first_key"])
+
+
 def _tile_scores(
     queries: pd.DataFrame, candidates: pd.DataFrame, threshold: float, skip_same: bool
 ) -> pd.DataFrame:
@@ -39,22 +87,38 @@ def _tile_scores(
         c = by_block.get(block)
         if c is None:
             continue
-        scores = np.stack(q["vector"].to_numpy()).astype(np.float64) @ np.stack(
-            c["vector"].to_numpy()).astype(np.float64).T
-        if skip_same:
-            scores[q["key"].to_numpy()[:, None] == c["key"].to_numpy()[None, :]] = -2.0
-        order = np.argsort(c["turn"].to_numpy(), kind="stable")
-        hits = scores[:, order] >= threshold
-        found = hits.any(axis=1)
-        first = order[hits.argmax(axis=1)]
-        parts.append(pd.DataFrame({
-            "block": block, "key": q["key"].to_numpy(), "best": scores.max(axis=1),
-            "first_turn": np.where(found, c["turn"].to_numpy()[first], None),
-            "first_key": np.where(found, c["key"].to_numpy()[first], None),
-        }))
-    if not parts:
-        return pd.DataFrame(columns=["block", "key", "best", "first_turn", "first_key"])
-    return pd.concat(parts)
+        c = c.iloc[np.argsort(c["turn"].to_numpy(), kind="stable")]
+        found = _best_and_first(
+            np.stack(q["vector"].to_numpy()), (numbers := _numbered(q["key"], c["key"]))[0],
+            np.stack(c["vector"].to_numpy()), numbers[1], threshold, skip_same)
+        parts.append(_found_rows(block, q, c, *found))
+    return pd.concat(parts) if parts else _NO_ROWS
+
+
+def _cell_scores(
+    queries: pd.DataFrame, candidates: pd.DataFrame, threshold: float, skip_same: bool
+) -> pd.DataFrame:
+    """Best score and first match of the queries of one cell, among the tiles that face each one's tile.
+
+    ``queries`` has, beside the rows, one row for each tile with the ``others`` that it meets.
+    """
+    facing = queries[queries["others"].notna()]
+    rows = queries[queries["others"].isna()]
+    if rows.empty or candidates.empty:
+        return _NO_ROWS
+    c = candidates.iloc[np.argsort(candidates["turn"].to_numpy(), kind="stable")]
+    names, others = _numbered(rows["key"], c["key"])
+    q_tile, c_tile = rows["tile"].to_numpy(object), c["tile"].to_numpy(object)
+    q_vectors, c_vectors = np.stack(rows["vector"].to_numpy()), np.stack(c["vector"].to_numpy())
+    parts = []
+    for tile, met in zip(facing["tile"], facing["others"]):
+        of = np.flatnonzero(q_tile == tile)
+        to = np.flatnonzero(np.isin(c_tile, met))
+        for begin in range(0, len(of) if len(to) else 0, TILE):
+            at = of[begin:begin + TILE]
+            found = _best_and_first(q_vectors[at], names[at], c_vectors[to], others[to], threshold, skip_same)
+            parts.append(_found_rows(rows["block"].iloc[0], rows.iloc[at], c.iloc[to], *found))
+    return pd.concat(parts) if parts else _NO_ROWS
 
 
 def _found_schema(candidates: DataFrame) -> str:
@@ -208,23 +272,40 @@ def tile_pairs(
     ).select("block", "qt", "ct")
 
 
+def _groups(rows: DataFrame, side: str) -> DataFrame:
+    """Tiles of placed rows (block, qt or ct) in groups of about equal size, gq or gc; near ones together."""
+    tiles = rows.groupBy("block", F.col("tile").alias(f"{side}t")).agg(
+        F.count(F.lit(1)).alias("n"), F.first("pivot").alias("pivot"), F.min("angle").alias("angle"))
+    block = W.partitionBy("block")
+    before = F.sum("n").over(block.orderBy("pivot", "angle", f"{side}t")) - F.col("n")
+    total = F.sum("n").over(block)
+    groups = F.greatest(F.least(F.lit(GRID), F.ceil(total / TILE)), F.ceil(total / CELL))
+    return tiles.select("block", f"{side}t", F.floor(before * groups / total).cast("int").alias(f"g{side}"))
+
+
 def _large_blocks(
     queries: DataFrame, candidates: DataFrame, threshold: float, skip_same: bool, exact_best: bool, schema: str
 ) -> DataFrame:
     pivots = _pivots(candidates)
     queries, candidates = placed(queries, pivots, "query"), placed(candidates, pivots, "candidate")
-    pairs = materialize(tile_pairs(queries, candidates, pivots, None if exact_best else threshold), "tile-pairs")
-
-    def side(rows: DataFrame, tile: str, *names: str) -> DataFrame:
-        facing = pairs.groupBy("block", tile).agg(F.collect_list("ct" if tile == "qt" else "qt").alias("others"))
-        named = rows.select("block", F.col("tile").alias(tile), *[F.col(n).alias(n) for n in names])
-        met = salted_lookup(named, materialize(facing, "facing"), ["block", tile], ["key"], "inner")
-        return met.withColumn("ct" if tile == "qt" else "qt", F.explode("others")).drop("others")
-
-    keys = ("block", "qt", "ct")
-    return side(queries, "qt", "key", "vector").groupBy(*keys).cogroup(
-        side(candidates, "ct", "key", "turn", "vector").groupBy(*keys)
-    ).applyInPandas(lambda q, c: _tile_scores(q, c, threshold, skip_same), schema)
+    pairs = tile_pairs(queries, candidates, pivots, None if exact_best else threshold)
+    pairs = materialize(
+        pairs.join(_groups(queries, "q"), ["block", "qt"]).join(_groups(candidates, "c"), ["block", "ct"]), "tile-pairs")
+
+    def side(rows: DataFrame, own: str, other: str, *names: str) -> DataFrame:
+        """Rows in each cell (block, gq, gc) in which their tile meets another."""
+        cells = pairs.groupBy("block", F.col(f"{own}t").alias("tile"), f"g{own}").agg(
+            F.collect_set(f"g{other}").alias("cells"))
+        named = rows.select("block", "tile", *[F.col(n).alias(n) for n in names])
+        met = salted_lookup(named, materialize(cells, "cells"), ["block", "tile"], ["key"], "inner")
+        return met.withColumn(f"g{other}", F.explode("cells")).drop("cells")
+
+    cell = ("block", "gq", "gc")
+    facing = pairs.groupBy(*cell, F.col("qt").alias("tile")).agg(F.collect_list("ct").alias("others"))
+    left = side(queries, "q", "c", "key", "vector").unionByName(facing, allowMissingColumns=True)
+    right = side(candidates, "c", "q", "key", "turn", "vector")
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(
+        lambda q, c: _cell_scores(q, c, threshold, skip_same), schema)
 
 
 def any_match(queries: DataFrame, candidates: DataFrame, threshold: float = S.SIMILARITY_THRESHOLD,

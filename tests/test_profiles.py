@@ -287,3 +287,31 @@ def test_mean_pooling_skips_masked_tokens(spark):
     row = df.select(pooled.alias("p"), normalized(pooled).alias("u")).first()
     assert row.p == [2.0, 4.0]
     assert row.u == pytest.approx([2 / 20 ** 0.5, 4 / 20 ** 0.5])
+
+
+def tables_made(monkeypatch):
+    """The tables that the operators store from now on, by label."""
+    made, store = {}, M.materialize
+
+    def recorded(df, label):
+        made.setdefault(label, []).append(store(df, label))
+        return made[label][-1]
+
+    monkeypatch.setattr(M, "materialize", recorded)
+    return made
+
+
+def test_rows_go_to_few_cells_however_many_tiles_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(M, "TILE", 4)
+    made = tables_made(monkeypatch)
+    vectors = np.float32(np.random.default_rng(9).normal(size=(300, 6)))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [("b", f"k{i}", i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "block string, key string, turn bigint, vector array<float>")
+    scores = vectors.astype(float) @ vectors.astype(float).T
+    np.fill_diagonal(scores, -2)
+    found = {r.key: r.match for r in M.match_key(df.drop("turn"), df, 0.3, skip_same=True).collect()}
+    assert found == {f"k{i}": f"k{s.argmax() if (s := scores[i] >= 0.3).any() else i}" for i in range(300)}
+    assert len(made["tile-pairs"]) == 1 and made["tile-pairs"][0].count() > 1000
+    for cells in made["cells"]:
+        assert 1 < cells.agg(F.max(F.size("cells"))).first()[0] <= M.GRID
