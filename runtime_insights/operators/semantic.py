@@ -23,7 +23,7 @@ from runtime_insights.operators.skew import salted_lookup
 from runtime_insights.session import materialize
 
 TILE = 2048
-FRONT = 1024
+FRONT = 8192
 #: Groups of tiles on each side of a block's grid, and rows of a group beyond which there are more groups.
 GRID, CELL = 4, 32_768
 #: Vectors per block that angles are measured from, and slices of the angle around each.
@@ -340,24 +340,55 @@ def match_key(queries: DataFrame, candidates: DataFrame,
 
 # ------------------------------------------------------------- leader clustering
 
-def _greedy(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Leaders among the first keys of one block, in order of arrival."""
+_STEP = 256  # keys of a fold that are met at once
+
+
+def _greedy(group: pd.DataFrame, threshold: float, with_vectors: bool = False) -> pd.DataFrame:
+    """Leaders among the first keys of one block, in order of arrival; ``with_vectors`` also the leaders' vectors."""
     group = group.sort_values("turn", kind="stable")
     vectors = np.stack(group["vector"].to_numpy()).astype(np.float64)
     leader = np.arange(len(group))
     is_open = np.ones(len(group), bool)
-    for i in range(len(group)):
-        if is_open[i]:
-            # The first open key leads all open ones that are similar to it.
-            joins = is_open & (vectors @ vectors[i] >= threshold)
-            leader[joins] = i
-            leader[i] = i
-            is_open &= ~joins
-            is_open[i] = False
+    for begin in range(0, len(group), _STEP):
+        at = begin + np.flatnonzero(is_open[begin:begin + _STEP])
+        similar = vectors[at] @ vectors[at].T >= threshold
+        waiting, new = np.ones(len(at), bool), []
+        for i in range(len(at)):
+            if waiting[i]:
+                # The first open key leads all open ones that are similar to it.
+                joins = waiting & similar[i]
+                joins[i] = True
+                leader[at[joins]] = at[i]
+                waiting &= ~joins
+                new.append(at[i])
+        rest = begin + _STEP + np.flatnonzero(is_open[begin + _STEP:])
+        if new and len(rest):
+            hits = vectors[rest] @ vectors[new].T >= threshold
+            found = hits.any(axis=1)
+            leader[rest[found]] = np.array(new)[hits[found].argmax(axis=1)]
+            is_open[rest[found]] = False
     keys = group["key"].to_numpy()
-    return pd.DataFrame({
+    found = pd.DataFrame({
         "block": group["block"], "key": keys, "turn": group["turn"], "leader": keys[leader],
     })
+    if with_vectors:
+        found["vector"] = group["vector"].where(leader == np.arange(len(group)), None)
+    return found
+
+
+def _joined(later: pd.DataFrame, new: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """``later`` rows with the first leader of ``new`` that is similar; those that join one lose their vector."""
+    later = later.drop(columns="shard")
+    if later.empty or new.empty:
+        return later.assign(leader=None, joined=False)
+    new = new.iloc[np.argsort(new["turn"].to_numpy(), kind="stable")]
+    leads, none = np.stack(new["vector"].to_numpy()), np.zeros(0)
+    first = np.concatenate([
+        _best_and_first(np.stack(later["vector"].to_numpy()[begin:begin + TILE]), none, leads, none, threshold, False)[1]
+        for begin in range(0, len(later), TILE)])
+    found = first < len(new)
+    keys = new["key"].to_numpy(object)[np.where(found, first, 0)]
+    return later.assign(vector=later["vector"].where(~found, None), leader=np.where(found, keys, None), joined=found)
 
 
 def leaders(keys: DataFrame, threshold: float, front: int = FRONT) -> DataFrame:
@@ -365,45 +396,56 @@ def leaders(keys: DataFrame, threshold: float, front: int = FRONT) -> DataFrame:
 
     Taken in order of ``turn``, a key joins the first leader of its block that is
     similar enough, else becomes a leader. Each round settles the first ``front`` open
-    keys of every block in one small group, then lets all later keys of the block join
-    the new leaders. A key left over matched none of the leaders so far, so the rounds
-    give exactly the result of one long fold, and no task sees more than a tile.
+    keys of every block in one small group, then lets all later keys of the block, dealt in
+    shards, join the new leaders. A key left over matched none of the leaders so far, so the rounds
+    give exactly the result of one long fold, and no task sees more than a front and a shard.
     Keys without a vector are leaders that nothing joins.
     """
-    turn = dict(keys.dtypes)["turn"]
+    turn, vector = (dict(keys.dtypes)[name] for name in ("turn", "vector"))
     schema = f"block string, key string, turn {turn}, leader string"
     settled = keys.filter(F.col("vector").isNull()).select(
         "block", "key", "turn", F.col("key").alias("leader")
     )
     pending = keys.filter(F.col("vector").isNotNull()).select("block", "key", "turn", "vector")
-    fold = lambda group: _greedy(group, threshold)
     largest = pending.groupBy("block").count().agg(F.max("count")).first()[0]
     if (largest or 0) <= front:
-        return settled.unionByName(pending.groupBy("block").applyInPandas(fold, schema))
+        return settled.unionByName(
+            pending.groupBy("block").applyInPandas(lambda group: _greedy(group, threshold), schema))
+    # Rows without a block are a block of their own, which joins have to find.
+    named = F.coalesce(F.concat(F.lit("="), "block"), F.lit("")).alias("block")
+    pending = materialize(pending.select(named, "key", "turn", "vector"), "pending")
+    rows = None
+    place = F.struct("turn", "key")
     order = W.partitionBy("block").orderBy("turn", "key")
     while True:
         # The rank filter is applied in every task before the shuffle.
-        first = pending.withColumn("rank", F.row_number().over(order)).filter(
-            F.col("rank") <= front).drop("rank")
-        found = materialize(first.groupBy("block").applyInPandas(fold, schema), "leaders")
-        settled = settled.unionByName(found)
-        later = materialize(
-            pending.join(found.select("block", "key"), ["block", "key"], "left_anti"), "open-keys"
-        )
-        if later.isEmpty():
-            return settled
-        new = found.filter(F.col("key") == F.col("leader")).select("block", "key").join(
-            pending, ["block", "key"])
-        joined = block_match(later.drop("turn"), new, threshold, exact_best=False).filter(
-            F.col("first_key").isNotNull())
-        joined = materialize(later.drop("vector").join(joined, ["block", "key"]).select(
-            "block", "key", "turn", F.col("first_key").alias("leader")), "joined-keys")
-        settled = settled.unionByName(joined)
-        pending = materialize(
-            later.join(joined.select("block", "key"), ["block", "key"], "left_anti"), "pending"
-        )
+        edges = pending.select("block", "turn", "key", F.row_number().over(order).alias("rank")).filter(
+            F.col("rank") <= front).groupBy("block").agg(F.max(place).alias("edge"))
+        marked = salted_lookup(pending, materialize(edges, "edges"), ["block"], ["key"], "inner")
+        found = materialize(
+            marked.filter(place <= F.col("edge")).drop("edge").groupBy("block").applyInPandas(
+                lambda group: _greedy(group, threshold, True), f"{schema}, vector {vector}"), "leaders")
+        rows = found.drop("vector") if rows is None else rows.unionByName(found.drop("vector"))
+        later = marked.filter(place > F.col("edge")).drop("edge")
+        shards = materialize(later.groupBy("block").agg(
+            F.ceil(F.count(F.lit(1)) / F.lit(2 * GRID * TILE)).alias("shards")), "shards")
+        if shards.isEmpty():
+            break
+        dealt = salted_lookup(later, shards, ["block"], ["key"], "inner").withColumn(
+            "shard", F.pmod(F.xxhash64("key", "turn"), F.col("shards"))).drop("shards")
+        new = found.filter(F.col("vector").isNotNull()).join(shards, "block").select(
+            "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)).alias("shard"),
+            "key", "turn", "vector")
+        met = materialize(
+            dealt.groupBy("block", "shard").cogroup(new.groupBy("block", "shard")).applyInPandas(
+                lambda q, c: _joined(q, c, threshold),
+                f"block string, key string, turn {turn}, vector {vector}, leader string, joined boolean"), "joined-keys")
+        rows = rows.unionByName(met.filter("joined").select("block", "key", "turn", "leader"))
+        pending = met.filter("NOT joined").drop("leader", "joined")
         if pending.isEmpty():
-            return settled
+            break
+    unnamed = F.when(F.col("block") != "", F.expr("substring(block, 2)")).alias("block")
+    return settled.unionByName(rows.select(unnamed, "key", "turn", "leader"))
 
 
 # --------------------------------------------------- semantic profile and detect

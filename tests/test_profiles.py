@@ -315,3 +315,38 @@ def test_rows_go_to_few_cells_however_many_tiles_they_meet(spark, monkeypatch):
     assert len(made["tile-pairs"]) == 1 and made["tile-pairs"][0].count() > 1000
     for cells in made["cells"]:
         assert 1 < cells.agg(F.max(F.size("cells"))).first()[0] <= M.GRID
+
+
+def fold(vectors, threshold):
+    """Leader of each vector, one after another."""
+    leads, out = [], []
+    for i, v in enumerate(vectors):
+        hit = next((j for j in leads if vectors[j] @ v >= threshold), None)
+        if hit is None:
+            leads.append(i)
+        out.append(i if hit is None else hit)
+    return out
+
+
+def test_leaders_of_a_block_need_few_rounds(spark, monkeypatch):
+    made = tables_made(monkeypatch)
+    vectors = np.float32(np.random.default_rng(2).normal(size=(3000, 48)))
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(float)
+    rows = [("b", f"k{i}", i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "block string, key string, turn bigint, vector array<double>")
+    found = {r.key: r.leader for r in M.leaders(df, 0.45).collect()}
+    assert found == {f"k{i}": f"k{j}" for i, j in enumerate(fold(vectors, 0.45))}
+    assert len(set(found.values())) > 1024 and len(made.get("leaders", ())) <= 1
+
+
+def test_leaders_keep_rows_that_share_a_key_or_have_no_block(spark):
+    vectors = np.random.default_rng(4).normal(size=(20, 3))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [(None if i % 2 else "", f"k{i // 4}", i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "block string, key string, turn bigint, vector array<double>")
+    expected = {}
+    for odd in (0, 1):
+        at = [i for i in range(20) if i % 2 == odd]
+        for i, j in zip(at, fold(vectors[at], 0.7)):
+            expected[i] = (None if odd else "", f"k{i // 4}", f"k{at[j] // 4}")
+    assert {r.turn: (r.block, r.key, r.leader) for r in M.leaders(df, 0.7, 3).collect()} == expected
