@@ -7,9 +7,11 @@ of gzip or zlib data inside base64. Base64 lines one after another are decoded e
 together, without the last one, and in blocks of equal width with and without a shorter line at the end. A new layer knows
 which code points of the original text each of its own came from, so spans found in
 it are spans of the original; inside compressed data that is the whole compressed piece. The
-worklist ends at the fixpoint. Compressed data are inflated in pieces of 1 MB that overlap by 64 KB (all gzip
-members), and layers are made one at a time, so memory does not grow with what a text inflates to; in more than
-1 MB of inflated data, an encoded piece longer than the overlap is taken by its parts. A layer whose text was seen before at the same place is not
+worklist ends at the fixpoint. Compressed data (all gzip members) are a text if they are one as a whole, whatever their
+size. Beyond 1 MB they are inflated twice, once to know that and once to be taken in parts, cut only where no secret, escape
+or base64 of any layer can cross (behind a character that none of them holds, or a blank between two plain words). So parts
+give the same spans as the whole, and memory grows only with the longest stretch without such a place. Layers are made one
+at a time. A layer whose text was seen before at the same place is not
 taken up again, which ends cycles (data that unpacks to itself).
 
 Spans of the text itself (base) are exactly those of the patterns; layers only add spans.
@@ -47,7 +49,10 @@ _ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 
-_PIECE, _OVERLAP = 1 << 20, 1 << 16  # bytes of inflated data held at a time
+_PIECE = 1 << 20  # bytes of inflated data held at a time
+_ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+#: Ends where a text may be cut: nothing that is looked for, as it is or escaped, holds what is before and behind.
+_CUT = re.compile(r"[,;(){}<>|!?*&#@^~`$\[\]\t]|[^\x00-\x7f]|[\x20\n][^\x20\n:=%\\]+\x20(?=[^\x20:=%\\])")
 
 Span = tuple[int, int, int]  # start, index of the kind, end
 Places = Sequence[int]
@@ -99,16 +104,41 @@ def _unescape(piece: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
-def _text(data: bytes, cut: bool = False) -> str | None:
-    """Decoded data that can hold a text; ``cut`` ones may begin or end inside a character."""
-    if cut:
-        begin = next((i for i in range(min(4, len(data))) if data[i] & 0xC0 != 0x80), 0)
-        data = data[begin:]
+class _Same:
+    """Places of characters that all stand for one and the same piece."""
+
+    def __init__(self, place: int):
+        self.place = place
+
+    def __getitem__(self, _: int) -> int:
+        return self.place
+
+
+def _text(data: bytes) -> str | None:
+    """Decoded data that can hold a text."""
     try:
-        text = codecs.utf_8_decode(data, "strict", not cut)[0]
+        text = data.decode()
     except UnicodeDecodeError:
         return None
-    return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
+    return text if text and not _ODD.search(text) else None
+
+
+def _parts(source: Iterable[bytes]) -> Iterator[str]:
+    """A text in parts that together give what the whole gives."""
+    decoder, held, limit = codecs.getincrementaldecoder("utf-8")(), "", _PIECE
+    for piece in source:
+        held += decoder.decode(piece)
+        if len(held) > limit:
+            back, end = 256, 0
+            while not end and back < 4 * len(held) + 256:  # the last place, looked for from the end
+                back *= 4
+                end = max((m.end() for m in _CUT.finditer(held, max(0, len(held) - back))), default=0)
+            if end:
+                yield held[:end]
+                held = held[end:]
+            limit = max(_PIECE, 2 * len(held))
+    if held:
+        yield held
 
 
 def _packed(data: bytes) -> bool:
@@ -143,8 +173,7 @@ def _inflated(source: Iterable[bytes]) -> Iterator[bytes]:
 def _unpacked(data: bytes) -> Iterator[str]:
     """The texts inside compressed ``data``, level by level until one is not compressed or was met before.
 
-    Up to ``_PIECE`` bytes a text comes whole, beyond that in pieces of this size that overlap by ``_OVERLAP``
-    bytes: what is held does not grow with what the data inflate to.
+    Up to ``_PIECE`` bytes a text comes whole, beyond that in parts.
     """
     def level(depth: int) -> Iterator[bytes]:
         stream: Iterable[bytes] = [data]
@@ -155,22 +184,27 @@ def _unpacked(data: bytes) -> Iterator[str]:
     depth, seen = 0, set()
     while True:
         digest, held, size, head = hashlib.blake2b(digest_size=16), b"", 0, b""
+        decoder, is_text = codecs.getincrementaldecoder("utf-8")(), depth > 0
         for piece in level(depth):
             digest.update(piece)
             head = (head + piece)[:2] if size < 2 else head
-            held, size = held + piece, size + len(piece)
-            if depth and len(held) > _PIECE:
-                if (text := _text(held, cut=True)) is not None:
-                    yield text
-                held = held[-_OVERLAP:]
+            size += len(piece)
+            held = held + piece if size <= _PIECE else b""
+            try:
+                is_text = is_text and not _ODD.search(decoder.decode(piece))
+            except UnicodeDecodeError:
+                is_text = False
         if digest.digest() in seen:
             return
         seen.add(digest.digest())
-        if depth and (text := _text(held, cut=size > len(held))) is not None:
-            yield text
+        if depth and size <= _PIECE:
+            if (text := _text(held)) is not None:
+                yield text
+        elif is_text and not decoder.getstate()[0]:
+            yield from _parts(level(depth))
         if not _packed(head):
             return
-        if depth and size == len(held):
+        if depth and size <= _PIECE:
             data, depth = held, 0  # small enough to go on from here
         depth += 1
 
@@ -195,7 +229,10 @@ def _layers(text: str, begins: Places, ends: Places) -> Iterator[tuple[str, list
     """The encoded pieces of one layer, unwrapped once, each with the original begin and end of its characters."""
     if ("%" in text or "\\u" in text) and _ESCAPED.search(text):
         inner, at = _unescape(text)
-        yield inner, [begins[x] for x in at[:-1]], [ends[x - 1] for x in at[1:]]
+        if isinstance(begins, _Same):
+            yield inner, begins, ends
+        else:
+            yield inner, [begins[x] for x in at[:-1]], [ends[x - 1] for x in at[1:]]
     for m in _BASE64.finditer(text):
         lines = [x.span() for x in _LINE.finditer(text, m.start(), m.end())]
         done = set()
@@ -216,7 +253,9 @@ def _decoded(text: str, lines: list[tuple[int, int]], begins: Places, ends: Plac
         data = base64.b64decode(raw.replace("-", "+").replace("_", "/") + "=" * (-len(raw) % 4), validate=True)
     except (binascii.Error, ValueError):
         return
-    if (inner := _text(data)) is not None:
+    if (inner := _text(data)) is not None and isinstance(begins, _Same):
+        yield inner, begins, ends
+    elif inner is not None:
         at = [x for b, e in lines for x in range(b, e)]
         edges = [0]
         for c in inner:
@@ -225,7 +264,7 @@ def _decoded(text: str, lines: list[tuple[int, int]], begins: Places, ends: Plac
         yield (inner, [begins[at[8 * e // 6]] for e in edges[:-1]], [ends[at[(8 * e - 1) // 6]] for e in edges[1:]])
     if _packed(data):
         for inner in _unpacked(data):
-            yield inner, [begins[lines[0][0]]] * len(inner), [ends[_padded(text, lines[-1][1]) - 1]] * len(inner)
+            yield inner, _Same(begins[lines[0][0]]), _Same(ends[_padded(text, lines[-1][1]) - 1])
 
 
 def _padded(text: str, end: int) -> int:

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import math
+import random
 import re
 import tracemalloc
 import zlib
@@ -317,6 +318,46 @@ def test_compressed_members_and_large_data():
             assert spans(text) == [(0, 0, len(text))]
 
 
+@pytest.mark.parametrize("filler", ["lorem dolor ", "a,b;", "é"])
+def test_large_inflated_data_give_what_small_ones_give(filler):
+    def spans(inner):
+        text = base64.b64encode(gzip.compress(inner)).decode()
+        return {kind for _, kind, _ in secrets.all_spans(text)[1]} & {0}
+
+    rng = random.Random(3)
+    noise = "".join(rng.choice("ghijklmnop ,.") for _ in range(300_000))
+    coded = base64.b64encode(f"{noise} password = hunter22 {noise}".encode()).decode()
+    lines = "\n".join(coded[i : i + 76] for i in range(0, len(coded), 76))
+    wide = "password" + " " * 100_000 + "=" + " " * 100_000 + "hunter22"
+    escaped = "".join(f"%{b:02x}" for b in wide[:100_000].encode()) + " %3d" + " " * 90_000 + "hunter22"
+    small, large = filler * 5, filler * (3 * 2**20 // len(filler))
+    for inner in (f" {coded} ", f"\n\n{lines}\n\n", f" {wide} ", f" {escaped} ", " a\x00 password=hunter22 "):
+        expected = spans((small + inner + small).encode())
+        assert expected == (set() if "\x00" in inner else {0})
+        for before, after in ((large, small), (small, large), (large[: -len(inner) // 2], large)):
+            assert spans((before + inner + after).encode()) == expected
+    assert spans(large.encode() + b" password=hunter22 \xff") == spans(b"a password=hunter22 \xff") == set()
+
+
+def test_parts_of_a_text_are_cut_where_nothing_crosses(monkeypatch):
+    monkeypatch.setattr(secrets, "_PIECE", 1)
+    rng = random.Random(8)
+    words = ["password", "token", "=", ":", " ", "  ", "\n", "hunter22", "%20", "%3d", "%25", "3D", "\\u003d", "a", ",", "é", '"',
+             base64.b64encode(b"password=hunter22x").decode()[:12], base64.b64encode(b"password=hunter22x").decode()[12:]]
+
+    def kinds(texts):
+        return {kind for t in texts for _, kind, _ in secrets.all_spans(t)[1]}
+
+    found = 0
+    for _ in range(4000):
+        text = "".join(rng.choice(words) for _ in range(rng.randint(4, 16)))
+        parts = list(secrets._parts([text[i : i + 3].encode() for i in range(0, len(text), 3)]))
+        assert "".join(parts) == text
+        assert kinds(parts) == kinds([text]), text
+        found += len(parts) > 1 and bool(kinds([text]))
+    assert found > 100
+
+
 def test_memory_does_not_grow_with_inflated_data():
     text = base64.b64encode(gzip.compress(gzip.compress(b"a b " * 50_000_000))).decode()
     assert len(text) < 10_000
