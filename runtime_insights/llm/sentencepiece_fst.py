@@ -140,30 +140,38 @@ class Transducer:
         return known
 
     def _shortest_bpe(self, text: str) -> list[str]:
-        last: list[str | None] = [None] * (len(text) + 1)  # the piece before each position
+        end = len(text)
+        last: list[str | None] = [None] * (end + 1)  # the piece before each position
         trie, follows, pairs = self.trie, self._follows, self._pairs
-        for i in range(len(text)):
+        for i in range(end):
             before = last[i] if i else ""
             if before is None:
                 continue
-            node, j = trie.get(text[i]), i + 1
+            piece, j = text[i], i + 1
+            node = trie.get(piece)
             if last[j] is None:  # a single character is always a symbol
-                piece = text[i]
-                if before == "" or follows(before, piece):
+                if not before:
                     last[j] = piece
-            while node:
-                if j > i + 1 and "" in node and last[j] is None:
-                    piece = node[""]
+                else:
                     known = pairs.get((before, piece))
                     if known is None:
-                        known = follows(before, piece) if before else self._merged(piece) == [piece]
-                        pairs[before, piece] = known
+                        known = follows(before, piece)
                     if known:
                         last[j] = piece
-                if j == len(text):
-                    break
+            while node and j < end:
                 node = node.get(text[j])
+                if not node:
+                    break
                 j += 1
+                if last[j] is None and (piece := node.get("")) is not None:
+                    known = pairs.get((before, piece))
+                    if known is None:
+                        known = follows(before, piece) if before else self._merged(piece) == [piece]
+                        pairs[before, piece] = known
+                    if known:
+                        last[j] = piece
+            if last[end] is not None:  # there is one path of weight 0, and this is its last arc
+                break
         out, j = [], len(text)
         while j:
             out.append(last[j])

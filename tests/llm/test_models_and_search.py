@@ -456,3 +456,10 @@ def test_pipeline_of_odd_rows(spark, odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, FOLDER)
         docs.collect()
+
+
+def test_a_path_that_has_reached_the_end_is_not_searched_on():
+    with open(MODEL, "rb") as file:
+        transducer = Transducer(file.read())
+    assert transducer._shortest_bpe("▁the") == ["▁the"]
+    assert {before for before, _ in transducer._pairs} == {""}  # no piece is asked what follows it
