@@ -14,13 +14,14 @@ from runtime_insights.llm.packing import best_fit
 from runtime_insights.llm.quality import keep_good, train
 from runtime_insights.llm.secret_scan import mask_secrets
 from runtime_insights.llm.simhash import keep_one_of_each
-from runtime_insights.llm.tables import store
+from runtime_insights.llm.tables import short_batches, store
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier does not reject."""
+    short_batches(spark)
     docs = docs.select(*COLUMNS)
     return keep_good(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
@@ -32,17 +33,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each group of near copies stays."""
+    short_batches(spark)
     return keep_one_of_each(docs.select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked."""
+    short_batches(spark)
     masked = mask_secrets(docs.select(*COLUMNS))
     return masked.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every document in a bin."""
+    short_batches(spark)
     return best_fit(docs)
 
 

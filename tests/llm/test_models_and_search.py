@@ -236,6 +236,45 @@ def test_quality_learns_a_text_of_many_copies_once(spark, monkeypatch):
         assert picked and len(picked) == len(set(picked))
 
 
+def test_memory_of_scoring_does_not_grow_with_the_batch(prose):
+    """Texts of a large batch are taken in blocks, so that what a worker holds beside the batch stays small."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from runtime_insights.llm import quality
+    from runtime_insights.llm.arrays import chunks, text_bytes
+
+    text = (prose(30_000, 3) * 2)[:200_000]
+    batch = pa.RecordBatch.from_pydict({"text": [text] * 40, "source": ["a"] * 40, "lang": ["en"] * 40})
+    model = quality.Model(np.zeros(1 << quality.TEXT_BITS), 0.0, np.zeros(7), np.zeros((2, 1 << quality.META_BITS)))
+    tracemalloc.start()
+    scored = 0
+    for chunk in chunks([batch], "text"):
+        data, offsets = text_bytes(chunk.column("text"))
+        scored += len(model.text_scores(*quality.text_features(data, offsets)))
+        quality.meta_features(chunk, data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert scored == 40 and peak < 60e6
+
+
+def test_texts_go_to_python_in_short_batches(spark):
+    """The stages of the pipeline shorten Arrow batches; what the session says stays."""
+    from runtime_insights.llm.tables import short_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        short_batches(spark)
+        assert spark.conf.get(key) == "1000"
+        spark.conf.set(key, "77")
+        short_batches(spark)
+        assert spark.conf.get(key) == "77"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 # Lines ---------------------------------------------------------------------------------------
 
 
