@@ -13,11 +13,11 @@ Four minima are a band, ``HASHES / 2`` in all: lines of similarity 0.8 share non
 6 in 10,000, lines of 0.3 any with one of 11 in 100, of 0.03 of 1 in 100,000; so chance meetings, whose number grows
 with the square of the number of lines, stay few. All pairs of a small bucket are candidates. In a bucket of more than ``SMALL`` lines
 each line first meets two members, other ones in each bucket. Candidates are verified on all their
-shingles (as 64-bit hashes), linked ones are joined by a distributed union-find. Large buckets whose
-lines then are in more than one component are compared whole, except pairs that already are in
-one: each line outside the component of a bucket's first partner meets all lines of other components,
-in tiles of at most about ``TILE`` by ``TILE`` lines, where sizes and then shingles are compared at once:
-only links are written. So every pair that shares a band is verified or joined already.
+shingles (as 64-bit hashes), linked ones are joined by a distributed union-find. Lines of large
+buckets that then hold more than one component meet by their rarest shingles: with all shingles in
+one order, two lines that are similar enough share one of the first ``n - 0.8 * n + 1`` of each. Sizes and then
+shingles are compared inside that join: only links are written, and rows grow with the shingles, not with the
+square of a bucket. So every pair that shares a band is verified or joined already.
 
 Nothing is gathered per line or bucket; hot lines and buckets meet small tables in joins
 that adaptive execution splits. Lines are known by a 64-bit hash.
@@ -33,7 +33,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runtime_insights.llm.tables import components, discard, row_key, store, unused
 
-WIDTH, SPAN, HASHES, SMALL, TILE, SIMILAR = 16, 4, 28, 16, 512, 0.8
+WIDTH, SPAN, HASHES, SMALL, SIMILAR = 16, 4, 28, 16, 0.8
+TILE = 512  # read by nothing any more; a test sets it
 _MARKS = ("\t", "\x0b", "\x0c", "\r")  # white space beside the blank
 _PIECE = 256  # positions of a long word that are taken from one piece of it
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -50,7 +51,7 @@ def _words(line: Column) -> Column:
     odd = line.startswith(" ") | line.endswith(" ")
     for mark in ("  ", *_MARKS):
         odd = odd | line.contains(mark)
-    every = F.filter(F.split(line, f"[ {''.join(_MARKS)}]+"), lambda w: w != "")
+    every = F.array_remove(F.split(line, f"[ {''.join(_MARKS)}]+"), "")
     return F.when(odd, every).otherwise(F.split(line, " "))
 
 
@@ -81,17 +82,18 @@ def _inner_hashes(words: str) -> str:
 
 def _long(line: Column) -> Column:
     """Whether the line has a word longer than a shingle."""
-    return line.rlike(f"[^ {''.join(_MARKS)}]{{{WIDTH + 1}}}")
+    return line.rlike(f"[^ \n{''.join(_MARKS)}]{{{WIDTH + 1}}}")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc`` (the smallest number for none), ``row``, ``pos``, ``line``, ``lid`` of all lines that hold a word."""
+    """``doc`` (the smallest number for none), ``row``, ``pos``, ``line``, ``lid`` of all lines that hold a word, and
+    ``wide``: whether some line of the text has a word longer than a shingle."""
     return (
         docs.select(
-            F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "row",
+            F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "row", _long(F.col("text")).alias("wide"),
             F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"),
         )
-        .filter(F.col("line").rlike(f"[^ {''.join(_MARKS)}]"))
+        .filter(F.trim(F.col("line"), F.lit(f" {''.join(_MARKS)}")) != "")
         .withColumn("lid", F.xxhash64("line"))
     )
 
@@ -104,15 +106,16 @@ def _place() -> Column:
 def _signatures(lines: DataFrame) -> DataFrame:
     """One row per distinct line: ``lid``, ``copies``, ``doc`` (first), ``place`` (of one copy), m0, m1, ... (a hash
     of two minima each)."""
-    # Usual lines explode into word numbers and hash then; lines with long words explode into hashes.
-    exploded = (
-        lines.select("lid", "doc", _place().alias("place"), _words(F.col("line")).alias("w"), _long(F.col("line")).alias("long"))
-        .select("lid", "doc", "place", "w", "long", F.posexplode(F.expr(
-            f"CASE WHEN long THEN concat({_start_hashes('w')}, {_inner_hashes('w')}) "
-            "ELSE sequence(0L, CAST(size(w) - 1 AS BIGINT)) END"
-        )).alias("i", "item"))
-        .select("lid", "doc", "place", "i", F.expr(f"CASE WHEN long THEN item ELSE xxhash64({_shingle('w', 'i')}) END").alias("h"))
+    # No lambda touches the words of all lines, so they explode, hash and reduce in compiled code. Only lines with a
+    # long word have other shingles too: those come from a pass of their own over the texts that hold one.
+    words = ["lid", "doc", _place().alias("place"), _words(F.col("line")).alias("w")]
+    starts = lines.select(*words).select(
+        "lid", "doc", "place", "w", F.explode(F.expr("sequence(0, size(w) - 1)")).alias("i")
+    ).select("lid", "doc", "place", "i", F.expr(f"xxhash64({_shingle('w', 'i')})").alias("h"))
+    inner = lines.filter("wide").filter(_long(F.col("line"))).select(*words).select(
+        "lid", "doc", "place", F.lit(-1).alias("i"), F.explode(F.expr(_inner_hashes("w"))).alias("h")
     )
+    exploded = starts.union(inner)
     least = exploded.groupBy("lid").agg(
         F.sum((F.col("i") == 0).cast("long")).alias("copies"), F.min("doc").alias("doc"), F.min("place").alias("place"),
         *[F.min(F.col("h").bitwiseXOR(F.lit(_point(k)))).alias(f"x{k}") for k in range(2 * HASHES)],
@@ -135,7 +138,7 @@ def _all_pairs(members: DataFrame) -> DataFrame:
 
 
 def _candidates(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs to verify first, and the members of the large buckets: ``bucket``, ``lid``, ``n``, ``low`` (first partner)."""
+    """Pairs to verify first, and the members of the large buckets: ``bucket``, ``lid``."""
     members = signatures.select("lid", F.explode("buckets").alias("bucket"))
     # Other ends in each bucket: the lines whose numbers are least and greatest after xor with the bucket's.
     mixed = F.col("lid").bitwiseXOR(F.col("bucket"))
@@ -150,12 +153,12 @@ def _candidates(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.least("lid", "end").alias("a"), F.greatest("lid", "end").alias("b")
     )
     pairs = store(small.union(ends).distinct(), "lines-pairs")
-    large = store(large.select("bucket", "lid", "n", "low"), "lines-large")
+    large = store(large.select("bucket", "lid"), "lines-large")
     discard(sizes, shared)
     return pairs, large
 
 
-def _links_in_large(large: DataFrame, links: DataFrame, signatures: DataFrame, lines: DataFrame, least: float) -> DataFrame | None:
+def _links_in_large(large: DataFrame, links: DataFrame, shingles: DataFrame, least: float) -> DataFrame | None:
     """Links of the large buckets that ``links`` do not join yet: ``a`` < ``b``."""
     member = store(components(links, "lines-components"), "lines-met")
     named = large.join(member.withColumnRenamed("node", "lid"), "lid", "left").withColumn(
@@ -163,35 +166,40 @@ def _links_in_large(large: DataFrame, links: DataFrame, signatures: DataFrame, l
     )
     named = store(named, "lines-named")
     split = named.groupBy("bucket").agg(
-        F.min("component").alias("least"), F.max("component").alias("most"),
-        F.max(F.when(F.col("lid") == F.col("low"), F.col("component"))).alias("main"),
-    ).filter("least <> most").select("bucket", "main")
-    whole = store(named.join(split, "bucket"), "lines-split")
+        F.min("component").alias("least"), F.max("component").alias("most")
+    ).filter("least <> most").select("bucket")
+    whole = store(named.join(split, "bucket").select("lid", "component").distinct(), "lines-split")
     discard(member, named)
     if whole.isEmpty():
         return None
-    shingles = _shingles(whole.select("lid").distinct(), signatures, lines)
-    others = whole.filter("component <> main")
-    others = others.join(others.groupBy("bucket").agg(F.count("*").alias("m")), "bucket")
-    members = whole.join(others.groupBy("bucket").agg(F.first("m").alias("m")), "bucket")
-    tiles, other_tiles = F.ceil(F.col("n") / TILE).cast("int"), F.ceil(F.col("m") / TILE).cast("int")
-    place = F.xxhash64("lid", "bucket")
-    left = others.join(shingles, "lid").select(
-        "bucket", F.col("lid").alias("l"), F.col("component").alias("lc"), F.pmod(place, other_tiles).cast("int").alias("u"),
-        F.col("s").alias("sl"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("t"),
-    )
-    right = members.join(shingles, "lid").select(
-        "bucket", F.col("lid").alias("r"), F.col("component").alias("rc"), "main", F.pmod(place, tiles).cast("int").alias("t"),
-        F.col("s").alias("sr"), F.explode(F.sequence(F.lit(0), other_tiles - 1)).alias("u"),
-    )
-    pairs = left.join(right, ["bucket", "t", "u"]).filter("lc <> rc AND (rc = main OR l < r)").filter(
+    sets = whole.join(shingles, "lid")
+    firsts = store(_rarest(sets, least), "lines-rarest")
+    left = firsts.join(sets, "lid").select("h", F.col("lid").alias("l"), F.col("component").alias("lc"), F.col("s").alias("sl"))
+    right = firsts.join(sets, "lid").select("h", F.col("lid").alias("r"), F.col("component").alias("rc"), F.col("s").alias("sr"))
+    pairs = left.join(right, "h").filter("lc <> rc AND l < r").filter(
         _similar("sl", "sr", least)
-    ).select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
+    ).select(F.col("l").alias("a"), F.col("r").alias("b")).distinct()
     found = store(pairs, "lines-links")
-    discard(whole, shingles)
+    discard(whole, firsts)
     return found
 
 
+def _rarest(sets: DataFrame, least: float) -> DataFrame:
+    """``lid``, ``h``: of each line the shingles by which it can meet another component. With all shingles in one
+    order, two lines that are similar enough share one of the first ``n - least * n + 1`` of each; the order
+    is by the number of lines, so these are its rarest. Those of one component only are left out."""
+    held = sets.select("lid", "component", F.explode("s").alias("h"))
+    shared = held.groupBy("h").agg(
+        F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
+    ).filter("n > 1").select("h", "n", F.expr("low <> high").alias("mixed"))
+    # Shingles of no other line would come first of all; they only shorten what follows.
+    ranked = held.select("lid", "h").join(shared, "h").groupBy("lid").agg(
+        F.sort_array(F.collect_list(F.struct("n", "h", "mixed"))).alias("ranked")
+    ).join(sets.select("lid", (1 - F.ceil(F.lit(least) * F.size("s") - 1e-9)).alias("rest")), "lid")
+    length = F.greatest(F.lit(0), F.col("rest") + F.size("ranked")).cast("int")
+    return ranked.select("lid", F.explode(F.slice("ranked", F.lit(1), length)).alias("e")).filter("e.mixed").select("lid", "e.h")
+
+
 def _similar(a: str, b: str, least: float) -> Column:
     """Whether two sets are similar enough; their sizes can rule that out before they are met."""
     common = F.size(F.array_intersect(a, b))
@@ -212,17 +220,13 @@ def _shingles(wanted: DataFrame, signatures: DataFrame, lines: DataFrame) -> Dat
     return shingles
 
 
-def _verified(pairs: DataFrame, signatures: DataFrame, lines: DataFrame, least: float) -> DataFrame:
-    wanted = pairs.select(F.col("a").alias("lid")).union(pairs.select(F.col("b").alias("lid"))).distinct()
-    shingles = _shingles(wanted, signatures, lines)
+def _verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
     links = (
         pairs.join(shingles.select(F.col("lid").alias("a"), F.col("s").alias("sa")), "a")
         .join(shingles.select(F.col("lid").alias("b"), F.col("s").alias("sb")), "b")
         .filter(_similar("sa", "sb", least)).select("a", "b").distinct()
     )
-    links = store(links, "lines-links")
-    discard(shingles)
-    return links
+    return store(links, "lines-links")
 
 
 def _lines_that_go(docs: DataFrame, least: float) -> DataFrame:
@@ -230,8 +234,12 @@ def _lines_that_go(docs: DataFrame, least: float) -> DataFrame:
     lines = _lines(docs)
     signatures = store(_banded(_signatures(lines)), "lines-signatures")
     pairs, large = _candidates(signatures)
-    links = _verified(pairs, signatures, lines, least)
-    more = None if large.isEmpty() else _links_in_large(large, links, signatures, lines, least)
+    # Each line of a large bucket is in a pair with an end of it.
+    wanted = pairs.select(F.col("a").alias("lid")).union(pairs.select(F.col("b").alias("lid"))).distinct()
+    shingles = _shingles(wanted, signatures, lines)
+    links = _verified(pairs, shingles, least)
+    more = None if large.isEmpty() else _links_in_large(large, links, shingles, least)
+    discard(shingles)
     if more is not None:
         links = links.union(more)
     member = store(components(links, "lines-components"), "lines-members").withColumnRenamed("node", "lid")

@@ -420,6 +420,29 @@ def test_line_dedup_of_lines_that_share_one_large_bucket(spark, monkeypatch):
     assert want == {0} and kept_lines(spark, lines) == want
 
 
+def test_line_dedup_of_a_large_bucket_makes_no_row_per_pair_of_tiles(spark, monkeypatch):
+    """What the lines of a large bucket are exploded into grows with their shingles, not with their number."""
+    made, stored, held = line_dedup._signatures, line_dedup.store, []
+    monkeypatch.setattr(line_dedup, "_signatures", lambda lines: made(lines).withColumns(
+        {f"m{k}": F.xxhash64("lid", F.lit(k)) if k > 1 else F.lit(0).cast("long") for k in range(line_dedup.HASHES)}
+    ))
+
+    def store(df, label):
+        table = stored(df, label)
+        held.append((label, df._jdf.queryExecution().optimizedPlan().toString(), table.count()))
+        return table
+
+    monkeypatch.setattr(line_dedup, "store", store)
+    r = __import__("random").Random(12)
+    shared = [f"s{i:014d}" for i in range(20)]
+    lines = [" ".join(shared + [f"w{r.randrange(60):014d}" for _ in range(12)]) for _ in range(90)]
+    lines += [line + " end" for line in lines[:20]]
+    want = first_of_each(lines, character_shingles)
+    assert len(want) < len(lines) and kept_lines(spark, lines) == want
+    assert not [label for label, plan, _ in held if label == "lines-links" and "explode(sequence(" in plan]
+    assert [n for label, _, n in held if label == "lines-rarest" and n <= len(lines) * 8]
+
+
 def test_line_dedup_of_short_words(spark):
     """Shingles are full-width where four words are not."""
     r = __import__("random").Random(8)
