@@ -1,4 +1,4 @@
-"""Fuzzy line de-duplication by MinHash, in DataFrame operations only.
+"""Fuzzy line de-duplication by windows of ordered hashes, in DataFrame operations only.
 
 Lines are the parts of a text between newlines. A line's character shingles are, from the begin
 of each of its words on, the next ``WIDTH`` characters of the words with one blank
@@ -6,21 +6,23 @@ between, and in words longer than ``WIDTH`` (URLs, unspaced scripts, keys) the `
 from every further position that has as many: each character is in a shingle. Two lines are linked if the Jaccard similarity of their shingles is at least ``least``. Of each connected group of lines the first
 occurrence (smallest doc_id, then position) stays, all others go. Lines without a word stay.
 
-Plan. Words are exploded and reduced on the map side to one row per distinct line and task:
-``2 * HASHES`` minima (for each of that many points the hash nearest to it by xor), the
-number of copies and the first occurrence. Copies are thereby one line before anything else.
-Four minima are a band, ``HASHES / 2`` in all: lines of similarity 0.8 share none with a chance of
-6 in 10,000, lines of 0.3 any with one of 11 in 100, of 0.03 of 1 in 100,000; so chance meetings, whose number grows
-with the square of the number of lines, stay few. All pairs of a small bucket are candidates. In a bucket of more than ``SMALL`` lines
+Plan. The distinct 64-bit hashes of a line's shingles, in order, are a ring; four in a row are a window, a line of
+n hashes has n. Lines that share a window are in one bucket. Of two lines with c hashes in common and d in one only, a
+window is lost to each of the d at most four times, so c - 3 * d or more of them are shared: some at similarity 0.8. Lines of
+at most ``HASHES`` hashes are in the buckets of all their windows, so no pair of them is missed; longer ones in those of the
+windows behind ``HASHES / 2`` points, where lines of similarity 0.8 share none with a chance of about 6 in 10,000. Lines
+with fewer than four hashes in common never meet (but equal sets), those of similarity 0.3 at a point with one of 8 in
+1,000; so chance meetings, whose number grows with the square of the number of lines, stay few. Copies become one line,
+with their number and first occurrence, before lines meet. All pairs of a small bucket are candidates. In a bucket of more than ``SMALL`` lines
 each line first meets two members, other ones in each bucket. Candidates are verified on all their
 shingles (as 64-bit hashes), linked ones are joined by a distributed union-find. Lines of large
 buckets that then hold more than one component meet by their rarest shingles: with all shingles in
 one order, two lines that are similar enough share one of the first ``n - 0.8 * n + 1`` of each. Sizes and then
 shingles are compared inside that join: only links are written, and rows grow with the shingles, not with the
-square of a bucket. So every pair that shares a band is verified or joined already.
+square of a bucket. So every pair that shares a window is verified or joined already.
 
-Nothing is gathered per line or bucket; hot lines and buckets meet small tables in joins
-that adaptive execution splits. Lines are known by a 64-bit hash.
+Only a line's own shingles are gathered. The members of a bucket, two numbers each, are counted in one task; all else
+that is hot meets small tables in joins that adaptive execution splits. Lines are known by a 64-bit hash.
 
 Rows: documents with ``text`` without the lines that go. A null text stays null. A document
 whose lines all go keeps an empty text. Rows without doc_id come first. Equal rows are treated
@@ -33,64 +35,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runtime_insights.llm.tables import components, discard, row_key, store, unused
 
-WIDTH, SPAN, HASHES, SMALL, SIMILAR = 16, 4, 28, 16, 0.8
+WIDTH, HASHES, SMALL, SIMILAR = 16, 28, 16, 0.8
 TILE = 512  # read by nothing any more; a test sets it
+_RUN = 4  # hashes of a window
 _MARKS = ("\t", "\x0b", "\x0c", "\r")  # white space beside the blank
-_PIECE = 256  # positions of a long word that are taken from one piece of it
-_GOLDEN = 0x9E3779B97F4A7C15
+# Each match is a word of at most WIDTH characters with its blank, or one character of a longer one until WIDTH are
+# left; seen ahead are the characters of the shingle that begins there.
+_SHINGLES = f"(?s)(?=(.{{1,{WIDTH}}}))(?:[^ ]{{1,{WIDTH}}}+(?: |\\z)|[^ ])"
 
 
-def _point(k: int) -> int:
-    """Points spread evenly over the 64-bit numbers, signed."""
-    value = ((k << 58) | ((k + 1) * _GOLDEN & ((1 << 58) - 1))) & (2**64 - 1)
-    return value - 2**64 if value >= 2**63 else value
-
-
-def _words(line: Column) -> Column:
-    """Words between white space; lines with single blanks only, the usual ones, without a regular expression."""
+def _plain(line: Column) -> Column:
+    """The words with one blank between; lines with single blanks only, the usual ones, without a regular expression."""
     odd = line.startswith(" ") | line.endswith(" ")
     for mark in ("  ", *_MARKS):
         odd = odd | line.contains(mark)
     every = F.array_remove(F.split(line, f"[ {''.join(_MARKS)}]+"), "")
-    return F.when(odd, every).otherwise(F.split(line, " "))
-
-
-def _shingle(words: str, i: str) -> str:
-    """SQL for the shingle from word ``i`` on (from 0); ``SPAN`` words mostly are long enough, the others of ``WIDTH // 2 + 1`` always are."""
-    def more(begin, end):
-        return ", ".join(f"get({words}, {i} + {j})" for j in range(begin, end))
-
-    short = f"concat_ws(' ', {words}[{i}], {more(1, SPAN)})"
-    return (
-        f"CASE WHEN char_length({short}) >= {WIDTH} THEN substring({short}, 1, {WIDTH}) "
-        f"ELSE substring(concat_ws(' ', {short}, {more(SPAN, WIDTH // 2 + 1)}), 1, {WIDTH}) END"
-    )
+    return F.when(odd, F.array_join(every, " ")).otherwise(line)
 
 
-def _start_hashes(words: str) -> str:
-    """SQL for the hashes of the shingles from each word's begin on."""
-    return f"transform(sequence(0, size({words}) - 1), i -> xxhash64({_shingle(words, 'i')}))"
-
-
-def _inner_hashes(words: str) -> str:
-    """SQL for the hashes of the other shingles inside long words, taken by pieces so that a very long word is not
-    scanned from its begin for each."""
-    pieces = f"transform(sequence(0, (char_length(x) - {WIDTH + 1}) div {_PIECE}), k -> substring(x, k * {_PIECE} + 2, {_PIECE + WIDTH - 1}))"
-    each = f"transform(sequence(1, char_length(y) - {WIDTH - 1}), p -> xxhash64(substring(y, p, {WIDTH})))"
-    return f"flatten(flatten(transform(filter({words}, x -> char_length(x) > {WIDTH}), x -> transform({pieces}, y -> {each}))))"
-
-
-def _long(line: Column) -> Column:
-    """Whether the line has a word longer than a shingle."""
-    return line.rlike(f"[^ \n{''.join(_MARKS)}]{{{WIDTH + 1}}}")
+def _hashes(line: Column) -> Column:
+    """The distinct hashes of all shingles, in order."""
+    shingles = F.regexp_extract_all(_plain(line), F.lit(_SHINGLES), F.lit(1))
+    return F.sort_array(F.array_distinct(F.transform(shingles, lambda x: F.xxhash64(x))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc`` (the smallest number for none), ``row``, ``pos``, ``line``, ``lid`` of all lines that hold a word, and
-    ``wide``: whether some line of the text has a word longer than a shingle."""
+    """``doc`` (the smallest number for none), ``row``, ``pos``, ``line``, ``lid`` of all lines that hold a word."""
     return (
         docs.select(
-            F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "row", _long(F.col("text")).alias("wide"),
+            F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "row",
             F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"),
         )
         .filter(F.trim(F.col("line"), F.lit(f" {''.join(_MARKS)}")) != "")
@@ -104,31 +77,31 @@ def _place() -> Column:
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: ``lid``, ``copies``, ``doc`` (first), ``place`` (of one copy), m0, m1, ... (a hash
-    of two minima each)."""
-    # No lambda touches the words of all lines, so they explode, hash and reduce in compiled code. Only lines with a
-    # long word have other shingles too: those come from a pass of their own over the texts that hold one.
-    words = ["lid", "doc", _place().alias("place"), _words(F.col("line")).alias("w")]
-    starts = lines.select(*words).select(
-        "lid", "doc", "place", "w", F.explode(F.expr("sequence(0, size(w) - 1)")).alias("i")
-    ).select("lid", "doc", "place", "i", F.expr(f"xxhash64({_shingle('w', 'i')})").alias("h"))
-    inner = lines.filter("wide").filter(_long(F.col("line"))).select(*words).select(
-        "lid", "doc", "place", F.lit(-1).alias("i"), F.explode(F.expr(_inner_hashes("w"))).alias("h")
+    """One row per distinct line: ``lid``, ``copies``, ``doc`` (first), ``place`` (of one copy), m0, m1, ... (the
+    hashes of its windows; null: no more)."""
+    # The hashes are a ring, cut by points spread evenly over all numbers: a window begins behind each of them.
+    points = [k * (2**65 // HASHES) - 2**63 for k in range(HASHES // 2)]
+    sets = lines.select("lid", "doc", _place().alias("place"), _hashes(F.col("line")).alias("s"))
+    rings = sets.select(
+        "lid", "doc", "place", "s", F.concat("s", F.slice("s", 1, _RUN)).alias("ring"),
+        F.when(F.size("s") > HASHES, F.sort_array(F.concat("s", F.array(*[F.lit(p) for p in points])))).alias("cut"),
     )
-    exploded = starts.union(inner)
-    least = exploded.groupBy("lid").agg(
-        F.sum((F.col("i") == 0).cast("long")).alias("copies"), F.min("doc").alias("doc"), F.min("place").alias("place"),
-        *[F.min(F.col("h").bitwiseXOR(F.lit(_point(k)))).alias(f"x{k}") for k in range(2 * HASHES)],
+    behind = [F.array_position("cut", F.lit(p)).cast("int") - k - 1 for k, p in enumerate(points)]
+    begins = F.when(F.col("cut").isNull(), F.sequence(F.lit(0), F.size("s") - 1)).otherwise(F.array(*behind))
+    window = ", ".join(f"get(ring, i + {j})" for j in range(_RUN))
+    windows = rings.withColumn("begins", begins).select(
+        "lid", "doc", "place", F.expr(f"transform(begins, i -> xxhash64({window}))").alias("windows")
     )
-    return least.select(
-        "lid", "copies", "doc", "place", *[F.xxhash64(f"x{2 * k}", f"x{2 * k + 1}").alias(f"m{k}") for k in range(HASHES)]
+    return windows.groupBy("lid").agg(
+        F.count("*").alias("copies"), F.min("doc").alias("doc"), F.min("place").alias("place"),
+        *[F.min(F.get("windows", F.lit(k))).alias(f"m{k}") for k in range(HASHES)],
     )
 
 
 def _banded(signatures: DataFrame) -> DataFrame:
-    """``lid``, ``copies``, ``doc``, ``place`` and the ``buckets`` of the line."""
-    bands = [F.xxhash64(F.lit(j), f"m{2 * j}", f"m{2 * j + 1}") for j in range(HASHES // 2)]
-    return signatures.select("lid", "copies", "doc", "place", F.array(*bands).alias("buckets"))
+    """``lid``, ``copies``, ``doc``, ``place`` and the ``buckets`` of the line (one may be null)."""
+    windows = F.array(*[f"m{k}" for k in range(HASHES)])
+    return signatures.select("lid", "copies", "doc", "place", F.array_distinct(windows).alias("buckets"))
 
 
 def _all_pairs(members: DataFrame) -> DataFrame:
@@ -139,14 +112,14 @@ def _all_pairs(members: DataFrame) -> DataFrame:
 
 def _candidates(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs to verify first, and the members of the large buckets: ``bucket``, ``lid``."""
-    members = signatures.select("lid", F.explode("buckets").alias("bucket"))
+    # One shuffle serves both sides of the join.
+    members = signatures.select("lid", F.explode("buckets").alias("bucket")).filter("bucket IS NOT NULL").repartition("bucket")
     # Other ends in each bucket: the lines whose numbers are least and greatest after xor with the bucket's.
     mixed = F.col("lid").bitwiseXOR(F.col("bucket"))
     sizes = members.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min(mixed).alias("low"), F.max(mixed).alias("high")
     ).filter("n > 1").withColumns({end: F.col(end).bitwiseXOR(F.col("bucket")) for end in ("low", "high")})
-    sizes = store(sizes, "lines-buckets")
-    shared = store(members.join(sizes, "bucket"), "lines-shared")
+    shared = store(members.join(sizes.hint("shuffle_hash"), "bucket"), "lines-shared")
     small = _all_pairs(shared.filter(F.col("n") <= SMALL))
     large = shared.filter(F.col("n") > SMALL)
     ends = large.select("lid", F.explode(F.array("low", "high")).alias("end")).filter("lid <> end").select(
@@ -154,7 +127,7 @@ def _candidates(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     pairs = store(small.union(ends).distinct(), "lines-pairs")
     large = store(large.select("bucket", "lid"), "lines-large")
-    discard(sizes, shared)
+    discard(shared)
     return pairs, large
 
 
@@ -174,18 +147,19 @@ def _links_in_large(large: DataFrame, links: DataFrame, shingles: DataFrame, lea
         return None
     sets = whole.join(shingles, "lid")
     firsts = store(_rarest(sets, least), "lines-rarest")
-    left = firsts.join(sets, "lid").select("h", F.col("lid").alias("l"), F.col("component").alias("lc"), F.col("s").alias("sl"))
-    right = firsts.join(sets, "lid").select("h", F.col("lid").alias("r"), F.col("component").alias("rc"), F.col("s").alias("sr"))
-    pairs = left.join(right, "h").filter("lc <> rc AND l < r").filter(
-        _similar("sl", "sr", least)
-    ).select(F.col("l").alias("a"), F.col("r").alias("b")).distinct()
+    left = firsts.join(sets, "lid").select("h", F.col("lid").alias("l"), F.col("component").alias("lc"), F.col("first").alias("lf"), F.col("s").alias("sl"))
+    right = firsts.join(sets, "lid").select("h", F.col("lid").alias("r"), F.col("component").alias("rc"), F.col("first").alias("rf"), F.col("s").alias("sr"))
+    # Two lines are compared once, where they meet by the first shingle that both have.
+    pairs = left.join(right, "h").filter("lc <> rc AND l < r").filter(_near_sizes("sl", "sr", least)).filter(
+        "array_intersect(lf, rf)[0] = h"
+    ).filter(_similar("sl", "sr", least)).select(F.col("l").alias("a"), F.col("r").alias("b"))
     found = store(pairs, "lines-links")
     discard(whole, firsts)
     return found
 
 
 def _rarest(sets: DataFrame, least: float) -> DataFrame:
-    """``lid``, ``h``: of each line the shingles by which it can meet another component. With all shingles in one
+    """``lid``, ``first``, ``h`` (each of them): of each line the shingles by which it can meet another component. With all shingles in one
     order, two lines that are similar enough share one of the first ``n - least * n + 1`` of each; the order
     is by the number of lines, so these are its rarest. Those of one component only are left out."""
     held = sets.select("lid", "component", F.explode("s").alias("h"))
@@ -197,25 +171,27 @@ def _rarest(sets: DataFrame, least: float) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("n", "h", "mixed"))).alias("ranked")
     ).join(sets.select("lid", (1 - F.ceil(F.lit(least) * F.size("s") - 1e-9)).alias("rest")), "lid")
     length = F.greatest(F.lit(0), F.col("rest") + F.size("ranked")).cast("int")
-    return ranked.select("lid", F.explode(F.slice("ranked", F.lit(1), length)).alias("e")).filter("e.mixed").select("lid", "e.h")
+    first = F.filter(F.slice("ranked", F.lit(1), length), lambda e: e["mixed"])
+    return ranked.select("lid", F.transform(first, lambda e: e["h"]).alias("first")).select("lid", "first", F.explode("first").alias("h"))
+
+
+def _near_sizes(a: str, b: str, least: float) -> Column:
+    """Sizes can rule out that two sets are similar enough before they are met."""
+    return (F.size(a) >= F.lit(least) * F.size(b)) & (F.size(b) >= F.lit(least) * F.size(a))
 
 
 def _similar(a: str, b: str, least: float) -> Column:
-    """Whether two sets are similar enough; their sizes can rule that out before they are met."""
+    """Whether two sets are similar enough."""
     common = F.size(F.array_intersect(a, b))
-    near = (F.size(a) >= F.lit(least) * F.size(b)) & (F.size(b) >= F.lit(least) * F.size(a))
-    return near & (common >= F.lit(least) * (F.size(a) + F.size(b) - common))
+    return _near_sizes(a, b, least) & (common >= F.lit(least) * (F.size(a) + F.size(b) - common))
 
 
 def _shingles(wanted: DataFrame, signatures: DataFrame, lines: DataFrame) -> DataFrame:
     """``lid``, ``s`` (distinct hashes of all shingles) of the wanted lines, from one copy of each."""
     wanted = store(wanted.join(signatures.select("lid", "place"), "lid"), "lines-wanted")
     found = lines.select("lid", _place().alias("place"), "line").join(wanted.hint("shuffle_hash"), ["lid", "place"])
-    shingles = store(
-        found.select("lid", _words(F.col("line")).alias("w")).select(
-            "lid", F.expr(f"array_distinct(concat({_start_hashes('w')}, {_inner_hashes('w')}))").alias("s")
-        ).dropDuplicates(["lid"]), "lines-shingles",
-    )
+    once = found.dropDuplicates(["lid", "place"])
+    shingles = store(once.select("lid", _hashes(F.col("line")).alias("s")), "lines-shingles")
     discard(wanted)
     return shingles
 

@@ -443,6 +443,28 @@ def test_line_dedup_of_a_large_bucket_makes_no_row_per_pair_of_tiles(spark, monk
     assert [n for label, _, n in held if label == "lines-rarest" and n <= len(lines) * 8]
 
 
+def test_line_dedup_makes_no_pairs_of_lines_with_three_shingles_in_common(spark, monkeypatch):
+    """Lines of a bucket have at least four shingles in common, short lines too; of these each similar pair meets."""
+    r = __import__("random").Random(21)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(15))
+    same, stored, pairs = [word() for _ in range(3)], line_dedup.store, []
+
+    def store(df, label):
+        table = stored(df, label)
+        pairs.extend([table.count()] if label == "lines-pairs" else [])
+        return table
+
+    monkeypatch.setattr(line_dedup, "store", store)
+    lines = [" ".join(x for w in same for x in (w, word(), word())) + " end" for _ in range(60)]
+    assert kept_lines(spark, [" ".join([*same, *(word() for _ in range(6))]) for _ in range(60)] + lines) == set(range(120))
+    assert pairs == [0]
+    near = []
+    for n in range(8, 30):
+        words = [word() for _ in range(n)]
+        near += [" ".join(words), " ".join(words[:-1] + [word() for _ in range(max(1, (n + 1) // 10))])]
+    assert kept_lines(spark, near) == first_of_each(near, character_shingles)
+
+
 def test_line_dedup_of_short_words(spark):
     """Shingles are full-width where four words are not."""
     r = __import__("random").Random(8)
