@@ -10,7 +10,7 @@ Plan. The distinct 64-bit hashes of a line's shingles, in order, are a ring; fou
 n hashes has n. Lines that share a window are in one bucket. Of two lines with c hashes in common and d in one only, a
 window is lost to each of the d at most four times, so c - 3 * d or more of them are shared: some at similarity 0.8. Lines of
 at most ``HASHES`` hashes are in the buckets of all their windows, so no pair of them is missed; longer ones in those of the
-windows behind ``HASHES / 2`` points, where lines of similarity 0.8 share none with a chance of about 6 in 10,000. Lines
+windows behind ``_POINTS`` points, where lines of similarity 0.8 share none with a chance of about 3 in 100,000. Lines
 with fewer than four hashes in common never meet (but equal sets), those of similarity 0.3 at a point with one of 8 in
 1,000; so chance meetings, whose number grows with the square of the number of lines, stay few. Copies become one line,
 with their number and first occurrence, before lines meet. All pairs of a small bucket are candidates. In a bucket of more than ``SMALL`` lines
@@ -37,7 +37,7 @@ from runtime_insights.llm.tables import components, discard, row_key, store, unu
 
 WIDTH, HASHES, SMALL, SIMILAR = 16, 28, 16, 0.8
 TILE = 512  # read by nothing any more; a test sets it
-_RUN = 4  # hashes of a window
+_RUN, _POINTS = 4, 20  # hashes of a window; windows of a line of more than HASHES hashes
 _MARKS = ("\t", "\x0b", "\x0c", "\r")  # white space beside the blank
 # Each match is a word of at most WIDTH characters with its blank, or one character of a longer one until WIDTH are
 # left; seen ahead are the characters of the shingle that begins there.
@@ -80,7 +80,7 @@ def _signatures(lines: DataFrame) -> DataFrame:
     """One row per distinct line: ``lid``, ``copies``, ``doc`` (first), ``place`` (of one copy), m0, m1, ... (the
     hashes of its windows; null: no more)."""
     # The hashes are a ring, cut by points spread evenly over all numbers: a window begins behind each of them.
-    points = [k * (2**65 // HASHES) - 2**63 for k in range(HASHES // 2)]
+    points = [k * (2**64 // _POINTS) - 2**63 for k in range(_POINTS)]
     sets = lines.select("lid", "doc", _place().alias("place"), _hashes(F.col("line")).alias("s"))
     rings = sets.select(
         "lid", "doc", "place", "s", F.concat("s", F.slice("s", 1, _RUN)).alias("ring"),
